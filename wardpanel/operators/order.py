@@ -61,14 +61,17 @@ def running_totals(
     by: Sequence[str] = (),
     ranges: int = RANGES,
     sample_rows: int = SAMPLE_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add `<name>` = sum of the measure over rows of the same group that sort strictly earlier.
 
-    `by` + `order` must be unique and the order columns must not be null.
+    `by` + `order` must be unique and the order columns must not be null.  `largest` is a known bound of
+    the rows per group; it saves the size check.
     """
     by, order = list(by), list(order)
     named = df.withColumns({f"__m_{n}": c for n, c in measures.items()})
-    edges = [] if largest_group(df, by) <= group_rows(df) else _edges(named, order, ranges, sample_rows)
+    known = largest_group(df, by) if largest is None else largest
+    edges = [] if known <= group_rows(df) else _edges(named, order, ranges, sample_rows)
     before = lambda parts: Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     if not edges:
         parts = by or [F.lit(0)]
@@ -171,3 +174,11 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
     kept = salted.withColumn("__r", F.row_number().over(local)).where(F.col("__r") <= k).drop("__r", "__salt")
     final = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
     return kept.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)
+
+
+def neighbour(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Mapping[str, Column], steps: int = 1) -> DataFrame:
+    """Values of the row `steps` later (or earlier when negative) in the same series; `order` must be total."""
+    split = split_series(df, by, order, before=max(0, -steps), after=max(0, steps))
+    w = Window.partitionBy(*by, "__chunk").orderBy(*order)
+    moved = {n: (F.lead(c, steps) if steps > 0 else F.lag(c, -steps)).over(w) for n, c in columns.items()}
+    return drop_halo(split.withColumns(moved))

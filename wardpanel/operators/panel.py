@@ -9,13 +9,13 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardpanel.functions.numeric import finite_or_null, ratio as safe_ratio
-from wardpanel.operators.order import drop_halo, split_series, tie_ranks
+from wardpanel.operators.order import drop_halo, largest_group, split_series, tie_ranks
 
 INSTRUMENT, TIME = "instrument", "datetime"
 SERIES = (INSTRUMENT, "__chunk")
@@ -38,6 +38,7 @@ class Factor:
     back: int = 0
     ahead: int = 0
     args: tuple["Factor", ...] = ()
+    plain: bool = False
 
     def __add__(self, o): return add(self, o)
     def __radd__(self, o): return add(o, self)
@@ -93,11 +94,18 @@ def elementwise(name: str, fn: Callable[..., Column], *args, params=()) -> Facto
     )
 
 
+def _held(key: str, make: Callable[[], Column], level: int, fs: Sequence[Factor], back: int, ahead: int) -> Factor:
+    """A factor kept as a named column of its level, so that equal sub-expressions are computed once."""
+    name = "__f_" + hashlib.md5(key.encode()).hexdigest()[:16]
+    steps = _merge(fs) + (Step(name, level, "column", make),)
+    return Factor(key, lambda: F.col(name), level, steps, back, ahead, tuple(fs), True)
+
+
 def staged(f: Factor) -> Factor:
-    """Keep the value as a named column so that it is computed once."""
-    name = "__f_" + hashlib.md5(f.key.encode()).hexdigest()[:16]
-    level = max(f.level, 1)
-    return Factor(f.key, lambda: F.col(name), level, f.steps + (Step(name, level, "column", f.col),), f.back, f.ahead, f.args)
+    if f.plain:
+        return f
+    held = _held(f.key, f.col, f.level + 1, (f,), f.back, f.ahead)
+    return replace(held, args=f.args)
 
 
 def _plain(v) -> Factor:
@@ -107,14 +115,13 @@ def _plain(v) -> Factor:
 
 def windowed(name: str, fn: Callable[..., Column], *args, params=(), back=0, ahead=0) -> Factor:
     fs = [_plain(a) for a in args]
-    return Factor(
+    return _held(
         _key(name, fs, params),
         lambda: fn(*[f.col() for f in fs]),
         max(f.level for f in fs) + 1,
-        _merge(fs),
+        fs,
         max(f.back for f in fs) + back,
         max(f.ahead for f in fs) + ahead,
-        tuple(fs),
     )
 
 
@@ -124,7 +131,7 @@ def _grouped(name: str, fn: Callable[[Column], Column], x, by: str = TIME, param
     key = _key(name, [f], params)
     col = "__g_" + hashlib.md5(key.encode()).hexdigest()[:16]
     step = Step(col, f.level + 1, by, lambda: fn(f.col()).alias(col))
-    return Factor(key, lambda: F.col(col), f.level + 1, f.steps + (step,), f.back, f.ahead, (f,))
+    return Factor(key, lambda: F.col(col), f.level + 1, f.steps + (step,), f.back, f.ahead, (f,), True)
 
 
 def evaluate(panel: DataFrame, factors: Mapping[str, Factor], keep: Sequence[str] = (INSTRUMENT, TIME), max_rows: int | None = None) -> DataFrame:
@@ -139,6 +146,7 @@ def evaluate(panel: DataFrame, factors: Mapping[str, Factor], keep: Sequence[str
     else:
         df = split_series(panel, [INSTRUMENT], [TIME], need[0], need[1], max_rows)
     steps = _merge(list(factors.values()))
+    largest = largest_group(panel, [TIME]) if any(s.kind == "rank" for s in steps) else 0
     for level in sorted({s.level for s in steps}):
         here = [s for s in steps if s.level == level]
         for by in (TIME, INSTRUMENT):
@@ -146,7 +154,7 @@ def evaluate(panel: DataFrame, factors: Mapping[str, Factor], keep: Sequence[str
             if aggregates:
                 df = df.join(df.where(~F.col("__halo")).groupBy(by).agg(*aggregates), by, "left")
         for s in (s for s in here if s.kind == "rank"):
-            df = s.make(df)
+            df = s.make(df, largest)
         cols = [s for s in here if s.kind == "column"]
         if cols:
             df = df.select("*", *[s.make().alias(s.name) for s in cols])
@@ -510,14 +518,14 @@ def rank(x) -> Factor:
     key = _key("rank", [f])
     col = "__r_" + hashlib.md5(key.encode()).hexdigest()[:16]
 
-    def attach(df):
+    def attach(df, largest):
         vals = df.where(~F.col("__halo")).select(TIME, f.col().alias(col + "v"))
-        pct = tie_ranks(vals, col + "v", [TIME]).select(
+        pct = tie_ranks(vals, col + "v", [TIME], largest=largest).select(
             F.col(TIME), F.col(col + "v"), ((F.col("smaller") + (F.col("equal") + 1) / 2) / F.col("total")).alias(col)
         )
         return df.withColumn(col + "v", f.col()).join(pct, [TIME, col + "v"], "left").drop(col + "v")
 
-    return Factor(key, lambda: F.col(col), f.level + 1, f.steps + (Step(col, f.level + 1, "rank", attach),), f.back, f.ahead, (f,))
+    return Factor(key, lambda: F.col(col), f.level + 1, f.steps + (Step(col, f.level + 1, "rank", attach),), f.back, f.ahead, (f,), True)
 
 
 def zscore(x) -> Factor:

@@ -1,0 +1 @@
+"""Jobs built from the operators."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("panel", "backtest")
+AREAS = ("panel", "backtest", "stay")
 
 
 def load_all():
