@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("panel", "backtest", "stay")
+AREAS = ("panel", "backtest", "stay", "jobs")
 
 
 def load_all():
