@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("panel", "backtest", "stay", "jobs")
+AREAS = ("panel", "backtest", "stay", "jobs", "sources")
 
 
 def load_all():

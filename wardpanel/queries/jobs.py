@@ -265,11 +265,11 @@ def ketoacidosis(spark, sf):
     return out.select("patient_id", show_codes("icd_codes"), show_means("labs"), "label")
 
 
-@query("job_ketoacidosis_type1", f"""{EHR}, t1 AS (SELECT patient_id, tm FROM l WHERE kind = 'conditions' AND ((ver = '9' AND replace(code, '.', '') IN {cd.T1_ICD9}) OR (ver = '10' AND starts_with(upper(replace(code, '.', '')), 'E10')))),
-ts AS (SELECT patient_id, min(tm) AS t1 FROM t1 GROUP BY 1), ins AS (SELECT v.*, t1 FROM v JOIN ts USING (patient_id) WHERE st <= t1 + INTERVAL 90 DAY),
-at AS (SELECT visit_id, arg_min(tm, row({', '.join(SEQ)})) AS dka FROM l WHERE {dka_sql(cd.T1_DKA_ICD10)} GROUP BY 1),
-fd AS (SELECT patient_id, min(row(st, visit_id)) AS f, arg_min(dka, row(st, visit_id)) AS dka, min(t1) AS t1 FROM ins JOIN at USING (visit_id) GROUP BY 1),
-lb AS (SELECT patient_id, CAST(max(CASE WHEN dka <= fd.t1 + INTERVAL 90 DAY AND abs(floor((epoch(dka) - epoch(tm)) / 86400)) <= 90 THEN 1 ELSE 0 END) AS INTEGER) AS label FROM fd JOIN t1 USING (patient_id) GROUP BY 1),
+@query("job_ketoacidosis_type1", f"""{EHR}, tt AS (SELECT patient_id, tm FROM l WHERE kind = 'conditions' AND ((ver = '9' AND replace(code, '.', '') IN {cd.T1_ICD9}) OR (ver = '10' AND starts_with(upper(replace(code, '.', '')), 'E10')))),
+ts AS (SELECT patient_id, min(tm) AS t1 FROM tt GROUP BY 1), ins AS (SELECT v.*, t1 FROM v JOIN ts USING (patient_id) WHERE st <= t1 + INTERVAL 90 DAY),
+att AS (SELECT visit_id, arg_min(tm, row({', '.join(SEQ)})) AS dka FROM l WHERE {dka_sql(cd.T1_DKA_ICD10)} GROUP BY 1),
+fd AS (SELECT patient_id, min(row(st, visit_id)) AS f, arg_min(dka, row(st, visit_id)) AS dka, min(t1) AS t1 FROM ins JOIN att USING (visit_id) GROUP BY 1),
+lb AS (SELECT patient_id, CAST(max(CASE WHEN dka <= fd.t1 + INTERVAL 90 DAY AND abs(floor((epoch(dka) - epoch(tm)) / 86400)) <= 90 THEN 1 ELSE 0 END) AS INTEGER) AS label FROM fd JOIN tt USING (patient_id) GROUP BY 1),
 kept AS (SELECT ins.* FROM ins LEFT JOIN fd USING (patient_id) WHERE f IS NULL OR row(st, visit_id) < f), {MARKED}
 SELECT patient_id, icd_codes, {NO_LAB}, coalesce(label, 0) AS label FROM icd LEFT JOIN lab USING (patient_id) LEFT JOIN lb USING (patient_id)""")
 def ketoacidosis_type1(spark, sf):
