@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("panel", "backtest", "stay", "jobs", "sources", "learning")
+AREAS = ("panel", "backtest", "stay", "jobs", "sources", "learning", "knowledge")
 
 
 def load_all():

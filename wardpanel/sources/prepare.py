@@ -182,3 +182,24 @@ def hourly_melt(wide: DataFrame, ids: Sequence[str], cells: Mapping[str, tuple[s
     trunc = F.date_trunc("hour", intime)
     start = F.when(trunc == F.col(intime), trunc).otherwise(trunc + F.expr("INTERVAL 1 HOUR"))
     return rows.withColumn("timestamp", start + F.make_dt_interval(hours=F.col(hours).cast("int")))
+
+
+def json_ledger(spark: SparkSession, path: str, schema: T.StructType | str, key: str, order: str) -> DataFrame:
+    """JSON lines, latest entry per key; lines that do not parse are skipped."""
+    rows = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where(F.col(f"r.{key}").isNotNull())
+    return rows.groupBy(F.col(f"r.{key}").alias(key)).agg(F.max_by("r", F.col(f"r.{order}")).alias("r")).select("r.*")
+
+
+def relaxed_union(parts: Sequence[DataFrame]) -> DataFrame:
+    """Vertical union by name; columns whose types differ become double when all are numbers, else text."""
+    names = parts[0].columns
+    targets = {}
+    for n in names:
+        types = {p.schema[n].dataType for p in parts}
+        if len(types) > 1:
+            targets[n] = "double" if all(isinstance(t, T.NumericType) for t in types) else "string"
+    cast = lambda p: p.select(*[F.col(n).cast(targets[n]).alias(n) if n in targets else F.col(n) for n in names])
+    out = cast(parts[0])
+    for p in parts[1:]:
+        out = out.unionByName(cast(p))
+    return out
