@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardpanel.functions.numeric import pair_corr
-from wardpanel.operators.order import percent_rank_average, running_totals, top_per_group
+from wardpanel.operators.order import percent_ranks, running_totals, top_per_group
 from wardpanel.operators.panel import INSTRUMENT, TIME
 
 KEYS = [TIME, INSTRUMENT]
@@ -30,8 +30,7 @@ def rank_normalise(df: DataFrame, columns: Sequence[str], fill: bool) -> DataFra
         clean = lambda c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == math.inf), F.lit(0.0)).otherwise(F.col(c))
         out = out.withColumns({c: clean(c) for c in columns})
     sizes = out.groupBy(TIME).agg(F.count(F.lit(1)).alias("__rows"))
-    for c in columns:
-        out = percent_rank_average(out, c, [TIME], f"__n_{c}")
+    out = percent_ranks(out, {c: f"__n_{c}" for c in columns}, [TIME])
     out = out.join(sizes, TIME)
     out = out.withColumns({c: F.when(F.col("__rows") > 1, F.col(f"__n_{c}") - 0.5).otherwise(F.lit(0.0)) for c in columns})
     return out.drop("__rows", *[f"__n_{c}" for c in columns])
@@ -45,7 +44,7 @@ def prepare_training_panel(df: DataFrame, features: Sequence[str], label: str) -
 def daily_ic(df: DataFrame, signal: str, label: str) -> DataFrame:
     """Per date: correlation of values and of average-tie ranks, over rows where both are present."""
     both = df.where(F.col(signal).isNotNull() & F.col(label).isNotNull())
-    ranked = percent_rank_average(percent_rank_average(both, signal, [TIME], "__rs"), label, [TIME], "__rl")
+    ranked = percent_ranks(both, {signal: "__rs", label: "__rl"}, [TIME])
     return ranked.groupBy(TIME).agg(
         pair_corr(F.col(signal), F.col(label)).alias("ic"), pair_corr(F.col("__rs"), F.col("__rl")).alias("rank_ic")
     )

@@ -118,13 +118,20 @@ def tie_ranks(
     return ranked.withColumn("__one", F.lit(1)).join(F.broadcast(totals), "__one").drop("__one")
 
 
-def percent_rank_average(df: DataFrame, value: str, by: Sequence[str], name: str, **kw) -> DataFrame:
-    """Average-tie percent rank of `value` inside each group; null stays null."""
+def percent_ranks(df: DataFrame, names: Mapping[str, str], by: Sequence[str], largest: int | None = None, **kw) -> DataFrame:
+    """Average-tie percent rank of several columns inside each group (`names`: column -> new column); null stays null.
+
+    Every rank starts from `df` itself, so the plan grows with the number of columns, not with its power.
+    """
     by = list(by)
-    ranked = tie_ranks(df, value, by, **kw).select(
-        *by, value, ((F.col("smaller") + (F.col("equal") + 1) / 2) / F.col("total")).alias(name)
-    )
-    return df.join(ranked, [*by, value], "left")
+    known = largest_group(df, by) if largest is None else largest
+    out = df
+    for value, name in names.items():
+        ranked = tie_ranks(df.select(*by, value), value, by, largest=known, **kw).select(
+            *by, value, ((F.col("smaller") + (F.col("equal") + 1) / 2) / F.col("total")).alias(name)
+        )
+        out = out.join(ranked, [*by, value], "left")
+    return out
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:

@@ -153,8 +153,9 @@ def evaluate(panel: DataFrame, factors: Mapping[str, Factor], keep: Sequence[str
             aggregates = [s.make() for s in here if s.kind == by]
             if aggregates:
                 df = df.join(df.where(~F.col("__halo")).groupBy(by).agg(*aggregates), by, "left")
+        base = df
         for s in (s for s in here if s.kind == "rank"):
-            df = s.make(df, largest)
+            df = s.make(base, df, largest)
         cols = [s for s in here if s.kind == "column"]
         if cols:
             df = df.select("*", *[s.make().alias(s.name) for s in cols])
@@ -518,8 +519,8 @@ def rank(x) -> Factor:
     key = _key("rank", [f])
     col = "__r_" + hashlib.md5(key.encode()).hexdigest()[:16]
 
-    def attach(df, largest):
-        vals = df.where(~F.col("__halo")).select(TIME, f.col().alias(col + "v"))
+    def attach(base, df, largest):
+        vals = base.where(~F.col("__halo")).select(TIME, f.col().alias(col + "v"))
         pct = tie_ranks(vals, col + "v", [TIME], largest=largest).select(
             F.col(TIME), F.col(col + "v"), ((F.col("smaller") + (F.col("equal") + 1) / 2) / F.col("total")).alias(col)
         )

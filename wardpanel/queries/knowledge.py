@@ -21,6 +21,7 @@ from wardpanel.queries import jobs as jq
 from wardpanel.queries import learning as ln
 from wardpanel.queries.learning import CLS, H
 from wardpanel.queries.registry import query, r, table, tidy
+from wardpanel.session import cut_lineage
 from wardpanel.sources import prepare as pr
 from wardpanel.sources.tables import scratch
 
@@ -575,14 +576,16 @@ def dirichlet(spark, sf):
 # ---- models ---------------------------------------------------------------------------------------
 
 
+BASELINE, FACTORS = ["o_totalprice", "day"], ["quantity", "discount", "f_share"]
+
+
 def tabular(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.dayofyear("o_orderdate").alias("day"))
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg((F.col("l_linestatus") == "F").cast("double")).alias("f_share"))
-    rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
-    return sp.split_by_patient(rows, "o_custkey", (0.7, 0.3), 1)
+    rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", "label", *BASELINE, *FACTORS)
+    return cut_lineage(sp.split_by_patient(rows, "o_custkey", (0.7, 0.3), 1))
 
 
-BASELINE, FACTORS = ["o_totalprice", "day"], ["quantity", "discount", "f_share"]
 
 
 @query("model_logistic_scores")
@@ -635,7 +638,7 @@ def return_ranker(spark, sf):
     from wardpanel.queries.panel import bars
 
     made = p.evaluate(bars(spark, sf), {"a": p.ts_mean("volume", 5), "b": p.delta("volume", 2), "label": p.delta("volume", 1) - p.delay("volume", 2)})
-    ready = ev.prepare_training_panel(made, ["a", "b"], "label")
+    ready = cut_lineage(ev.prepare_training_panel(made, ["a", "b"], "label"))
     model = md.fit_return_ranker(ready.where("datetime < '1999-01-01'"), ["a", "b"], "label", max_iter=3)
     scored = model.transform(ready.where("datetime >= '1999-01-01'")).select("datetime", "instrument", "signal", "label")
     return ev.ic_summary(ev.daily_ic(scored, "signal", "label"))
