@@ -106,5 +106,5 @@ def kernel_vote(points: DataFrame, reference: DataFrame, classes: int, bandwidth
 
     part = block_map(points.select("id", "vector"), reference.select("ref_id", "vector", "y"), sums, "id bigint, k int, v double")
     per = part.groupBy("id", "k").agg(F.sum("v").alias("v"))
-    rows = per.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("r"), F.greatest(F.sum("v"), F.lit(eps)).alias("t"))
+    rows = per.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("r"), F.greatest(F.sum("v"), F.lit(eps)).alias("t"))
     return rows.select("id", F.transform("r", lambda x: x["v"] / F.col("t")).alias("prob"))

@@ -30,9 +30,8 @@ def conformal_threshold(cal: DataFrame, alpha: float, by: Sequence[str] = (), ke
     if by:
         hit = ranked.join(sizes, by).where(F.col("pos") == spot).select(*by, "s")
         return sizes.join(hit, by, "left").select(*by, F.coalesce("s", F.lit(INF)).alias("threshold"))
-    one = lambda d: d.withColumn("__one", F.lit(1))
-    hit = one(ranked).join(F.broadcast(one(sizes)), "__one").where(F.col("pos") == spot).select("__one", "s")
-    return one(sizes).join(hit, "__one", "left").select(F.coalesce("s", F.lit(INF)).alias("threshold"))
+    wanted = sizes.select(spot.alias("spot")).scalar()
+    return ranked.where(F.col("pos") == wanted).agg(F.coalesce(F.max("s"), F.lit(INF)).alias("threshold"))
 
 
 def apply_threshold(df: DataFrame, thresholds: DataFrame, on: Sequence[str] = (), probs: str = "prob") -> DataFrame:
@@ -40,16 +39,16 @@ def apply_threshold(df: DataFrame, thresholds: DataFrame, on: Sequence[str] = ()
     if on:
         joined = df.join(thresholds, list(on), "left")
     else:
-        joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(thresholds.withColumn("__one", F.lit(1))), "__one").drop("__one")
+        joined = df.withColumn("threshold", thresholds.select("threshold").scalar())
     return joined.withColumn("predset", F.transform(probs, lambda p: (1 - p) <= F.col("threshold"))).drop("threshold")
 
 
 def apply_class_thresholds(df: DataFrame, thresholds: DataFrame, classes: int, label: str = "y", probs: str = "prob") -> DataFrame:
     """predset with one threshold per class (a class without one accepts everything).  The threshold table has one row per class."""
-    packed = thresholds.agg(F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("int"), "threshold"))).alias("__t")).withColumn("__one", F.lit(1))
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(packed), "__one")
+    packed = thresholds.agg(F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("int"), "threshold"))).alias("t"))
     limit = lambda i: F.coalesce(F.try_element_at("__t", i), F.lit(INF))
-    return joined.withColumn("predset", F.transform(probs, lambda p, i: (1 - p) <= limit(i))).drop("__t", "__one")
+    joined = df.withColumn("__t", packed.scalar())
+    return joined.withColumn("predset", F.transform(probs, lambda p, i: (1 - p) <= limit(i))).drop("__t")
 
 
 def weighted_quantile(rows: DataFrame, alpha: float, by: Sequence[str], score: str, weight: str, key: str) -> DataFrame:
@@ -57,13 +56,14 @@ def weighted_quantile(rows: DataFrame, alpha: float, by: Sequence[str], score: s
     by = list(by)
     run = running_totals(rows.select(*by, key, score, weight), [score, key], {"__w": F.col(weight)}, by)
     total = rows.groupBy(*by).agg(F.sum(weight).alias("__t"), F.max(score).alias("__last")) if by else rows.agg(F.sum(weight).alias("__t"), F.max(score).alias("__last"))
-    one = lambda d: d.withColumn("__one", F.lit(1))
-    joined = run.join(total, by) if by else one(run).join(F.broadcast(one(total)), "__one").drop("__one")
+    if by:
+        joined = run.join(total, by)
+    else:
+        joined = run.withColumns({"__t": total.select("__t").scalar(), "__last": total.select("__last").scalar()})
     share = F.try_divide(F.col("__w") + F.col(weight), F.col("__t"))
-    hit = joined.where(share >= alpha)
-    first = hit.groupBy(*by).agg(F.min(score).alias("__q")) if by else hit.agg(F.min(score).alias("__q"))
-    out = total.join(first, by, "left") if by else one(total).join(one(first), "__one").drop("__one")
-    return out.select(*by, F.when(F.col("__t") <= 0, F.lit(-INF)).otherwise(F.coalesce("__q", "__last")).alias("threshold"))
+    first = F.min(F.when(share >= alpha, F.col(score)))
+    picked = F.when(F.max("__t") <= 0, F.lit(-INF)).otherwise(F.coalesce(first, F.max("__last"))).alias("threshold")
+    return joined.groupBy(*by).agg(picked) if by else joined.agg(picked)
 
 
 def scott_bandwidth(df: DataFrame, vector: str = "vector") -> float:
@@ -157,7 +157,7 @@ def fit_histogram(cal: DataFrame, bins: int, key: str = "sample_id", y: str = "y
     later = F.when(small > 0, extra + F.floor(F.try_divide(F.col("pos") - head, small))).otherwise(extra)
     group = F.when(F.col("pos") < head, F.floor(F.col("pos") / (small + 1))).otherwise(later)
     edges = ranked.groupBy("k", group.alias("g")).agg(F.max("s").alias("e")).where(F.col("g") < bins - 1)
-    edges = edges.groupBy("k").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+    edges = edges.groupBy("k").agg(F.sort_array(F.collect_list("e")).alias("edges"))
     placed = rows.join(edges, "k").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("s"))))
     means = placed.groupBy("k", "bin").agg(F.avg((F.col("__y") == F.col("k")).cast("double")).alias("mean"))
     return edges, means
@@ -167,7 +167,7 @@ def apply_histogram(df: DataFrame, edges: DataFrame, means: DataFrame, key: str
     """Bin means per class, normalised over classes; a bin without calibration rows gives 0.5."""
     rows = df.select(key, F.posexplode(probs).alias("k", "s")).join(edges, "k")
     hit = rows.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("s")))).join(means, ["k", "bin"], "left")
-    got = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("mean", F.lit(0.5)).alias("v")))).alias("r"))
+    got = hit.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("mean", F.lit(0.5)).alias("v")))).alias("r"))
     vals = F.transform("r", lambda x: x["v"])
     total = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v)
     return got.select(key, F.transform(vals, lambda v: F.when(total > 0, F.try_divide(v, total)).otherwise(1.0 / F.size("r"))).alias("prob"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardpanel.operators.order import positions
+from wardpanel.operators.order import positions, running_last
 
 PAD, UNK = 0, 1
 SPECIALS = ("<pad>", "<unk>")
@@ -59,7 +59,7 @@ def encode_sequence(df: DataFrame, key: str, col: str, vocab: DataFrame, mapping
     if mapping is not None:
         leaves, spots = map_tokens(leaves, mapping), ["i1", "rank"]
     coded = leaves.join(vocab, "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK)))
-    ids = coded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*spots, "id"))).alias("__x"))
+    ids = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*spots, "id"))).alias("__x"))
     out = ids.select(key, F.transform("__x", lambda r: r["id"]).alias("__ids"))
     joined = df.join(out, key, "left")
     return joined.withColumn(name or col, F.coalesce("__ids", F.array().cast("array<bigint>"))).drop("__ids")
@@ -89,12 +89,12 @@ def encode_nested(df: DataFrame, key: str, col: str, vocab: DataFrame, lengths:
     last = f"i{depth}"
     joined = leaves.join(vocab, "token", "left").withColumn("id", F.when(F.col(last).isNotNull(), F.coalesce("id", F.lit(UNK))))
     keys = [key, *[f"i{j}" for j in range(1, depth)]]
-    level = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col(last).isNotNull(), F.struct(last, "id")))).alias("__x"))
+    level = joined.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col(last).isNotNull(), F.struct(last, "id")))).alias("__x"))
     level = level.select(*keys, pad(F.transform("__x", lambda r: r["id"].cast("bigint")), lengths[-1], F.lit(PAD).cast("bigint")).alias("row"))
     empty = F.array_repeat(F.lit(PAD).cast("bigint"), lengths[-1])
     for d in range(depth - 1, 0, -1):
         keys, spot = [key, *[f"i{j}" for j in range(1, d)]], f"i{d}"
-        rows = F.array_sort(F.collect_list(F.when(F.col(spot).isNotNull(), F.struct(spot, "row"))))
+        rows = F.sort_array(F.collect_list(F.when(F.col(spot).isNotNull(), F.struct(spot, "row"))))
         level = level.groupBy(*keys).agg(F.transform(rows, lambda r: r["row"]).alias("row"))
         if d > 1:
             level = level.withColumn("row", pad(F.col("row"), lengths[d - 2], empty))
@@ -150,10 +150,10 @@ def encode_floats(df: DataFrame, key: str, col: str, lengths: Sequence[int], for
         cells = cells.withColumn("v", _fill(cells, [*group, "j"], row, "v"))
         cells = cells.withColumn("v", _fill(cells, spot, "j", "v"))
     cells = cells.withColumn("v", F.coalesce("v", F.lit(0.0)))
-    level = cells.groupBy(*spot).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda r: r["v"]).alias("__row"))
+    level = cells.groupBy(*spot).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda r: r["v"]).alias("__row"))
     for d in range(depth - 1, 0, -1):
         keys = [key, *[f"i{k}" for k in range(1, d)]]
-        level = level.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(f"i{d}", "__row"))), lambda r: r["__row"]).alias("__row"))
+        level = level.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(f"i{d}", "__row"))), lambda r: r["__row"]).alias("__row"))
     blank = F.array_repeat(F.lit(float("nan") if forward_fill else 0.0), width)
     blank = F.array(blank) if depth == 2 else F.array(F.array(blank))
     return df.drop(col).join(level, key, "left").withColumn(col, F.coalesce("__row", blank)).drop("__row")
@@ -165,8 +165,8 @@ def fill_steps(df: DataFrame, key: str, col: str) -> DataFrame:
     v = F.when(F.isnan("token"), None).otherwise(F.col("token"))
     cells = steps.withColumn("token", v)
     cells = cells.withColumn("token", F.coalesce(_fill(cells, [key, "i2"], "i1", "token"), F.lit(0.0)))
-    rows = cells.groupBy(key, "i1").agg(F.transform(F.array_sort(F.collect_list(F.struct("i2", "token"))), lambda r: r["token"]).alias("r"))
-    out = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i1", "r"))), lambda r: r["r"]).alias("__f"))
+    rows = cells.groupBy(key, "i1").agg(F.transform(F.sort_array(F.collect_list(F.struct("i2", "token"))), lambda r: r["token"]).alias("r"))
+    out = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i1", "r"))), lambda r: r["r"]).alias("__f"))
     return df.drop(col).join(out.withColumnRenamed("__f", col), key, "left")
 
 
@@ -182,7 +182,7 @@ def resample(points: DataFrame, key: str, time: str, value: str, step_seconds: f
     grid = span.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), slot("__b"))).alias("step"))
     rows = grid.join(best, [key, "step"], "left")
     if fill == "forward":
-        rows = rows.withColumn(value, _fill(rows, [key], "step", value))
+        rows = running_last(rows, [key], ["step"], value)
     return rows.select(key, "step", (F.col("step") * (step_seconds / 3600.0)).alias("hours"), F.coalesce(value, F.lit(0.0)).alias(value))
 
 
@@ -250,7 +250,7 @@ def encode_tokens(df: DataFrame, key: str, col: str, table: DataFrame, batch: st
     cut = df.withColumn(col, keep_last(F.col(col), max_length))
     ids = {r["token"]: r["id"] for r in table.where(F.col("token").isin(*SPECIALS)).collect()}
     leaves = explode_levels(cut, [key], col, 1, outer=True).join(table, "token", "left")
-    coded = leaves.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", F.coalesce("id", F.lit(ids["<unk>"])).alias("id"))))), lambda r: r["id"]).alias("__ids"))
+    coded = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", F.coalesce("id", F.lit(ids["<unk>"])).alias("id"))))), lambda r: r["id"]).alias("__ids"))
     return pad_batch(cut.drop(col).join(coded.withColumnRenamed("__ids", col), key), col, batch, F.lit(ids["<pad>"]).cast("bigint"))
 
 
@@ -261,8 +261,8 @@ def encode_tokens_nested(df: DataFrame, key: str, col: str, table: DataFrame, ba
     inner = F.array_max(F.transform(col, lambda v: F.size(v)))
     sizes = cut.groupBy(batch).agg(F.max(F.size(col)).alias("__outer"), F.max(inner).alias("__inner"))
     leaves = explode_levels(cut, [key], col, 2, outer=True).join(table, "token", "left")
-    rows = leaves.groupBy(key, "i1").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("i2").isNotNull(), F.struct("i2", F.coalesce("id", F.lit(ids["<unk>"])).alias("id"))))), lambda r: r["id"]).alias("r"))
-    arr = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", "r")))), lambda r: r["r"]).alias(col))
+    rows = leaves.groupBy(key, "i1").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i2").isNotNull(), F.struct("i2", F.coalesce("id", F.lit(ids["<unk>"])).alias("id"))))), lambda r: r["id"]).alias("r"))
+    arr = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", "r")))), lambda r: r["r"]).alias(col))
     out = cut.drop(col).join(arr, key).join(sizes, batch)
     zero = F.lit(ids["<pad>"]).cast("bigint")
     out = out.withColumn(col, F.transform(col, lambda v: pad(v, F.col("__inner"), zero)))
@@ -272,13 +272,13 @@ def encode_tokens_nested(df: DataFrame, key: str, col: str, table: DataFrame, ba
 def decode_tokens(df: DataFrame, key: str, col: str, table: DataFrame) -> DataFrame:
     """Ids back to tokens, padding removed."""
     leaves = explode_levels(df, [key], col, 1).withColumnRenamed("token", "id").join(table, "id").where(F.col("token") != "<pad>")
-    out = leaves.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i1", "token"))), lambda r: r["token"]).alias(col))
+    out = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i1", "token"))), lambda r: r["token"]).alias(col))
     return df.drop(col).join(out, key, "left").withColumn(col, F.coalesce(col, F.array().cast("array<string>")))
 
 
 def record_index(samples: DataFrame, by: str, position: str) -> DataFrame:
     """Positions of the samples of each patient or record."""
-    return samples.groupBy(by).agg(F.array_sort(F.collect_list(position)).alias("positions"))
+    return samples.groupBy(by).agg(F.sort_array(F.collect_list(position)).alias("positions"))
 
 
 # ---- schema-driven encoding ----------------------------------------------------------------------

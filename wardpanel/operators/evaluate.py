@@ -150,7 +150,7 @@ def library_overlap(new: DataFrame, library: DataFrame) -> DataFrame:
     common leaf does not multiply rows.
     """
     lib = library.groupBy("subtree_key", "size").agg(F.min("factor").alias("library_factor"))
-    own = new.groupBy("factor", "subtree_key", "size").agg(F.lit(1).alias("__one")).drop("__one")
+    own = new.select("factor", "subtree_key", "size").distinct()
     hits = own.join(lib, ["subtree_key", "size"])
     order = F.struct("size", "subtree_key")
     best = hits.groupBy("factor").agg(F.max_by(F.struct("size", "subtree_key", "library_factor"), order).alias("b"))

@@ -85,8 +85,7 @@ def relation_ids(triples: DataFrame) -> DataFrame:
 def graph_counts(triples: DataFrame) -> DataFrame:
     ends = triples.select(F.explode(F.array("head", "tail")).alias("e")).agg(F.countDistinct("e").alias("entities"))
     rest = triples.agg(F.countDistinct("relation").alias("relations"), F.count(F.lit(1)).alias("triples"))
-    one = lambda d: d.withColumn("__one", F.lit(1))
-    return one(ends).join(one(rest), "__one").drop("__one")
+    return ends.select("*", *[rest.select(c).scalar().alias(c) for c in rest.columns])
 
 
 def undirected(edges: DataFrame, a: str = "head", b: str = "tail") -> DataFrame:
@@ -187,11 +186,11 @@ def link_truth(triples: DataFrame) -> DataFrame:
 
 
 def truth_heads(triples: DataFrame) -> DataFrame:
-    return triples.select("head", "relation", "tail").distinct().groupBy("relation", "tail").agg(F.array_sort(F.collect_list("head")).alias("heads"))
+    return triples.select("head", "relation", "tail").distinct().groupBy("relation", "tail").agg(F.sort_array(F.collect_list("head")).alias("heads"))
 
 
 def truth_tails(triples: DataFrame) -> DataFrame:
-    return triples.select("head", "relation", "tail").distinct().groupBy("head", "relation").agg(F.array_sort(F.collect_list("tail")).alias("tails"))
+    return triples.select("head", "relation", "tail").distinct().groupBy("head", "relation").agg(F.sort_array(F.collect_list("tail")).alias("tails"))
 
 
 def co_prescription(rows: DataFrame, group: str = "visit_id", drug: str = "drug") -> DataFrame:
@@ -200,7 +199,7 @@ def co_prescription(rows: DataFrame, group: str = "visit_id", drug: str = "drug"
     The result is the adjacency itself, at most vocabulary squared.  Equal drug lists are merged first, and the pairs of a
     list are folded into the distinct aggregate before any shuffle.
     """
-    lists = rows.select(group, drug).distinct().groupBy(group).agg(F.array_sort(F.collect_list(drug)).alias("d")).select("d").distinct()
+    lists = rows.select(group, drug).distinct().groupBy(group).agg(F.sort_array(F.collect_list(drug)).alias("d")).select("d").distinct()
     first = lists.where(F.size("d") > 1).select("d", F.posexplode("d").alias("i", "a"))
     later = first.select("a", F.explode(F.slice("d", F.col("i") + 2, F.size("d"))).alias("b")).distinct()
     return later.union(later.select("b", "a")).distinct()

@@ -23,6 +23,11 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b != 0, F.try_divide(a, b)).otherwise(F.lit(0.0))
 
 
+def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row tables as one row."""
+    return first.select("*", *[o.select(c).scalar().alias(c) for o in others for c in o.columns])
+
+
 # ---- binary --------------------------------------------------------------------------------------
 
 
@@ -159,8 +164,7 @@ def multilabel_areas(rows: DataFrame, key: str) -> DataFrame:
     weight = lambda c: F.try_divide(F.sum(F.col(c) * F.col("positives")), F.sum("positives"))
     macro = per.agg(F.avg("roc_auc").alias("roc_auc_macro"), F.avg("pr_auc").alias("pr_auc_macro"), weight("roc_auc").alias("roc_auc_weighted"), weight("pr_auc").alias("pr_auc_weighted"))
     each = ranking_areas(rows, [key]).agg(F.avg("roc_auc").alias("roc_auc_samples"), F.avg("pr_auc").alias("pr_auc_samples"))
-    one = lambda d: d.withColumn("__one", F.lit(1))
-    return one(micro).join(one(macro), "__one").join(one(each), "__one").drop("__one")
+    return side_by_side(micro, macro, each)
 
 
 def multilabel_scores(rows: DataFrame, key: str, threshold: float = 0.3) -> DataFrame:
@@ -175,8 +179,7 @@ def multilabel_scores(rows: DataFrame, key: str, threshold: float = 0.3) -> Data
     per = confusion(marked, ["k"])
     macro = per.agg(*[F.avg(c).alias(f"{m}_macro") for m, c in score.items()], *[_div(F.sum(c * (tp + fn)), F.sum(tp + fn)).alias(f"{m}_weighted") for m, c in score.items()])
     each = confusion(marked, [key]).agg(*[F.avg(c).alias(f"{m}_samples") for m, c in score.items()])
-    one = lambda d: d.withColumn("__one", F.lit(1))
-    return one(micro).join(one(macro), "__one").join(one(each), "__one").drop("__one")
+    return side_by_side(micro, macro, each)
 
 
 def set_hits(df: DataFrame, y: str = "y", predset: str = "predset") -> DataFrame:
@@ -215,8 +218,8 @@ def equal_mass_bins(df: DataFrame, conf: str, key: Sequence[str], bins: int, by:
     """Adds `bin`: equal counts in order of confidence, the remainder goes to the last bins."""
     by = list(by)
     ranked = positions(df, [conf, *key], by, "__pos")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else df.agg(F.count(F.lit(1)).alias("__n"))
-    joined = ranked.join(sizes, by) if by else ranked.withColumn("__one", F.lit(1)).join(F.broadcast(sizes.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    size = F.count(F.lit(1)).alias("__n")
+    joined = ranked.join(df.groupBy(*by).agg(size), by) if by else ranked.withColumn("__n", df.agg(size).scalar())
     step, extra = F.floor(F.col("__n") / bins), F.col("__n") % bins
     plain = (bins - extra) * step
     low = F.when(step > 0, F.floor(F.try_divide(F.col("__pos"), step)))
@@ -306,8 +309,7 @@ def interaction_rate(rows: DataFrame, pairs: DataFrame, key: str = "sample_id",
     hits = partner.join(counts.select(key, F.col("a").alias("b"), F.col("na").alias("nb")), [key, "b"])
     same = F.when(F.col("a") == F.col("b"), F.col("na") * (F.col("na") - 1)).otherwise(F.col("na") * F.col("nb"))
     found = hits.agg(F.coalesce(F.sum(same) / 2, F.lit(0.0)).alias("hit"))
-    one = lambda d: d.withColumn("__one", F.lit(1))
-    return one(sizes).join(one(found), "__one").select(_div(F.col("hit"), F.coalesce(F.col("all"), F.lit(0.0))).alias("ddi_rate"))
+    return side_by_side(sizes, found).select(_div(F.col("hit"), F.coalesce(F.col("all"), F.lit(0.0))).alias("ddi_rate"))
 
 
 def retrieval_scores(results: DataFrame, qrels: DataFrame, ks: Sequence[int], query: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -319,8 +321,8 @@ def retrieval_scores(results: DataFrame, qrels: DataFrame, ks: Sequence[int], qu
     hits = ranked.join(judged.select(query, doc, "relevance"), [query, doc], "left").withColumn("rel", F.coalesce("relevance", F.lit(0)))
     ideal = top_per_group(judged, [query], [F.desc("relevance"), F.col(doc)], top, "rank")
     total = judged.groupBy(query).agg(F.count(F.lit(1)).alias("R"))
-    listed = hits.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", "rel"))).alias("h"))
-    best = ideal.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("relevance").alias("rel")))).alias("i"))
+    listed = hits.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("rank", "rel"))).alias("h"))
+    best = ideal.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("relevance").alias("rel")))).alias("i"))
     rows = queries.join(listed, query, "left").join(best, query, "left").join(total, query, "left")
     add = lambda arr, fn: F.coalesce(F.aggregate(F.transform(arr, fn), F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
     gain = lambda k: lambda x: F.when(x["rank"] <= k, x["rel"] / F.log2(x["rank"] + F.lit(1.0))).otherwise(F.lit(0.0))

@@ -17,7 +17,7 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     """Row weight n / (classes * class size)."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
     total = sizes.agg(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    return df.join(F.broadcast(sizes), label).withColumn(name, F.lit(float(total["n"])) / (F.lit(float(total["k"])) * F.col("__c"))).drop("__c")
+    return df.join(sizes, label).withColumn(name, F.lit(float(total["n"])) / (F.lit(float(total["k"])) * F.col("__c"))).drop("__c")
 
 
 def feature_columns(kind: str, baseline: Sequence[str], factors: Sequence[str]) -> list[str]:

@@ -99,6 +99,25 @@ def running_totals(
     return result.select(*df.columns, *measures)
 
 
+def running_last(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str | None = None, **kw) -> DataFrame:
+    """Last non-null value up to and including each row (forward fill), for groups of any size; `by` + `order` unique."""
+    by, order, name = list(by), list(order), name or value
+    upto = lambda parts: Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if largest_group(df, by) <= group_rows(df):
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(upto(by or [F.lit(0)])))
+    edges = _edges(df, order, kw.get("ranges", RANGES), kw.get("sample_rows", SAMPLE_ROWS))
+    ranged = df.withColumn("__range", _range_id(df, order, edges))
+    parts = by + ["__range"]
+    held = ranged.where(F.col(value).isNotNull()).groupBy(*parts).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__v"))
+    every = ranged.groupBy(*parts).agg(F.lit(1).alias("__any")).drop("__any").join(held, parts, "left")
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(*parts, F.last("__v", ignorenulls=True).over(earlier).alias("__c"))
+    local = ranged.withColumn("__l", F.last(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"))), ignorenulls=True).over(upto(parts)))
+    out = local.join(carried, parts, "left").withColumn("__w", F.coalesce("__l", "__c").getField("v"))
+    cols = [c for c in df.columns if c != name]
+    return out.select(*cols, F.col("__w").alias(name))
+
+
 def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "pos", **kw) -> DataFrame:
     """0-based position of each row inside its group, in `order` (unique within the group)."""
     return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, **kw)
@@ -114,8 +133,7 @@ def tie_ranks(
     if by:
         totals = counts.groupBy(*by).agg(F.sum(equal).alias(total))
         return ranked.join(totals, by)
-    totals = counts.agg(F.sum(equal).alias(total)).withColumn("__one", F.lit(1))
-    return ranked.withColumn("__one", F.lit(1)).join(F.broadcast(totals), "__one").drop("__one")
+    return ranked.withColumn(total, counts.agg(F.sum(equal).alias(total)).scalar())
 
 
 def percent_ranks(df: DataFrame, names: Mapping[str, str], by: Sequence[str], largest: int | None = None, **kw) -> DataFrame:

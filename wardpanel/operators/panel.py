@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardpanel.functions.numeric import finite_or_null, ratio as safe_ratio
-from wardpanel.operators.order import drop_halo, largest_group, split_series, tie_ranks
+from wardpanel.operators.order import drop_halo, largest_group, neighbour, running_last, split_series, tie_ranks
 
 INSTRUMENT, TIME = "instrument", "datetime"
 SERIES = (INSTRUMENT, "__chunk")
@@ -230,7 +230,7 @@ def _values(x, p: int) -> Factor:
 
 
 def _sorted_values(x, p: int) -> Factor:
-    return staged(elementwise("sorted", F.array_sort, _values(x, p)))
+    return staged(elementwise("sorted", F.sort_array, _values(x, p)))
 
 
 def _full(x, p: int) -> Factor:
@@ -342,7 +342,7 @@ def ts_zscore(x, p: int = 5) -> Factor:
 def ts_mad(x, p: int = 5) -> Factor:
     def mad(a, ok):
         mid = _quantile_of(a, 0.5)
-        return F.when(ok, _quantile_of(F.array_sort(F.transform(a, lambda v: F.abs(v - mid))), 0.5))
+        return F.when(ok, _quantile_of(F.sort_array(F.transform(a, lambda v: F.abs(v - mid))), 0.5))
 
     return elementwise("ts_mad", mad, _sorted_values(x, p), _full(x, p))
 
@@ -617,9 +617,9 @@ def dedupe_last(panel: DataFrame, ingest: Sequence[str]) -> DataFrame:
 
 
 def with_return(panel: DataFrame, price: str = "close") -> DataFrame:
-    w = Window.partitionBy(INSTRUMENT).orderBy(TIME)
-    prev = F.lag(price).over(w)
-    return panel.withColumn("ret", F.coalesce(F.when(prev != 0, F.col(price) / prev - 1), F.lit(0.0)))
+    moved = neighbour(panel, [INSTRUMENT], [TIME], {"__prev": F.col(price)}, -1)
+    change = F.when(F.col("__prev") != 0, F.col(price) / F.col("__prev") - 1)
+    return moved.withColumn("ret", F.coalesce(change, F.lit(0.0))).drop("__prev")
 
 
 def align_on_keys(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -630,13 +630,12 @@ def align_on_keys(left: DataFrame, right: DataFrame) -> DataFrame:
 def align_as_of(panel: DataFrame, series: DataFrame, value: str) -> DataFrame:
     """Date-only series carried onto panel rows: the value of the last series date at or before the row.
 
-    Both sides are reduced to distinct dates before the ordered fill, so the window runs over the calendar only.
+    Both sides are reduced to distinct dates before the ordered fill, so it runs over the calendar only.
     """
     days = panel.select(TIME).distinct().select(TIME, F.lit(1).alias("__p"))
     marked = days.unionByName(series.select(TIME, F.lit(0).alias("__p"), F.struct(F.col(value).alias("v")).alias("__v")), allowMissingColumns=True)
     per_day = marked.groupBy(TIME).agg(F.max("__p").alias("__p"), F.first("__v", ignorenulls=True).alias("__v"))
-    fill = Window.partitionBy(F.lit(0)).orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
-    filled = per_day.withColumn("__v", F.last("__v", ignorenulls=True).over(fill)).where("__p = 1")
+    filled = running_last(per_day, [], [TIME], "__v").where("__p = 1")
     return panel.join(filled.select(TIME, F.col("__v")["v"].alias(value)), TIME, "left")
 
 

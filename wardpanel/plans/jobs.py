@@ -46,7 +46,7 @@ def parse_two(value: Column, first: str = "yyyy-MM-dd HH:mm:ss", second: str = "
 def code_lists(codes: DataFrame, by: Sequence[str] = ("visit_id",), kinds: Sequence[str] = KINDS, distinct: bool = False) -> DataFrame:
     """One ordered array per kind and group; one shuffle for all kinds."""
     def ordered(kind):
-        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", "code"))))
+        rows = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", "code"))))
         out = F.transform(rows, lambda r: r["code"])
         return (F.array_distinct(out) if distinct else out).alias(kind)
 
@@ -149,7 +149,7 @@ def mortality_any_death(visits: DataFrame, codes: DataFrame, deaths: DataFrame)
 
 def note_text(notes: DataFrame, by: Sequence[str] = ("visit_id",), separator: str = "", lead: str = "") -> DataFrame:
     """Texts of a visit joined in order."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    rows = F.sort_array(F.collect_list(F.struct("seq", "text")))
     joined = F.array_join(F.transform(rows, lambda r: F.concat(F.lit(lead), r["text"])), separator)
     return notes.where(F.col("text").isNotNull()).groupBy(*by).agg(joined.alias("clinical_notes"))
 
@@ -169,7 +169,7 @@ def mortality_with_notes(visits: DataFrame, codes: DataFrame, notes: DataFrame)
 def medical_coding(notes: DataFrame, codes: DataFrame) -> DataFrame:
     """Visit text and the sorted set of its codes; visits need both."""
     text = note_text(notes, ["patient_id", "visit_id"], lead=" ")
-    sets = codes.where(F.col("code").isNotNull()).groupBy("visit_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    sets = codes.where(F.col("code").isNotNull()).groupBy("visit_id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
     return text.join(sets, "visit_id").select("patient_id", "visit_id", F.col("clinical_notes").alias("text"), "codes")
 
 
@@ -213,7 +213,7 @@ def in_hospital_mortality(visits: DataFrame, labs: DataFrame, hours: int = 48) -
     timed = labs.where(F.col("item").isin(cd.LAB_ITEMS)).drop("visit_id")
     inside = events_in_visits(long, timed, "start", "until").where(F.col("stored") <= F.col("until"))
     rows = lab_pivot(inside, ["patient_id", "visit_id", "died"])
-    series = rows.groupBy("patient_id", "visit_id", "died").agg(F.array_sort(F.collect_list(F.struct("time", "values"))).alias("labs"))
+    series = rows.groupBy("patient_id", "visit_id", "died").agg(F.sort_array(F.collect_list(F.struct("time", "values"))).alias("labs"))
     return series.select("patient_id", "visit_id", "labs", F.col("died").cast("int").alias("mortality"))
 
 
@@ -226,7 +226,7 @@ def _sequence(visits: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def _collect(rows: DataFrame, order: Sequence[str], value: str, time: str, name: str) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(time).alias("__t"), F.col(value).alias("__v"))))
+    items = F.sort_array(F.collect_list(F.struct(*order, F.col(time).alias("__t"), F.col(value).alias("__v"))))
     out = rows.groupBy("patient_id").agg(items.alias("__i"))
     return out.select("patient_id", F.struct(
         F.transform("__i", lambda r: r["__t"]).alias("time"), F.transform("__i", lambda r: r["__v"]).alias("value")).alias(name))
@@ -274,7 +274,7 @@ def positive_findings(rows: DataFrame, findings: Sequence[str], by: Sequence[str
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("name"), F.col(f"`{f}`").cast("string").try_cast("double").alias("v")) for i, f in enumerate(findings)])
     long = rows.select(*by, F.col(order).alias("__o"), F.explode(cells).alias("c")).where("c.v > 0")
     first = long.groupBy(*by, "c.name").agg(F.min(F.struct("__o", "c.i")).alias("__first"))
-    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__first", "name"))), lambda r: r["name"]).alias("findings"))
+    return first.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("__first", "name"))), lambda r: r["name"]).alias("findings"))
 
 
 def multimodal_mortality(visits: DataFrame, codes: DataFrame, notes: DataFrame, labs: DataFrame, images: DataFrame, findings: DataFrame) -> DataFrame:
@@ -286,14 +286,14 @@ def multimodal_mortality(visits: DataFrame, codes: DataFrame, notes: DataFrame,
     lists = kept.select("patient_id", "visit_id", "start").join(code_lists(codes), "visit_id", "left")
     empty = F.array().cast("array<string>")
     per_visit = lists.groupBy("patient_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "visit_id", *[F.coalesce(k, empty).alias(k) for k in KINDS]))).alias("__v"))
+        F.sort_array(F.collect_list(F.struct("start", "visit_id", *[F.coalesce(k, empty).alias(k) for k in KINDS]))).alias("__v"))
     parts = [F.col(f"__v.{k}").alias(k) for k in KINDS]
     base = per_visit.select("patient_id", *parts)
     for k in KINDS:
         base = base.where(F.exists(k, lambda x: F.size(x) > 0))
     ids = kept.select("visit_id", "start")
     texts = notes.where(F.length("text") > 0).join(ids, "visit_id")
-    pick = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("start", "visit_id", "seq", "text")))), lambda r: r["text"]).alias(kind)
+    pick = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("start", "visit_id", "seq", "text")))), lambda r: r["text"]).alias(kind)
     noted = texts.groupBy("patient_id").agg(pick("discharge"), pick("radiology"))
     first = kept.groupBy("patient_id").agg(F.min("start").alias("__first"), F.max("mortality").alias("mortality"))
     timed = labs.where(F.col("item").isin(cd.LAB_ITEMS)).drop("visit_id")
@@ -319,7 +319,7 @@ def _marked_codes(codes: DataFrame) -> DataFrame:
 def _diabetes_rows(visits: DataFrame, codes: DataFrame, labs: DataFrame, kept: DataFrame) -> DataFrame:
     marked = _marked_codes(codes)
     first = marked.groupBy("visit_id", "code").agg(F.min("seq").alias("seq"))
-    lists = first.groupBy("visit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "code"))), lambda r: r["code"]).alias("codes"))
+    lists = first.groupBy("visit_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "code"))), lambda r: r["code"]).alias("codes"))
     prev = neighbour(kept, ["patient_id"], VISIT_ORDER, {"__prev": F.col("start")}, -1)
     rows = prev.withColumn("gap_hours", F.coalesce(hours_between(F.col("__prev"), F.col("start")), F.lit(0.0)))
     icd = _collect(rows.join(lists, "visit_id"), VISIT_ORDER, "codes", "gap_hours", "icd_codes")
@@ -420,7 +420,7 @@ def linkage_pairs(visits: DataFrame, codes: DataFrame, separator: str = "[SEP]",
     is_last = F.struct(*VISIT_ORDER) == F.col("__last")
     query = rows.where(is_last & (F.col("age") >= 18)).select("patient_id", "visit_id", "conditions", "age", "identifiers", "start")
     docs = rows.where(~is_last & (F.col("age") >= 18))
-    body = F.array_sort(F.collect_list(F.struct(*VISIT_ORDER, "conditions")))
+    body = F.sort_array(F.collect_list(F.struct(*VISIT_ORDER, "conditions")))
     joined = F.aggregate(
         "__b", F.array().cast("array<string>"),
         lambda acc, r: F.when(F.size(acc) == 0, r["conditions"]).otherwise(F.concat(acc, F.array(F.lit(separator)), r["conditions"])))
@@ -460,7 +460,7 @@ def positive_bits(value: Column, width: int = 14) -> Column:
 def codes_until(labels: DataFrame, events: DataFrame, splits: DataFrame) -> DataFrame:
     """Codes of the patient up to and including the label time, with the official split."""
     joined = labels.join(events.select("patient_id", "time", "seq", "code"), "patient_id").where(F.col("time") <= F.col("label_time"))
-    rows = joined.groupBy("patient_id", "label_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("time", "seq", "code"))), lambda r: r["code"]).alias("feature"))
+    rows = joined.groupBy("patient_id", "label_id", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("time", "seq", "code"))), lambda r: r["code"]).alias("feature"))
     empty = labels.join(rows.select("label_id"), "label_id", "left_anti").select("patient_id", "label_id", "label", F.array().cast("array<string>").alias("feature"))
     return rows.unionByName(empty).join(splits, "patient_id")
 
@@ -492,7 +492,7 @@ def survival_features(rows: DataFrame, target: str, numeric: Mapping[str, Sequen
 
 def gene_lists(mutations: DataFrame) -> DataFrame:
     kept = mutations.where(F.col("gene").isNotNull() & (F.lower("gene") != "nan"))
-    return kept.groupBy("patient_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "gene"))), lambda r: r["gene"]).alias("mutations"))
+    return kept.groupBy("patient_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "gene"))), lambda r: r["gene"]).alias("mutations"))
 
 
 def vital_status(raw: Column) -> Column:

@@ -309,7 +309,7 @@ f AS (SELECT visit_id, target, min(row({', '.join(SEQ)}, rk)) AS o FROM l JOIN m
 SELECT visit_id, string_agg(target, ',' ORDER BY o) AS drugs FROM f GROUP BY 1""")
 def map_codes(spark, sf):
     first = jobs.map_codes_ordered(codes(spark, sf).where("kind = 'drugs'"), name_to_brand(spark, sf))
-    return first.groupBy("visit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "code"))), lambda r: r["code"]), ",").alias("drugs"))
+    return first.groupBy("visit_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "code"))), lambda r: r["code"]), ",").alias("drugs"))
 
 
 AGE = "CAST(floor(floor((epoch(st) - epoch(CAST(birth AS TIMESTAMP))) / 86400) / 365.25) AS INTEGER)"

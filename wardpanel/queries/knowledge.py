@@ -23,7 +23,7 @@ from wardpanel.queries.learning import CLS, H
 from wardpanel.queries.registry import query, r, table, tidy
 from wardpanel.session import cut_lineage
 from wardpanel.sources import prepare as pr
-from wardpanel.sources.tables import scratch
+from wardpanel.sources.tables import scratch, spread
 
 # ---- codes and text -------------------------------------------------------------------------------
 
@@ -361,7 +361,7 @@ def centroids(spark, sf):
     """Mean vector per label: one query per class."""
     e = vectors(spark, sf).select("y", F.posexplode("vector").alias("i", "v"))
     m = e.groupBy("y", "i").agg(F.avg("v").alias("v"))
-    return m.groupBy(F.col("y").cast("bigint").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda q: q["v"]).alias("vector"))
+    return m.groupBy(F.col("y").cast("bigint").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda q: q["v"]).alias("vector"))
 
 
 VEC = """WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label AS y FROM embeddings),
@@ -391,7 +391,7 @@ sc AS (SELECT query_id, doc_id, sum(q * i * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75
 
 
 def doc_words(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("tokens"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.split("text", " ").alias("tokens"))
 
 
 def query_words(spark, sf):
@@ -509,8 +509,8 @@ def covariate(spark, sf):
     cal, test = cal_test(spark, sf)
     weights = ca.covariate_weights(as_vectors(cal), as_vectors(test)).withColumnRenamed("id", "sample_id")
     scored = cal.select("sample_id", ca.true_probability().alias("s")).join(weights, "sample_id")
-    cut = ca.weighted_quantile(scored, 0.1, [], "s", "weight", "sample_id").withColumn("__one", F.lit(1))
-    out = scored.withColumn("__one", F.lit(1)).join(F.broadcast(cut), "__one")
+    cut = ca.weighted_quantile(scored, 0.1, [], "s", "weight", "sample_id")
+    out = scored.withColumn("threshold", cut.scalar())
     return tidy(out, ["sample_id"], ["weight", "threshold"])
 
 
@@ -624,12 +624,12 @@ def permutation_importance(spark, sf):
     model = md.fit_logistic(rows.where("split = 'train'"), names, "label", max_iter=20)
     test = rows.where("split = 'val'").select("o_orderkey", "label", *names)
     area = lambda d: mt.ranking_areas(md.predictions(model, d, ["label"]).select(F.col("label").alias("y"), F.get("prob", 1).alias("prob"))).select("roc_auc")
-    base = area(test).withColumnRenamed("roc_auc", "base").withColumn("__one", F.lit(1))
+    base = area(test).scalar()
     out = None
     for n in names:
-        one = area(mt.shuffled_column(test, "o_orderkey", n, 3)).select(F.lit(n).alias("feature"), "roc_auc", F.lit(1).alias("__one"))
+        one = area(mt.shuffled_column(test, "o_orderkey", n, 3)).select(F.lit(n).alias("feature"), "roc_auc")
         out = one if out is None else out.unionByName(one)
-    return out.join(base, "__one").select("feature", (F.col("base") - F.col("roc_auc")).alias("importance"))
+    return out.select("feature", (base - F.col("roc_auc")).alias("importance"))
 
 
 @query("model_return_ranker")

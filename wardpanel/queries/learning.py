@@ -20,7 +20,7 @@ def visit_tokens(spark, sf):
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     token = F.when(F.col("l_discount") > 0.005, F.col("p_name"))
     rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_custkey", "o_orderdate", F.struct(*SEQ, token.alias("t")).alias("s"), "l_orderkey")
-    per = rows.groupBy("o_custkey", "o_orderdate", "o_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("l_orderkey").isNotNull(), F.col("s")))), lambda x: x["t"]).alias("tokens"))
+    per = rows.groupBy("o_custkey", "o_orderdate", "o_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("l_orderkey").isNotNull(), F.col("s")))), lambda x: x["t"]).alias("tokens"))
     return per
 
 
@@ -28,7 +28,7 @@ def nested_samples(spark, sf):
     """pid, tokens: array of arrays, visits in order."""
     v = visit_tokens(spark, sf)
     return v.groupBy(F.col("o_custkey").alias("pid")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "tokens"))), lambda x: x["tokens"]).alias("tokens"))
+        F.transform(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "tokens"))), lambda x: x["tokens"]).alias("tokens"))
 
 
 def flat_samples(spark, sf):
@@ -119,8 +119,8 @@ def number_samples(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     li = table(spark, sf, "lineitem").withColumn("v", F.when(F.col("l_tax") > 0.015, F.col("l_quantity")))
     rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("s", F.when((F.col("o_orderstatus") != "P") & F.col("l_orderkey").isNotNull(), F.struct(*SEQ, "v")))
-    per = rows.groupBy("o_custkey", "o_orderdate", "o_orderkey").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["v"]).alias("vals"))
-    return per.groupBy(F.col("o_custkey").alias("pid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "vals"))), lambda x: x["vals"]).alias("vals"))
+    per = rows.groupBy("o_custkey", "o_orderdate", "o_orderkey").agg(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["v"]).alias("vals"))
+    return per.groupBy(F.col("o_custkey").alias("pid")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "vals"))), lambda x: x["vals"]).alias("vals"))
 
 
 FLOATS = f"""WITH vis AS (SELECT o_custkey AS pid, o_orderkey AS sid, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM orders),
@@ -164,7 +164,7 @@ SELECT user_id, string_agg(CAST(round(a * 100) AS BIGINT) || '/' || CAST(round(b
 def stage_tensor(spark, sf):
     e = table(spark, sf, "events")
     a, b = F.when(F.col("event_type") != "click", F.col("value")), F.when(F.col("event_type") == "view", F.col("value"))
-    s = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.array(a, b).alias("x")))).alias("r")).select("user_id", F.transform("r", lambda q: q["x"]).alias("steps"))
+    s = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.array(a, b).alias("x")))).alias("r")).select("user_id", F.transform("r", lambda q: q["x"]).alias("steps"))
     out = en.fill_steps(s, "user_id", "steps")
     return out.select("user_id", F.array_join(F.transform("steps", lambda x: F.array_join(F.transform(x, lambda v: F.round(v * 100).cast("bigint").cast("string")), "/")), ";").alias("steps"))
 

@@ -188,7 +188,7 @@ def image_files(spark, sf):
 def split_records(spark, sf):
     d = table(spark, sf, "documents")
     marked = F.concat(F.lit("START_OF_RECORD="), (F.col("doc_id") % 97).cast("string"), F.lit("||||"), F.col("doc_id").cast("string"), F.lit("||||\n"), F.col("text"), F.lit("\n||||END_OF_RECORD\n\n"))
-    files = d.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", marked.alias("m")))), lambda r: r["m"]), "").alias("value"))
+    files = d.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", marked.alias("m")))), lambda r: r["m"]), "").alias("value"))
     return pr.split_records(files)
 
 
@@ -256,10 +256,14 @@ def user_function(spark, sf):
     """The per-patient user function over the whole event table."""
     import pandas as pd
 
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf["timestamp"].dropna()
-        text = lambda v: None if len(t) == 0 else v.strftime("%Y-%m-%d")
-        return pd.DataFrame({"patient_id": [pdf["patient_id"].iloc[0]], "first_day": [text(t.min())], "last_day": [text(t.max())], "timed": [len(t)]})
+    def task(pid, chunks):
+        first, last, timed = None, None, 0
+        for pdf in chunks:
+            t = pdf["timestamp"].dropna()
+            if len(t):
+                first, last, timed = first if first is not None else t.iloc[0], t.iloc[-1], timed + len(t)
+        day = lambda v: None if v is None else v.strftime("%Y-%m-%d")
+        yield pd.DataFrame({"patient_id": [pid], "first_day": [day(first)], "last_day": [day(last)], "timed": [timed]})
 
     return tb.by_patient(events(spark, sf).select("patient_id", "timestamp"), task, "patient_id string, first_day string, last_day string, timed bigint")
 

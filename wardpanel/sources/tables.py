@@ -18,6 +18,16 @@ from pyspark.sql import types as T
 from wardpanel.session import checkpoint_folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, repartitioned once; larger inputs pass through untouched.
+
+    For plain scans only: heavy per-row work on a single small file would otherwise run in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 @dataclass(frozen=True)
 class JoinConfig:
     file_path: str
@@ -218,12 +228,29 @@ def event_stats_by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("patient_id").alias("patients"))
 
 
-def by_patient(events: DataFrame, task: Callable, schema: T.StructType | str) -> DataFrame:
-    """User function over all events of a patient (pandas frame in, pandas frame out).
+def by_patient(events: DataFrame, task: Callable, schema: T.StructType | str, order: Sequence[str] = ("timestamp",)) -> DataFrame:
+    """User function over the events of each patient, in time order.
 
-    The escape hatch for custom logic: one call sees one patient whole.  The shipped jobs do not use it.
+    task(patient_id, chunks) gets an iterator of pandas frames and yields pandas frames, so a patient with very many
+    events streams through in bounded memory.  The shipped jobs do not need this: they are plain joins and aggregates.
     """
-    return events.groupBy("patient_id").applyInPandas(task, schema)
+    def run(batches):
+        import itertools
+
+        def pieces():
+            for pdf in batches:
+                cut = (pdf["patient_id"] != pdf["patient_id"].shift()).cumsum()
+                for _, part in pdf.groupby(cut, sort=False):
+                    yield part["patient_id"].iloc[0], part
+
+        for pid, parts in itertools.groupby(pieces(), key=lambda p: p[0]):
+            chunks = (part for _, part in parts)
+            yield from task(pid, chunks)
+            for _ in chunks:
+                pass
+
+    together = events.where(F.col("patient_id").isNotNull()).repartition("patient_id").sortWithinPartitions("patient_id", *order)
+    return together.mapInPandas(run, schema)
 
 
 # ---- table preprocessing -------------------------------------------------------------------------
