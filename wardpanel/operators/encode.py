@@ -52,15 +52,20 @@ def map_tokens(leaves: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.coalesce("rank", F.lit(0))).drop("target")
 
 
+def _codes(vocab: DataFrame) -> DataFrame:
+    """The id under a name that cannot meet a key column."""
+    return vocab.withColumnRenamed("id", "__id")
+
+
 def encode_sequence(df: DataFrame, key: str, col: str, vocab: DataFrame, mapping: DataFrame | None = None, name: str | None = None) -> DataFrame:
     """Flat token array to id array; unknown tokens get the unknown id, nulls are dropped."""
     leaves = explode_levels(df, [key], col, 1).where(F.col("token").isNotNull())
     spots = ["i1"]
     if mapping is not None:
         leaves, spots = map_tokens(leaves, mapping), ["i1", "rank"]
-    coded = leaves.join(vocab, "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK)))
-    ids = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*spots, "id"))).alias("__x"))
-    out = ids.select(key, F.transform("__x", lambda r: r["id"]).alias("__ids"))
+    coded = leaves.join(_codes(vocab), "token", "left").withColumn("__id", F.coalesce("__id", F.lit(UNK)))
+    ids = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*spots, "__id"))).alias("__x"))
+    out = ids.select(key, F.transform("__x", lambda r: r["__id"]).alias("__ids"))
     joined = df.join(out, key, "left")
     return joined.withColumn(name or col, F.coalesce("__ids", F.array().cast("array<bigint>"))).drop("__ids")
 
@@ -87,10 +92,10 @@ def encode_nested(df: DataFrame, key: str, col: str, vocab: DataFrame, lengths:
     depth = _depth(df, col)
     leaves = explode_levels(df, [key], col, depth, outer=True)
     last = f"i{depth}"
-    joined = leaves.join(vocab, "token", "left").withColumn("id", F.when(F.col(last).isNotNull(), F.coalesce("id", F.lit(UNK))))
+    joined = leaves.join(_codes(vocab), "token", "left").withColumn("__id", F.when(F.col(last).isNotNull(), F.coalesce("__id", F.lit(UNK))))
     keys = [key, *[f"i{j}" for j in range(1, depth)]]
-    level = joined.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col(last).isNotNull(), F.struct(last, "id")))).alias("__x"))
-    level = level.select(*keys, pad(F.transform("__x", lambda r: r["id"].cast("bigint")), lengths[-1], F.lit(PAD).cast("bigint")).alias("row"))
+    level = joined.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col(last).isNotNull(), F.struct(last, "__id")))).alias("__x"))
+    level = level.select(*keys, pad(F.transform("__x", lambda r: r["__id"].cast("bigint")), lengths[-1], F.lit(PAD).cast("bigint")).alias("row"))
     empty = F.array_repeat(F.lit(PAD).cast("bigint"), lengths[-1])
     for d in range(depth - 1, 0, -1):
         keys, spot = [key, *[f"i{j}" for j in range(1, d)]], f"i{d}"
@@ -208,17 +213,17 @@ def fit_labels(df: DataFrame, col: str, binary: bool = False) -> DataFrame:
 
 def encode_label(df: DataFrame, col: str, vocab: DataFrame) -> DataFrame:
     """Label to its index; an unseen label is an error."""
-    out = df.join(vocab.withColumnRenamed("label", col), col, "left")
+    out = df.join(_codes(vocab).withColumnRenamed("label", col), col, "left")
     unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.coalesce(F.col(col).cast("string"), F.lit("null")))).cast("bigint")
-    return out.withColumn(col, F.coalesce(F.col("id"), unseen)).drop("id").select(*df.columns)
+    return out.withColumn(col, F.coalesce(F.col("__id"), unseen)).select(*df.columns)
 
 
 def encode_multi_hot(df: DataFrame, key: str, col: str, vocab: DataFrame, size: int | None = None) -> DataFrame:
     """Label array to a 0/1 array over the sorted vocabulary; an unseen label is an error."""
     n = size if size is not None else vocab.count()
-    flat = df.select(key, F.explode(col).alias("label")).join(vocab, "label", "left")
+    flat = df.select(key, F.explode(col).alias("label")).join(_codes(vocab), "label", "left")
     unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.col("label").cast("string"))).cast("bigint")
-    hits = flat.groupBy(key).agg(F.collect_set(F.coalesce(F.col("id"), unseen)).alias("__h"))
+    hits = flat.groupBy(key).agg(F.collect_set(F.coalesce(F.col("__id"), unseen)).alias("__h"))
     out = df.drop(col).join(hits, key, "left")
     flags = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")), lambda i: F.coalesce(F.array_contains("__h", i), F.lit(False)).cast("int"))
     return out.withColumn(col, flags).drop("__h")
@@ -249,8 +254,8 @@ def encode_tokens(df: DataFrame, key: str, col: str, table: DataFrame, batch: st
     """Token arrays to ids: the last `max_length` tokens, padded to the longest of the batch; needs <pad> and <unk> in the table."""
     cut = df.withColumn(col, keep_last(F.col(col), max_length))
     ids = {r["token"]: r["id"] for r in table.where(F.col("token").isin(*SPECIALS)).collect()}
-    leaves = explode_levels(cut, [key], col, 1, outer=True).join(table, "token", "left")
-    coded = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", F.coalesce("id", F.lit(ids["<unk>"])).alias("id"))))), lambda r: r["id"]).alias("__ids"))
+    leaves = explode_levels(cut, [key], col, 1, outer=True).join(_codes(table), "token", "left")
+    coded = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", F.coalesce("__id", F.lit(ids["<unk>"])).alias("__id"))))), lambda r: r["__id"]).alias("__ids"))
     return pad_batch(cut.drop(col).join(coded.withColumnRenamed("__ids", col), key), col, batch, F.lit(ids["<pad>"]).cast("bigint"))
 
 
@@ -260,8 +265,8 @@ def encode_tokens_nested(df: DataFrame, key: str, col: str, table: DataFrame, ba
     ids = {r["token"]: r["id"] for r in table.where(F.col("token").isin(*SPECIALS)).collect()}
     inner = F.array_max(F.transform(col, lambda v: F.size(v)))
     sizes = cut.groupBy(batch).agg(F.max(F.size(col)).alias("__outer"), F.max(inner).alias("__inner"))
-    leaves = explode_levels(cut, [key], col, 2, outer=True).join(table, "token", "left")
-    rows = leaves.groupBy(key, "i1").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i2").isNotNull(), F.struct("i2", F.coalesce("id", F.lit(ids["<unk>"])).alias("id"))))), lambda r: r["id"]).alias("r"))
+    leaves = explode_levels(cut, [key], col, 2, outer=True).join(_codes(table), "token", "left")
+    rows = leaves.groupBy(key, "i1").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i2").isNotNull(), F.struct("i2", F.coalesce("__id", F.lit(ids["<unk>"])).alias("__id"))))), lambda r: r["__id"]).alias("r"))
     arr = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", "r")))), lambda r: r["r"]).alias(col))
     out = cut.drop(col).join(arr, key).join(sizes, batch)
     zero = F.lit(ids["<pad>"]).cast("bigint")
@@ -271,7 +276,7 @@ def encode_tokens_nested(df: DataFrame, key: str, col: str, table: DataFrame, ba
 
 def decode_tokens(df: DataFrame, key: str, col: str, table: DataFrame) -> DataFrame:
     """Ids back to tokens, padding removed."""
-    leaves = explode_levels(df, [key], col, 1).withColumnRenamed("token", "id").join(table, "id").where(F.col("token") != "<pad>")
+    leaves = explode_levels(df, [key], col, 1).withColumnRenamed("token", "__id").join(_codes(table), "__id").where(F.col("token") != "<pad>")
     out = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i1", "token"))), lambda r: r["token"]).alias(col))
     return df.drop(col).join(out, key, "left").withColumn(col, F.coalesce(col, F.array().cast("array<string>")))
 
