@@ -58,6 +58,11 @@ def column(name: str) -> Factor:
     return Factor(name, lambda: F.col(name))
 
 
+def expression(text: str) -> Factor:
+    """A row expression in Spark SQL over panel columns, e.g. `(close - open) / open`."""
+    return Factor(f"expr({text})", lambda: F.expr(text).cast("double"))
+
+
 def lift(v) -> Factor:
     """Scalars become literals, names become columns."""
     if isinstance(v, Factor):

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from wardpanel.operators import catalogue, evaluate as ev, panel as p
 from wardpanel.queries.panel import ALL, BARS, D, NUMBERED, O, RANK_SQL, SQL_KEYS, W, bars, factor_query
+from wardpanel.plans.factor_job import factor_job
 from wardpanel.queries.registry import query, r, table, tidy
+from wardpanel.sources.tables import scratch
 
 KEYS = ["instrument", "datetime"]
 
@@ -90,6 +92,16 @@ for _w in (3, 7, 15, 40, 120):
 factor_query("panel_set_multi", lambda: {n: no_giant(f) for n, f in catalogue.set_multi().items()}, MULTI, STEPS, "steps", 5)
 
 
+@query("panel_factor_job", f"""{BARS} SELECT {SQL_KEYS}, {r('(close - open) / open', 'gap')}, {r(f'avg((close - open) / open) OVER {W(4)}', 'smooth')} FROM panel""")
+def factor_job_query(spark, sf):
+    gap = lambda: p.expression("(close - open) / open")
+    wanted = {"gap": gap, "smooth": lambda: p.ts_mean(gap(), 4), "ahead": lambda: p.delay("close", -1)}
+    out, problems = factor_job(bars(spark, sf), wanted, scratch(spark, "factors"), sf)
+    if list(problems) != ["ahead"]:
+        raise AssertionError(problems)
+    return tidy(text_date(out), KEYS, ["gap", "smooth"])
+
+
 @query("panel_quotes_return", f"{BARS} SELECT {SQL_KEYS}, {r(f'coalesce(close / nullif({PREV}, 0) - 1, 0)', 'ret')} FROM panel")
 def quotes_return(spark, sf):
     return tidy(text_date(p.with_return(bars(spark, sf))), KEYS, ["ret"])
