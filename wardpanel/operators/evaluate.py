@@ -192,10 +192,11 @@ def best_and_latest(runs: DataFrame, group: str, metric: str, when: str, bigger:
 def best_pairs(runs: DataFrame, metric: str, n: int) -> DataFrame:
     """Top n pairs by summed metric.
 
-    A pair among the best n only uses the n + 1 best rows, so the self-join runs on n + 1 rows.
+    A pair among the best n only uses the n + 1 best rows, so pairs are formed inside one array of n + 1 entries.
     """
     few = runs.orderBy(F.desc(metric), "id").limit(n + 1)
-    a = few.select(F.col("id").alias("a"), F.col(metric).alias("ma"))
-    b = few.select(F.col("id").alias("b"), F.col(metric).alias("mb"))
-    pairs = a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("ma") + F.col("mb")).alias("total"))
+    packed = few.agg(F.sort_array(F.collect_list(F.struct("id", F.col(metric).alias("m")))).alias("r"))
+    first = packed.select("r", F.posexplode("r").alias("i", "a"))
+    both = first.select("a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))
+    pairs = both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.col("a.m") + F.col("b.m")).alias("total"))
     return pairs.orderBy(F.desc("total"), "a", "b").limit(n)

@@ -406,7 +406,7 @@ def bm25(spark, sf):
 def linkage(spark, sf):
     """Linkage samples whose codes are part keys."""
     c = jq.codes(spark, sf).withColumn("code", F.col("seq.l_partkey").cast("string"))
-    return jobs.linkage_pairs(_fine(jq.visits(spark, sf)), c)
+    return cut_lineage(jobs.linkage_pairs(_fine(jq.visits(spark, sf)), c))
 
 
 def _fine(v):
@@ -467,7 +467,7 @@ SPLIT = f"{CLS}, hs AS (SELECT sid, row_number() OVER (ORDER BY {H('sid', 0)}, s
 
 
 def cal_test(spark, sf):
-    rows = sp.split_by_sample(ln.class_rows(spark, sf), "sample_id", (0.5, 0.5), 0)
+    rows = cut_lineage(sp.split_by_sample(ln.class_rows(spark, sf), "sample_id", (0.5, 0.5), 0))
     return rows.where("split = 'train'"), rows.where("split = 'val'")
 
 
