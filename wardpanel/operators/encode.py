@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardpanel.operators.order import positions, running_last
+from wardpanel.operators.order import large, positions, running_last
 
 PAD, UNK = 0, 1
 SPECIALS = ("<pad>", "<unk>")
@@ -66,7 +66,7 @@ def encode_sequence(df: DataFrame, key: str, col: str, vocab: DataFrame, mapping
     coded = leaves.join(_codes(vocab), "token", "left").withColumn("__id", F.coalesce("__id", F.lit(UNK)))
     ids = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*spots, "__id"))).alias("__x"))
     out = ids.select(key, F.transform("__x", lambda r: r["__id"]).alias("__ids"))
-    joined = df.join(out, key, "left")
+    joined = df.join(large(out), key, "left")
     return joined.withColumn(name or col, F.coalesce("__ids", F.array().cast("array<bigint>"))).drop("__ids")
 
 
@@ -106,7 +106,7 @@ def encode_nested(df: DataFrame, key: str, col: str, vocab: DataFrame, lengths:
             empty = F.array_repeat(empty, lengths[d - 2])
         else:
             level = level.withColumn("row", F.when(F.size("row") > 0, F.col("row")).otherwise(F.array(empty)))
-    return df.drop(name or col).join(level.withColumnRenamed("row", name or col), key)
+    return df.drop(name or col).join(large(level.withColumnRenamed("row", name or col)), key)
 
 
 def keep_tokens(vocab: DataFrame, tokens: DataFrame, remove: bool = False) -> DataFrame:
@@ -142,7 +142,7 @@ def encode_floats(df: DataFrame, key: str, col: str, lengths: Sequence[int], for
     base = explode_levels(df, [key], col, depth - 1, outer=True).where(F.col(row).isNotNull())
     if depth == 3:
         sizes = base.select(key, "i1").distinct().withColumn("i2", F.explode(F.sequence(F.lit(0), F.lit(lengths[0] - 1))))
-        base = sizes.join(base, [key, "i1", "i2"], "left")
+        base = sizes.join(large(base), [key, "i1", "i2"], "left")
     empty = F.coalesce(F.size("token"), F.lit(0)) <= 0
     spot = [*group, row]
     cells = base.select(*spot, empty.alias("__empty"), F.posexplode(F.transform(
@@ -161,7 +161,7 @@ def encode_floats(df: DataFrame, key: str, col: str, lengths: Sequence[int], for
         level = level.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(f"i{d}", "__row"))), lambda r: r["__row"]).alias("__row"))
     blank = F.array_repeat(F.lit(float("nan") if forward_fill else 0.0), width)
     blank = F.array(blank) if depth == 2 else F.array(F.array(blank))
-    return df.drop(col).join(level, key, "left").withColumn(col, F.coalesce("__row", blank)).drop("__row")
+    return df.drop(col).join(large(level), key, "left").withColumn(col, F.coalesce("__row", blank)).drop("__row")
 
 
 def fill_steps(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -172,7 +172,7 @@ def fill_steps(df: DataFrame, key: str, col: str) -> DataFrame:
     cells = cells.withColumn("token", F.coalesce(_fill(cells, [key, "i2"], "i1", "token"), F.lit(0.0)))
     rows = cells.groupBy(key, "i1").agg(F.transform(F.sort_array(F.collect_list(F.struct("i2", "token"))), lambda r: r["token"]).alias("r"))
     out = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i1", "r"))), lambda r: r["r"]).alias("__f"))
-    return df.drop(col).join(out.withColumnRenamed("__f", col), key, "left")
+    return df.drop(col).join(large(out.withColumnRenamed("__f", col)), key, "left")
 
 
 def resample(points: DataFrame, key: str, time: str, value: str, step_seconds: float, fill: str = "forward") -> DataFrame:
@@ -185,7 +185,7 @@ def resample(points: DataFrame, key: str, time: str, value: str, step_seconds: f
     slot = lambda c: F.floor((us(c) - us("__a")) / (step_seconds * 1e6))
     best = points.join(span, key).groupBy(key, slot(time).alias("step")).agg(F.max_by(value, time).alias(value))
     grid = span.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), slot("__b"))).alias("step"))
-    rows = grid.join(best, [key, "step"], "left")
+    rows = grid.join(large(best), [key, "step"], "left")
     if fill == "forward":
         rows = running_last(rows, [key], ["step"], value)
     return rows.select(key, "step", (F.col("step") * (step_seconds / 3600.0)).alias("hours"), F.coalesce(value, F.lit(0.0)).alias(value))
@@ -224,7 +224,7 @@ def encode_multi_hot(df: DataFrame, key: str, col: str, vocab: DataFrame, size:
     flat = df.select(key, F.explode(col).alias("label")).join(_codes(vocab), "label", "left")
     unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.col("label").cast("string"))).cast("bigint")
     hits = flat.groupBy(key).agg(F.collect_set(F.coalesce(F.col("__id"), unseen)).alias("__h"))
-    out = df.drop(col).join(hits, key, "left")
+    out = df.drop(col).join(large(hits), key, "left")
     flags = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")), lambda i: F.coalesce(F.array_contains("__h", i), F.lit(False)).cast("int"))
     return out.withColumn(col, flags).drop("__h")
 
@@ -256,7 +256,7 @@ def encode_tokens(df: DataFrame, key: str, col: str, table: DataFrame, batch: st
     ids = {r["token"]: r["id"] for r in table.where(F.col("token").isin(*SPECIALS)).collect()}
     leaves = explode_levels(cut, [key], col, 1, outer=True).join(_codes(table), "token", "left")
     coded = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", F.coalesce("__id", F.lit(ids["<unk>"])).alias("__id"))))), lambda r: r["__id"]).alias("__ids"))
-    return pad_batch(cut.drop(col).join(coded.withColumnRenamed("__ids", col), key), col, batch, F.lit(ids["<pad>"]).cast("bigint"))
+    return pad_batch(cut.drop(col).join(large(coded.withColumnRenamed("__ids", col)), key), col, batch, F.lit(ids["<pad>"]).cast("bigint"))
 
 
 def encode_tokens_nested(df: DataFrame, key: str, col: str, table: DataFrame, batch: str, max_outer: int = 10, max_inner: int = 512) -> DataFrame:
@@ -268,7 +268,7 @@ def encode_tokens_nested(df: DataFrame, key: str, col: str, table: DataFrame, ba
     leaves = explode_levels(cut, [key], col, 2, outer=True).join(_codes(table), "token", "left")
     rows = leaves.groupBy(key, "i1").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i2").isNotNull(), F.struct("i2", F.coalesce("__id", F.lit(ids["<unk>"])).alias("__id"))))), lambda r: r["__id"]).alias("r"))
     arr = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", "r")))), lambda r: r["r"]).alias(col))
-    out = cut.drop(col).join(arr, key).join(sizes, batch)
+    out = cut.drop(col).join(large(arr), key).join(sizes, batch)
     zero = F.lit(ids["<pad>"]).cast("bigint")
     out = out.withColumn(col, F.transform(col, lambda v: pad(v, F.col("__inner"), zero)))
     return out.withColumn(col, pad(F.col(col), F.col("__outer"), F.array_repeat(zero, F.col("__inner")))).drop("__outer", "__inner")
@@ -278,7 +278,7 @@ def decode_tokens(df: DataFrame, key: str, col: str, table: DataFrame) -> DataFr
     """Ids back to tokens, padding removed."""
     leaves = explode_levels(df, [key], col, 1).withColumnRenamed("token", "__id").join(_codes(table), "__id").where(F.col("token") != "<pad>")
     out = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i1", "token"))), lambda r: r["token"]).alias(col))
-    return df.drop(col).join(out, key, "left").withColumn(col, F.coalesce(col, F.array().cast("array<string>")))
+    return df.drop(col).join(large(out), key, "left").withColumn(col, F.coalesce(col, F.array().cast("array<string>")))
 
 
 def record_index(samples: DataFrame, by: str, position: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardpanel.operators.order import positions, running_totals, top_per_group
+from wardpanel.operators.order import large, positions, running_totals, top_per_group
 
 
 def _n(cond: Column) -> Column:
@@ -306,7 +306,7 @@ def interaction_rate(rows: DataFrame, pairs: DataFrame, key: str = "sample_id",
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     counts = rows.groupBy(key, F.col(drug).alias("a")).agg(F.count(F.lit(1)).alias("na"))
     partner = counts.join(both, "a").select(key, "na", "a", F.col("b"))
-    hits = partner.join(counts.select(key, F.col("a").alias("b"), F.col("na").alias("nb")), [key, "b"])
+    hits = large(partner).join(large(counts.select(key, F.col("a").alias("b"), F.col("na").alias("nb"))), [key, "b"])
     same = F.when(F.col("a") == F.col("b"), F.col("na") * (F.col("na") - 1)).otherwise(F.col("na") * F.col("nb"))
     found = hits.agg(F.coalesce(F.sum(same) / 2, F.lit(0.0)).alias("hit"))
     return side_by_side(sizes, found).select(_div(F.col("hit"), F.coalesce(F.col("all"), F.lit(0.0))).alias("ddi_rate"))

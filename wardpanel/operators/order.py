@@ -152,6 +152,11 @@ def percent_ranks(df: DataFrame, names: Mapping[str, str], by: Sequence[str], la
     return out
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A join side of exploded or gathered rows: the optimizer cannot see its size, so it must not be broadcast."""
+    return df.hint("merge")
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Rows in the largest group (one pass with map-side counts)."""
     row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()

@@ -525,16 +525,15 @@ def fairness(spark, sf):
     return tidy(out, [], out.columns)
 
 
-@query("metric_interaction_rate", f"""WITH d AS (SELECT l_orderkey AS sid, p_type || p_size AS drug FROM lineitem JOIN part ON l_partkey = p_partkey), ip AS (SELECT DISTINCT x.p_type || x.p_size AS a, y.p_type || y.p_size AS b FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey),
+@query("metric_interaction_rate", f"""WITH d AS (SELECT l_orderkey AS sid, p_name || p_brand AS drug FROM lineitem JOIN part ON l_partkey = p_partkey), ip AS (SELECT x.p_name || x.p_brand AS a, y.p_name || y.p_brand AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY drug) AS rn FROM d), pr AS (SELECT x.drug AS a, y.drug AS b FROM n x JOIN n y ON x.sid = y.sid AND x.rn < y.rn),
 both_ AS (SELECT a, b FROM ip UNION SELECT b, a FROM ip) SELECT {r('avg(CASE WHEN both_.a IS NOT NULL THEN 1.0 ELSE 0 END)', 'ddi_rate')} FROM pr LEFT JOIN both_ USING (a, b)""")
 def interaction_rate(spark, sf):
+    """Neighbouring parts count as interacting drugs."""
     p = table(spark, sf, "part")
-    name = F.concat("p_type", F.col("p_size").cast("string"))
+    name = F.concat("p_name", "p_brand")
     rows = table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("sample_id"), name.alias("drug"))
-    a = p.select("p_name", "p_brand", F.col("p_partkey").alias("ka"), name.alias("a"))
-    b = p.select("p_name", "p_brand", F.col("p_partkey").alias("kb"), name.alias("b"))
-    pairs = a.join(b, ["p_name", "p_brand"]).where("ka < kb").select("a", "b").distinct()
+    pairs = p.select("p_partkey", name.alias("a")).join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), name.alias("b")), "p_partkey").select("a", "b")
     return tidy(mt.interaction_rate(rows, pairs), [], ["ddi_rate"])
 
 
