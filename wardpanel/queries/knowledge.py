@@ -75,7 +75,7 @@ def privacy_category(spark, sf):
 SELECT doc_id, count(*) AS words, count(*) FILTER (WHERE contains(t, '@')) AS tagged FROM x WHERE t <> '' GROUP BY 1""")
 def privacy_tokens(spark, sf):
     """Every word with an @ is replaced by a mark, then found again in the original."""
-    d = table(spark, sf, "documents").withColumn("text", F.trim("text", F.lit(" \n\t\r")))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).withColumn("text", F.trim("text", F.lit(" \n\t\r")))
     tagged = F.regexp_replace("text", r"\S*@\S*", "[**Email**]")
     out = d.select("doc_id", rt.privacy_tokens(F.col("text"), tagged).alias("t"))
     found = F.filter("t", lambda x: x["label"].endswith("CONTACT"))
@@ -112,7 +112,8 @@ def turn_pairs(spark, sf):
     """Each turn with the next turn of its conversation (turn numbers are consecutive, so a join does it)."""
     c = table(spark, sf, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
-    return c.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("a"), "b")
+    pairs = c.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("a"), "b")
+    return pairs.repartition(spark.sparkContext.defaultParallelism, "id")  # few rows, much work per row
 
 
 ASCII = "regexp_replace({c}, '[^\\x20-\\x7e]', '?', 'g')"
@@ -443,10 +444,7 @@ def candidate_counts(spark, sf):
     return rt.candidate_counts(t["corpus_meta"], t["queries_meta"])
 
 
-LBM = BM.replace("(SELECT doc_id, unnest(w) AS t FROM docs)", "(SELECT doc_id, unnest(w) AS t FROM docs)")
-
-
-@query("linkage_scores_of_candidates", f"""{CAND}, docs AS (SELECT dv AS doc_id, string_split(' ' || dc, ' ') AS w FROM lk), qs AS (SELECT visit_id AS query_id, string_split(' ' || c, ' ') AS w FROM lk), {BM},
+@query("linkage_scores_of_candidates", f"""{CAND}, docs AS (SELECT dv AS doc_id, list_filter(string_split(dc, ' '), lambda x: x <> '[SEP]') AS w FROM lk), qs AS (SELECT visit_id AS query_id, string_split(c, ' ') AS w FROM lk), {BM},
 pr AS (SELECT * FROM m UNION SELECT query_id, doc_id FROM lone JOIN ring ON spot = (s + i) % t UNION SELECT visit_id, dv FROM lk) SELECT query_id, doc_id, {r('coalesce(score, 0)', 'score', 5)} FROM pr LEFT JOIN sc USING (query_id, doc_id)""")
 def scores_of_candidates(spark, sf):
     t = rt.retrieval_tables(linkage(spark, sf))
@@ -454,7 +452,7 @@ def scores_of_candidates(spark, sf):
     return tidy(rt.keep_candidates(scores, rt.candidates(t["corpus_meta"], t["queries_meta"]), t["qrels"]), ["query_id", "doc_id"], ["score"], 5)
 
 
-@query("linkage_hard_negatives", f"""{LINK}, docs AS (SELECT dv AS doc_id, string_split(' ' || dc, ' ') AS w FROM lk), qs AS (SELECT dv AS query_id, string_split(' ' || dc, ' ') AS w FROM lk), {BM},
+@query("linkage_hard_negatives", f"""{LINK}, docs AS (SELECT dv AS doc_id, list_filter(string_split(dc, ' '), lambda x: x <> '[SEP]') AS w FROM lk), qs AS (SELECT dv AS query_id, list_filter(string_split(dc, ' '), lambda x: x <> '[SEP]') AS w FROM lk), {BM},
 b AS (SELECT query_id, arg_max(doc_id, row(round(score, 9), -CAST(doc_id AS BIGINT))) AS negative_id FROM sc WHERE query_id <> doc_id GROUP BY 1) SELECT visit_id AS query_id, dv AS doc_id, negative_id FROM lk JOIN b ON b.query_id = dv""")
 def hard_negatives(spark, sf):
     t = rt.retrieval_tables(linkage(spark, sf))

@@ -8,7 +8,7 @@ from wardpanel.operators import encode as en
 from wardpanel.operators import metrics as mt
 from wardpanel.operators import split as sp
 from wardpanel.queries.registry import query, r, table, tidy
-from wardpanel.sources.tables import scratch
+from wardpanel.sources.tables import scratch, spread
 
 # ---- samples: one per customer, with the part names of each order ----------------------------------
 
@@ -202,7 +202,7 @@ TABLE_SQL = """words AS (SELECT doc_id, lang, list_filter(string_split(lower(tex
 
 
 def words(spark, sf):
-    d = table(spark, sf, "documents").withColumn("w", F.filter(F.split(F.lower("text"), " "), lambda x: x != ""))
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "text")).withColumn("w", F.filter(F.split(F.lower("text"), " "), lambda x: x != ""))
     return d.select("doc_id", "lang", "w")
 
 
