@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardpanel.llm.common import documents, id_back, pieces, stage, word_spans, word_tokens
+from wardpanel.llm.common import documents, id_back, pieces, word_spans, word_tokens
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: White space beside [\x20\x09-\x0D]; texts that hold any are cut by the pattern itself.
 ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -50,7 +52,9 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     Texts are cut into words with positions; a block of texts holds its words once, as codes.  The distinct words of
     each block go to the bucket of their hash, packed by (block, bucket) and sorted, so that a frequent word costs
     one entry per block.  A bucket encodes each of its distinct words once and answers per block; the answers are
-    joined back by block and the ids put together by position.
+    joined back by block and the ids put together by position.  Texts are cut twice, once for the words and once for the
+    codes, as a stored copy of both would take more disk than the texts; a block's key holds a hash of its texts,
+    so an input that changes between the two reads is an error and not a wrong result.
 
     Null text: no ids.  Rows that repeat are each returned.  Empty table: no rows.  Extra columns are not read.
     `vocabulary` is a rank file that every worker can read, or a local path on the driver (it is sent along).
@@ -59,42 +63,45 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))  # one vocabulary file, its size does not depend on the data
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        import regex
-
-        odd, split = re.compile(ODD_SPACE), regex.compile(pattern)
-        pack = zstandard.ZstdCompressor(level=3)
-        block = (TaskContext.get().partitionId() << 32) - 1
-        for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2).cast(pa.binary())]
-            for a, b in pieces(np.array([len(t) for t in texts]), block_bytes):
-                block += 1
-                own = texts[a:b]
-                flat = b"".join(own)
-                edges = np.cumsum([0] + [len(t) for t in own])
-                cuts = unit_edges(np.frombuffer(flat, dtype=np.uint8), edges)
-                cuts = _odd_cuts(own, edges, cuts, odd, split)
-                words = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat)]).dictionary_encode()
-                found = np.array(words.dictionary.to_pylist(), dtype=object)
-                bucket = _buckets(found, buckets)
-                order = np.array(sorted(range(len(found)), key=lambda i: (bucket[i], found[i])), dtype=np.int64)
-                code = np.empty(len(found), dtype=np.int32)
-                code[order] = np.arange(len(found), dtype=np.int32)
-                codes = code[words.indices.to_numpy()] if len(found) else np.zeros(0, dtype=np.int32)
-                counts = np.diff(np.searchsorted(cuts[:-1], edges))
-                rows = [(block, -1, pack.compress(codes.tobytes()), batch.column(0)[a:b].to_pylist(), counts.tolist())]
-                sorted_bucket = bucket[order]
-                starts = np.flatnonzero(np.concatenate([[True], np.diff(sorted_bucket) != 0])) if len(order) else []
-                for s, e in zip(starts, [*starts[1:], len(order)]):
-                    part = found[order[s:e]]
-                    lengths = np.array([len(w) for w in part], dtype=np.uint32)
-                    rows.append((block, int(sorted_bucket[s]), pack.compress(np.uint32(len(part)).tobytes() + lengths.tobytes() + b"".join(part)), None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))], names=["block", "bucket", "data", "ids", "counts"])
+    def cut(words_too: bool):
+        """Rows of words by (block, bucket), or rows of coded texts by block; both passes cut the same blocks."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import re
+
+            import regex
+
+            odd, split = re.compile(ODD_SPACE), regex.compile(pattern)
+            pack = zstandard.ZstdCompressor(level=3)
+            task, number = TaskContext.get().partitionId(), 0
+            for batch in batches:
+                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2).cast(pa.binary())]
+                for a, b in pieces(np.array([len(t) for t in texts]), block_bytes):
+                    own = texts[a:b]
+                    flat = b"".join(own)
+                    block = hashlib.blake2b(flat, digest_size=16, key=b"%d %d" % (task, number)).digest()
+                    number += 1
+                    edges = np.cumsum([0] + [len(t) for t in own])
+                    cuts = _odd_cuts(own, edges, unit_edges(np.frombuffer(flat, dtype=np.uint8), edges), odd, split)
+                    words = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat)]).dictionary_encode()
+                    bucket = _buckets(words.dictionary, buckets)
+                    order = pc.sort_indices(pa.table({"bucket": bucket, "word": words.dictionary}), [("bucket", "ascending"), ("word", "ascending")]).to_numpy()
+                    if words_too:
+                        found, bucket = words.dictionary.take(pa.array(order)), bucket[order]
+                        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                        data = [_word_blob(found[s:e], pack) for s, e in zip(starts, [*starts[1:], len(found)])]
+                        yield pa.RecordBatch.from_arrays([pa.array([block] * len(data), type=pa.binary()), pa.array(bucket[starts].astype(np.int32)), pa.array(data, type=pa.binary())], names=["block", "bucket", "data"])
+                    else:
+                        code = np.empty(len(order), dtype=np.int32)
+                        code[order] = np.arange(len(order), dtype=np.int32)
+                        data = pack.compress(code[words.indices.to_numpy()].tobytes())
+                        counts = np.diff(np.searchsorted(cuts[:-1], edges))
+                        columns = [pa.array([block], type=pa.binary()), pa.array([data], type=pa.binary()), pa.array([batch.column(0)[a:b].to_pylist()], type=pa.list_(pa.int64())), pa.array([counts.tolist()], type=pa.list_(pa.int32()))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["block", "data", "ids", "counts"])
+
+        return rows
 
     source = documents(docs, id_col, text_col).select("id", "v", "text")
-    packed = stage(source.mapInArrow(cut, "block bigint, bucket int, data binary, ids array<bigint>, counts array<int>"))
 
     def encode(key: tuple, rows: pa.Table) -> pa.Table:
         import tiktoken
@@ -120,9 +127,10 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
         counts = [int(np.frombuffer(unpack.decompress(c.as_py())[:4], dtype=np.uint32)[0]) for c in rows.column("data")]
         return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "n": pa.array(counts, type=pa.int32()), "data": pa.array(answers, type=pa.binary())})
 
-    answers = packed.where("bucket >= 0").select("block", "bucket", "data").groupBy("bucket").applyInArrow(encode, "block bigint, bucket int, n int, data binary")
+    words = source.mapInArrow(cut(True), "block binary, bucket int, data binary")
+    answers = words.groupBy("bucket").applyInArrow(encode, "block binary, bucket int, n int, data binary")
     gathered = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "data")).alias("answers"))
-    texts = packed.where("bucket = -1").select("block", "data", "ids", "counts")
+    texts = source.mapInArrow(cut(False), "block binary, data binary, ids array<bigint>, counts array<int>")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -136,6 +144,8 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
                 size, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(flat)
                 offset = np.cumsum(size) - size
                 codes = np.frombuffer(unpack.decompress(batch.column(0)[i].as_py()), dtype=np.int32)
+                if len(codes) and not len(size):
+                    raise ValueError("the input changed between its two reads; write it to a table first")
                 own = size[codes]
                 end = np.cumsum(own)
                 take = np.repeat(offset[codes] - (end - own), own) + np.arange(int(own.sum()))
@@ -159,11 +169,17 @@ def _encoder(tiktoken, ranks: dict, pattern: str):
     return _ENCODERS[key]
 
 
-def _buckets(words: np.ndarray, buckets: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(words), dtype=np.uint8)
-    end = np.cumsum([len(w) for w in words], dtype=np.int64)
-    first = np.concatenate([[0], end[:-1]]) if len(end) else end
-    return (word_tokens(flat, first, end) % np.uint64(buckets)).astype(np.int64)
+def _buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = words.buffers()[2]
+    flat = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return (word_tokens(flat, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
+
+
+def _word_blob(words: pa.Array, pack) -> bytes:
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    body = bytes(memoryview(words.buffers()[2])[offsets[0] : offsets[-1]])
+    return pack.compress(np.uint32(len(words)).tobytes() + np.diff(offsets).astype(np.uint32).tobytes() + body)
 
 
 def _odd_cuts(texts: list[bytes], edges: np.ndarray, cuts: np.ndarray, odd, split) -> np.ndarray:
