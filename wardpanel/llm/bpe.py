@@ -14,9 +14,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardpanel.llm.common import documents, id_back, pieces, word_spans, word_tokens
+from wardpanel.llm.common import documents, id_back, text_slices, word_spans, word_tokens
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: White space beside [\x20\x09-\x0D]; texts that hold any are cut by the pattern itself.
 ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -75,9 +75,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
             pack = zstandard.ZstdCompressor(level=3)
             task, number = TaskContext.get().partitionId(), 0
             for batch in batches:
-                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2).cast(pa.binary())]
-                for a, b in pieces(np.array([len(t) for t in texts]), block_bytes):
-                    own = texts[a:b]
+                for a, b, own in text_slices(batch.column(2), block_bytes):
                     flat = b"".join(own)
                     block = hashlib.blake2b(flat, digest_size=16, key=b"%d %d" % (task, number)).digest()
                     number += 1

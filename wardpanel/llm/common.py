@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,19 @@ def pieces(sizes: np.ndarray, limit: int = PIECE_BYTES):
         yield first, len(sizes)
 
 
+def text_slices(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Slices of a text column of about `limit` bytes, as (first row, end row, texts); null is empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for a, b in pieces(sizes, limit):
+        yield a, b, [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column[a:b]]
+
+
+def row_texts(column: pa.Array) -> Iterator[tuple[int, bytes]]:
+    """(row, text) one after the other; null is empty."""
+    for i, t in enumerate(column):
+        yield i, t.as_buffer().to_pybytes() if t.is_valid else b""
+
+
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardpanel.llm.common import BYTE_TOKENS, Rolling, documents, id_back, id_key, mix, pieces, stage
+from wardpanel.llm.common import BYTE_TOKENS, Rolling, documents, id_back, id_key, mix, stage, text_slices
 from wardpanel.llm.components import components
-from wardpanel.llm.shared_runs import _texts
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -78,9 +77,8 @@ def bin_weights(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, dtype=np.int64)
         for batch in batches:
-            texts = _texts(batch)
-            for a, b in pieces(np.array([len(t) for t in texts])):
-                hashes, counts, _ = text_shingles(texts[a:b])
+            for _, _, texts in text_slices(batch.column(2)):
+                hashes, counts, _ = text_shingles(texts)
                 total += np.bincount((distinct_shingles(hashes, counts)[0] >> BIN_SHIFT).astype(np.int64), minlength=BINS)
         parts = total.astype(np.int64).reshape(slices, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), type=pa.int32()), pa.array([p.tobytes() for p in parts], type=pa.binary())], names=["slice", "counts"])
@@ -169,9 +167,8 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
         for batch in batches:
-            texts = _texts(batch)
-            for a, b in pieces(np.array([len(t) for t in texts])):
-                hashes, counts, content = text_shingles(texts[a:b])
+            for a, b, texts in text_slices(batch.column(2)):
+                hashes, counts, content = text_shingles(texts)
                 h, times, n = distinct_shingles(hashes, counts)
                 has = n > 0
                 samples: list = [None] * (b - a)

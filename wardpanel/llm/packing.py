@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from wardpanel.llm.common import SPACE, documents, id_back, pieces, word_spans
+from wardpanel.llm.common import SPACE, documents, id_back, pieces, text_slices, word_spans
 
 LENGTH = 4096
 #: Costs in tokens of padding: a cut at the end of a sentence, and a cut elsewhere.
@@ -244,10 +244,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out[i : i + 5000]), types)], names=names)
 
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).cast(pa.binary())]
             doc_ids = batch.column(0).to_pylist()
-            for a, b in pieces(np.array([len(t) for t in texts]), 16 << 20):
-                ids, counts = encoder.encode(texts[a:b])
+            for a, _, texts in text_slices(batch.column(1), 12 << 20):
+                ids, counts = encoder.encode(texts)
                 for s, e in pieces(counts, block_tokens):
                     low, high = int(counts[:s].sum()), int(counts[:e].sum())
                     held_ids.append(ids[low:high])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wardpanel.llm.common import pieces, word_spans, word_tokens
+from wardpanel.llm.common import text_slices, word_spans, word_tokens
 
 #: Most labelled rows that the fit looks at; which ones is decided by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -211,9 +211,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def _feature_batches(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:
-        column = batch.column(at).cast(pa.binary())
-        texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
-        parts = [text_features(texts[a:b]) for a, b in pieces(np.array([len(t) for t in texts]))]
+        parts = [text_features(texts) for _, _, texts in text_slices(batch.column(at))]
         yield batch, np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardpanel.llm.common import BYTE_TOKENS, Rolling, documents, id_back, mix, pieces, sliding_min, stage, word_spans, word_tokens
+from wardpanel.llm.common import BYTE_TOKENS, Rolling, documents, id_back, mix, row_texts, sliding_min, stage, text_slices, word_spans, word_tokens
 
 RUNS = "id bigint, v int, start int, n int, at int, anchor bigint, digest bigint"
 LOW = np.uint64((1 << 28) - 1)
@@ -62,16 +62,12 @@ def find_runs(tokens: np.ndarray, counts: np.ndarray, size: int, gram: int) -> d
     return {"doc": owner, "start": first - (ends - counts)[owner], "n": last - first, "at": anchor - first, "anchor": grams[anchor], "digest": digest}
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary())]
-
-
 def run_rows(docs: DataFrame, units: Callable, size: int, gram: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids, v = _texts(batch), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b in pieces(np.array([len(t) for t in texts])):
-                found = find_runs(*units(texts[a:b]), size, gram)
+            ids, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, _, texts in text_slices(batch.column(2)):
+                found = find_runs(*units(texts), size, gram)
                 if found:
                     own = found["doc"] + a
                     columns = [pa.array(ids[own]), pa.array(v[own])]
@@ -88,7 +84,7 @@ def window_rows(parts: DataFrame, units: Callable, size: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column(3)
-            for i, text in enumerate(_texts(batch)):
+            for i, text in row_texts(batch.column(2)):
                 own = runs[i].as_py()
                 tokens, _ = units([text])
                 hashes = [Rolling(tokens, w).windows(size) for w in (0, 1)]
@@ -144,10 +140,9 @@ def covered(docs: DataFrame, repeated: DataFrame, keep: Callable[[bytes, list],
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch)
             runs = batch.column(3)
-            for a, b in pieces(np.array([len(t) for t in texts]), 8 << 20):
-                out = [keep(texts[i], _pairs(runs[i])) for i in range(a, b)]
+            for a, b, texts in text_slices(batch.column(2)):
+                out = [keep(text, _pairs(runs[a + i])) for i, text in enumerate(texts)]
                 columns = [batch.column(0).slice(a, b - a)]
                 for j, name in enumerate(names):
                     columns.append(pa.array([x[j] for x in out], type=TYPES[name]))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardpanel.llm.common import documents, id_back, stage
-from wardpanel.llm.shared_runs import SPAN_SCHEMA, _texts, byte_units, count_windows, covered, removal, repeated_runs, with_text
+from wardpanel.llm.common import documents, id_back, row_texts, stage
+from wardpanel.llm.shared_runs import SPAN_SCHEMA, byte_units, count_windows, covered, removal, repeated_runs, with_text
 
 #: An anchor with more different runs than this is settled by counted window hashes, not in one bucket.
 BUCKET_RUNS = 256
@@ -79,7 +79,7 @@ def suffix_rows(parts: DataFrame, size: int, gram: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs, out = batch.column(3), []
-            for i, text in enumerate(_texts(batch)):
+            for i, text in row_texts(batch.column(2)):
                 for r in runs[i].as_py():
                     p = r["start"] + r["at"]
                     right = text[p : r["start"] + r["n"] - 1 + size]
