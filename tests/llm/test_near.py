@@ -64,6 +64,7 @@ def brute(rows, weight, similarity):
 @pytest.mark.parametrize("seed,block", [(1, 1024), (2, 3)])
 def test_classes(spark, frame, seed, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PAIR_MEMBERS", 12 if block > 3 else 1)
     rows = corpus(seed)
     docs = frame(rows)
     weight = bin_weights(near_dedup.documents(docs, "doc_id", "text"))
@@ -98,6 +99,24 @@ def test_shingles():
     assert n.tolist() == [2, 2, 0, 1, 5] and sorted(times.tolist()) == [1] * 9 + [2]
 
 
+def test_exact_similarity():
+    texts = [b"a b c d e f g h", b"a b c d e f g x", b"", b"a b c d e a b c d e", b"a b c d e", b"q r"]
+    table = np.linspace(1, 2, near_dedup.BINS).astype(np.float32)
+    got = near_dedup.exact_similarity(texts, table, np.arange(6), np.arange(6))
+
+    def weigh(t):
+        h, times, _ = distinct_shingles(*text_shingles([t])[:2])
+        return {int(x): (n, float(table[int(x >> BIN_SHIFT)])) for x, n in zip(h, times.tolist())}
+
+    for i, a in enumerate(map(weigh, texts)):
+        for j, b in enumerate(map(weigh, texts)):
+            if i == j:
+                continue
+            shared = sum(min(n, b[x][0]) * w for x, (n, w) in a.items() if x in b)
+            total = sum(n * w for s in (a, b) for n, w in s.values()) - shared
+            assert got[i, j] == pytest.approx(shared / total if total else 0)
+
+
 def test_spanning_links_follow_agreement():
     samples = np.zeros((3, 64), dtype=np.uint32)
     samples[1, :10] = 1

@@ -36,6 +36,8 @@ def test_byte_bpe(spark, frame, rows):
     got = decode_corpus(encode_corpus(frame(rows), path, split_pattern(), block_bytes=3000, buckets=5), path).collect()
     want = Counter((i, tuple(encoder.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
     assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got) == want
+    both = encode_corpus(frame(rows), path, split_pattern(), block_bytes=3000, buckets=5, decoded_col="text").collect()
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.text)) for r in both) == want
     assert encode_corpus(frame(rows).where("false"), path, split_pattern()).count() == 0
 
 

@@ -46,8 +46,8 @@ def unit_edges(buffer: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
-    """(id_col, ids): token ids of every whole text, as tiktoken's `encode_ordinary` gives them.
+def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None, decoded_col: str | None = None) -> DataFrame:
+    """(id_col, ids[, decoded_col]): token ids of every whole text, as tiktoken's `encode_ordinary` gives them.
 
     Texts are cut into words with positions; a block of texts holds its words once, as codes.  The distinct words of
     each block go to the bucket of their hash, packed by (block, bucket) and sorted, so that a frequent word costs
@@ -57,6 +57,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     so an input that changes between the two reads is an error and not a wrong result.
 
     Null text: no ids.  Rows that repeat are each returned.  Empty table: no rows.  Extra columns are not read.
+    `decoded_col` adds the bytes of the ids, read back from the table of token bytes, as `decode_corpus` does.
     `vocabulary` is a rank file that every worker can read, or a local path on the driver (it is sent along).
     """
     spark = docs.sparkSession
@@ -132,6 +133,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        table = _token_bytes(ranks.value) if decoded_col else None
         for batch in batches:
             for i in range(batch.num_rows):
                 sizes, flat = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.uint32)]
@@ -150,10 +152,29 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
                 counts = np.array(batch.column(2)[i].as_py(), dtype=np.int64)
                 bounds = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(counts)])]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids[take].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i].values, lists], names=["id", "ids"])
+                columns = [batch.column(1)[i].values, lists] + ([_decoded(lists, table)] if decoded_col else [])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][: len(columns)])
 
-    out = texts.join(gathered.hint("merge"), "block", "left").select("data", "ids", "counts", "answers").mapInArrow(assemble, "id bigint, ids array<int>")
-    return out.select(id_back(out.id).alias(id_col), "ids")
+    schema = "id bigint, ids array<int>" + ", decoded binary" * bool(decoded_col)
+    out = texts.join(gathered.hint("merge"), "block", "left").select("data", "ids", "counts", "answers").mapInArrow(assemble, schema)
+    return out.select(id_back(out.id).alias(id_col), "ids", *([F.col("decoded").alias(decoded_col)] if decoded_col else []))
+
+
+def _token_bytes(ranks: dict[bytes, int]) -> pa.Array:
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return pa.array(table, type=pa.large_binary())
+
+
+def _decoded(lists: pa.ListArray, table: pa.Array) -> pa.Array:
+    """The joined token bytes of each list: the taken rows of the table lie one after the other, so only bounds are needed."""
+    taken = table.take(lists.flatten())
+    offsets = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1]
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    bounds = offsets[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+    data = memoryview(taken.buffers()[2] or b"")
+    return pa.array([bytes(data[a:b]) if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist())], type=pa.binary())
 
 
 _ENCODERS: dict = {}
@@ -198,20 +219,9 @@ def decode_corpus(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out
     at, names = encoded.columns.index(ids_col), encoded.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b""] * (max(tokens.value.values()) + 1)
-        for token, rank in tokens.value.items():
-            table[rank] = token
-        table = pa.array(table, type=pa.large_binary())
+        table = _token_bytes(tokens.value)
         for batch in batches:
-            column = batch.column(at)
-            counts = column.value_lengths().fill_null(0).to_numpy()
-            taken = table.take(column.flatten())
-            offsets = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1]
-            bounds = offsets[np.concatenate([[0], np.cumsum(counts)])]
-            data = taken.buffers()[2]
-            data = data.to_pybytes() if data is not None else b""
-            out = [data[a:b] if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], column.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=pa.binary())], names=[*names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(at), table)], names=[*names, out_col])
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 

@@ -23,7 +23,9 @@ BIN_SHIFT = np.uint64(46)
 #: Pairs of a bucket that agree in fewer slots are not compared: at similarity 0.8 that is some 4 standard deviations off.
 LEAST_AGREEMENT = 38
 #: A bucket with more members is compared in blocks of about this size.
-BLOCK = 1024
+BLOCK = 512
+#: Buckets with more members verify their texts in place; smaller ones put out pairs, each of which is verified once.
+PAIR_MEMBERS = 12
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -265,26 +267,78 @@ def tree_pairs(members: DataFrame) -> DataFrame:
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs that share a bucket, lie in different components and agree in enough slots; members: component added."""
+    """Distinct pairs that share a bucket, lie in different components and agree in enough slots; for small buckets."""
 
     def cross(rows: pa.Table, starts: np.ndarray) -> pa.Table:
         content, samples = rows.column("content").to_pylist(), _decode(rows.column("samples").to_pylist())
         _, component = np.unique(np.array([c.hex() for c in rows.column("component").to_pylist()]), return_inverse=True)
-        block, one, two = (rows.column(c).to_numpy() for c in ("block", "one", "two"))
         pairs = []
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(content)]):
-            left, right = s + np.flatnonzero(block[s:e] == one[s]), s + np.flatnonzero(block[s:e] == two[s])
-            for f in range(0, len(left), 256):
-                part = left[f : f + 256]
-                fit = (component[part][:, None] != component[right][None, :]) & (agreement(samples[part], samples[right]) >= LEAST_AGREEMENT)
-                pairs += [(content[part[i]], content[right[j]]) for i, j in zip(*np.nonzero(fit)) if one[s] != two[s] or part[i] < right[j]]
+            fit = (component[s:e, None] != component[None, s:e]) & (agreement(samples[s:e], samples[s:e]) >= LEAST_AGREEMENT)
+            pairs += [(content[s + i], content[s + j]) for i, j in zip(*np.nonzero(fit)) if i < j]
         return _pair_batch(pairs)
 
-    several = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("block").alias("top")).where("lo < hi").select("key", "top")
-    open_rows = members.join(stage(several).hint("merge"), "key")
-    other = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    return by_group(members, ["key"], cross)
+
+
+def exact_similarity(texts: list[bytes], table: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of every left text to every right one, as products over the shingles that several hold.
+
+    A shingle that occurs n times counts as n elements, so that a product sums up the smaller of two counts.
+    """
+    hashes, counts, _ = text_shingles(texts)
+    h, times, n = distinct_shingles(hashes, counts)
+    level = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    element = mix(np.repeat(h, times) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    weight = np.repeat(table[(h >> BIN_SHIFT).astype(np.int64)].astype(np.float64), times)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    total = np.bincount(owner, weight, len(texts))
+    _, column, often = np.unique(element, return_inverse=True, return_counts=True)
+    several = often[column] > 1
+    owner, weight, (_, column) = owner[several], weight[several], np.unique(column[several], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, weight, column = owner[order], weight[order], column[order]
+    shared = np.zeros((len(left), len(right)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        there, scale = np.zeros((len(texts), 4096)), np.zeros(4096)
+        there[owner[a:b], column[a:b] - first] = 1
+        scale[column[a:b] - first] = weight[a:b]
+        shared += there[left] @ (there[right] * scale).T
+    return shared / np.maximum(total[left][:, None] + total[right][None, :] - shared, 1e-300)
+
+
+def cross_links(members: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
+    """The same for large buckets, verified in the bucket: only links that join two components there are put out.
+
+    A bucket is compared block against block, so no task holds more than two blocks of texts.
+    """
+
+    def links(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        content, samples = rows.column("content").to_pylist(), _decode(rows.column("samples").to_pylist())
+        component = rows.column("component").to_pylist()
+        block, one, two = (rows.column(c).to_numpy() for c in ("block", "one", "two"))
+        found = []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(content)]):
+            left, right = np.flatnonzero(block[s:e] == one[s]), np.flatnonzero(block[s:e] == two[s])
+            _, group = np.unique(np.array([c.hex() for c in component[s:e]]), return_inverse=True)
+            if not len(left) or not len(right) or group.min() == group.max():
+                continue
+            fit = (group[left][:, None] != group[right][None, :]) & (agreement(samples[s:e][left], samples[s:e][right]) >= LEAST_AGREEMENT)
+            if not fit.any():
+                continue
+            own = [t.as_buffer().to_pybytes() for t in rows.column("text").slice(s, e - s)]
+            fit &= exact_similarity(own, weights.value, left, right) >= similarity - 1e-9
+            for i, j in zip(*np.nonzero(fit)):
+                a, b = group[left[i]], group[right[j]]
+                if a != b:
+                    group[group == b] = a
+                    found.append((content[s + left[i]], content[s + right[j]]))
+        return _pair_batch(found)
+
+    other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top"))))
     tasks = other.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "content", "samples", "component")
-    return by_group(tasks, ["key", "one", "two"], cross)
+    return by_group(tasks.join(texts.hint("merge"), "content"), ["key", "one", "two"], links)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
@@ -324,7 +378,7 @@ def class_rows(docs: DataFrame, id_col: str, text_col: str, similarity: float) -
     contents = stage(signed.where("samples IS NOT NULL").groupBy("content").agg(F.min(F.struct("id", "v")).alias("one"), F.first("samples").alias("samples"), F.first("keys").alias("keys")))
     keyed = contents.select("content", F.explode("keys").alias("key"))
     sizes = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = keyed.join(sizes.hint("merge"), "key").select("key", F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block"), "content")
+    shared = keyed.join(sizes.hint("merge"), "key").select("key", F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block"), "n", "content")
     members = stage(shared.join(contents.select("content", "samples").hint("merge"), "content"))
     needed = members.select("content").distinct().join(contents.select("content", "one.*").hint("merge"), "content")
     texts = stage(source.join(needed.hint("merge"), ["id", "v"]).select("content", "text").dropDuplicates(["content"]))
@@ -332,9 +386,12 @@ def class_rows(docs: DataFrame, id_col: str, text_col: str, similarity: float) -
     pairs = stage(tree_pairs(members))
     links = stage(verify(pairs, texts, weights, similarity))
     grouped = stage(components(links, "a", "b").withColumnRenamed("node", "content"))
-    placed = members.join(grouped.hint("merge"), "content", "left").withColumn("component", F.coalesce("component", "content"))
-    rest = stage(cross_pairs(stage(placed)).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+    placed = stage(members.join(grouped.hint("merge"), "content", "left").withColumn("component", F.coalesce("component", "content")))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("block").alias("top")).where("lo < hi").select("key", "top")
+    unsettled = stage(placed.join(stage(several).hint("merge"), "key"))
+    rest = stage(cross_pairs(unsettled.where(F.col("n") <= PAIR_MEMBERS)).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
     links = links.unionByName(stage(verify(rest, texts, weights, similarity)))
+    links = links.unionByName(stage(cross_links(unsettled.where(F.col("n") > PAIR_MEMBERS), texts, weights, similarity)))
     grouped = stage(components(links, "a", "b").withColumnRenamed("node", "content"))
 
     named = stage(signed.select("id", "v", "content").join(grouped.hint("merge"), "content", "left").select("id", "v", F.coalesce("component", "content").alias("component"), "content"))
@@ -355,7 +412,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     3. Contents that share a band are linked along a spanning tree of their slot agreement, verified on whole texts.
     4. Pairs that share a band but are in different components after that are all verified too, unless they agree
        in so few slots that a similarity of 0.8 is out of reach; so no link that joins classes is lost.
-       Pairs inside one component would change nothing and are not made.
+       Pairs inside one component would change nothing and are not made.  Small buckets put out such pairs; large
+       ones are verified block by block where they lie and put out only links that join components.
 
     Texts with the same words (none at all included) are one class.  Null text: empty.  Rows that repeat get the same
     class.  Empty table: no rows.

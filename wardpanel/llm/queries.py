@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardpanel.llm import chat
-from wardpanel.llm.bpe import decode_corpus, encode_corpus
+from wardpanel.llm.bpe import encode_corpus
 from wardpanel.llm.common import table
 from wardpanel.llm.digest_index import DigestIndex, add_new
 from wardpanel.llm.near_dedup import near_classes
@@ -160,8 +160,7 @@ def op8(spark, sf):
 
 @query("op9_byte_bpe")
 def op9(spark, sf):
-    ranks = tokenizer_file("byte_bpe_multi_50k.tiktoken")
-    out = decode_corpus(encode_corpus(table(spark, sf, "documents"), ranks, split_pattern()), ranks)
+    out = encode_corpus(table(spark, sf, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern(), decoded_col="decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

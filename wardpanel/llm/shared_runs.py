@@ -106,26 +106,71 @@ def count_windows(parts: DataFrame, units: Callable, size: int) -> DataFrame:
     return windows.where("times = 1").join(again.hint("merge"), ["h0", "h1"]).select("id", "v", "start", F.lit(1).alias("n"))
 
 
-def repeated_runs(docs: DataFrame, units: Callable, size: int, gram: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, v, start, n): runs of n windows, from window `start` on, that all occur somewhere else as well.
+def settle_runs(runs: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, v, start, n): the repeated windows among `runs` (staged; id, v, start, n, at, anchor, digest, times).
 
-    `docs` as made by `documents`.  `compare` gets the runs that share an anchor but not their whole content
-    (id, v, start, n, at, anchor, times) and returns the same columns as this function.
+    Runs alone with their anchor are dropped, runs that occur twice as a whole are repeated, and `compare` gets the different
+    contents that share an anchor (id, v, start, n, at, anchor, times) and returns what this function returns.
     """
-    runs = stage(run_rows(docs, units, size, gram))
-    anchors = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    anchors = runs.groupBy("anchor").agg(F.sum("times").alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
     shared = stage(anchors.where("c > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("mixed")))
     near = stage(runs.join(shared.hint("merge"), "anchor"))
     content = stage(
         near.groupBy("anchor", "digest", "n", "mixed")
-        .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "v", "start", "at")).alias("one"))
+        .agg(F.sum("times").alias("times"), F.min(F.struct("id", "v", "start", "at")).alias("one"))
         .select("anchor", "digest", "n", "mixed", "times", "one.*")
     )
     whole = near.join(content.where("times > 1").select("anchor", "digest", "n").hint("merge"), ["anchor", "digest", "n"])
-    mixed = content.where("mixed").select("id", "v", "start", "n", "at", "anchor", "times")
+    mixed = content.where("mixed").select("id", "v", "start", "n", "at", "anchor", F.least("times", F.lit(2)).cast("int").alias("times"))
     return whole.select("id", "v", "start", "n").unionByName(compare(mixed))
 
 
+def repeated_runs(docs: DataFrame, units: Callable, size: int, gram: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, v, start, n): runs of n windows, from window `start` on, that all occur somewhere else as well.
+
+    `docs` as made by `documents`; `compare` as in `settle_runs`.
+    """
+    return settle_runs(stage(run_rows(docs, units, size, gram)).withColumn("times", F.lit(1)), compare)
+
+
+BAND = 16
+
+
+def band_rows(parts: DataFrame, units: Callable, size: int) -> DataFrame:
+    """Runs cut into bands of `BAND` windows; `parts`: id, v, text, runs (start, n, at, times).
+
+    A band is set by the offset of the anchor, so equal windows fall in the same band of their runs.  All windows of a band
+    share a core of size - BAND + 1 tokens, whose hash stands in for the anchor: a far longer one, which few places share.
+    """
+    names = ["id", "v", "start", "n", "at", "anchor", "digest", "times"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column(3)
+            for i, text in row_texts(batch.column(2)):
+                tokens, _ = units([text])
+                rolling, out = Rolling(tokens), []
+                for r in runs[i].as_py():
+                    place, low, high = r["start"] + r["at"], r["at"] - r["n"] + 1, r["at"]
+                    for band in range(low // BAND, high // BAND + 1):
+                        a, b = max(low, band * BAND), min(high, band * BAND + BAND - 1)
+                        core = place - band * BAND
+                        out.append((place - b, b - a + 1, core, core + size - BAND + 1, band, a, r["times"]))
+                start, n, core, end, band, a, times = (np.array(c, dtype=np.int64) for c in zip(*out))
+                anchor = mix(rolling.span(core, end) + band.astype(np.uint64))
+                digest = mix(rolling.span(start, start + n - 1 + size) + (a * BAND + n).astype(np.uint64))
+                same = [pa.array(np.full(len(out), batch.column(c)[i].as_py(), dtype=t)) for c, t in ((0, np.int64), (1, np.int32))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(out), dtype=np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(times.astype(np.int32))], names=names)
+
+    return parts.select("id", "v", "text", "runs").mapInArrow(rows, RUNS + ", times int")
+
+
+def settle_by_counting(docs: DataFrame, mixed: DataFrame, units: Callable, size: int) -> DataFrame:
+    """Settle runs with crowded anchors by counts alone: bands first, and single windows where a band does not decide."""
+    bands = stage(band_rows(with_text(docs, mixed.select("id", "v", "start", "n", "at", "times")), units, size))
+    return settle_runs(bands, lambda rest: count_windows(with_text(docs, rest.select("id", "v", "start", "n", "times")), units, size))
+
+
 def with_text(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """(id, v, text, runs): the runs of a document beside its text."""
     lists = runs.groupBy("id", "v").agg(F.collect_list(F.struct(*[c for c in runs.columns if c not in ("id", "v")])).alias("runs"))
@@ -174,4 +219,4 @@ def removal(total: int, runs: np.ndarray, size: int) -> tuple[np.ndarray, list[d
     return gone, [{"start": int(a), "length": int(b - a)} for a, b in zip(first, end)]
 
 
-__all__ = ["byte_units", "count_windows", "covered", "documents", "id_back", "removal", "repeated_runs", "with_text", "word_units"]
+__all__ = ["byte_units", "count_windows", "covered", "documents", "id_back", "removal", "repeated_runs", "settle_by_counting", "with_text", "word_units"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardpanel.llm.common import documents, id_back, row_texts, stage
-from wardpanel.llm.shared_runs import SPAN_SCHEMA, byte_units, count_windows, covered, removal, repeated_runs, with_text
+from wardpanel.llm.shared_runs import SPAN_SCHEMA, byte_units, covered, removal, repeated_runs, settle_by_counting, with_text
 
 #: An anchor with more different runs than this is settled by counted window hashes, not in one bucket.
 BUCKET_RUNS = 256
@@ -140,7 +140,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     its own, so both copies of a string sample the same place.  Suffixes whose leading bytes are unique are
     dropped, equal ones are counted, the rest are range-partitioned by their leading bytes and sorted.
     Leading bytes with more than `BUCKET_RUNS` different suffixes (the border of a passage in very many
-    documents) would fill one bucket; their strings are counted by hash in Spark instead.
+    documents) would fill one bucket; their strings are counted by hash in Spark instead, in bands of neighbours first.
 
     Returns one row per input row: `id_col`, `kept` (binary), `spans` (removed bytes), `n_units` (bytes), `n_removed`.
     Null text: empty.  Rows that repeat are copies of each other.  Short texts are kept.  Empty table: no rows.
@@ -153,8 +153,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         crowded = stage(mixed.groupBy("anchor").count().where(F.col("count") > BUCKET_RUNS).select("anchor", F.lit(True).alias("crowded")))
         marked = stage(mixed.join(crowded.hint("merge"), "anchor", "left"))
         few = marked.where("crowded IS NULL").drop("crowded", "anchor")
-        many = marked.where("crowded").drop("crowded", "anchor", "at")
-        return sort_buckets(suffix_rows(with_text(source, few), length, gram), length).unionByName(count_windows(with_text(source, many), byte_units, length))
+        many = marked.where("crowded").drop("crowded", "anchor")
+        return sort_buckets(suffix_rows(with_text(source, few), length, gram), length).unionByName(settle_by_counting(source, many, byte_units, length))
 
     repeated = repeated_runs(source, byte_units, length, gram, compare)
 
