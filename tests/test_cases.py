@@ -287,3 +287,13 @@ def test_linkage_ring_is_whole_and_stable(spark):
     for q, d in a:
         per.setdefault(q, set()).add(d)
     assert len(per["q0"]) == 4 and len(per["q4"]) == int((4 * 3) / 5)
+
+
+def test_closure_has_no_depth_limit(spark):
+    from wardpanel.operators.graph import ancestors
+
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(70)], "child string, parent string")
+    start = spark.createDataFrame([("c0",)], "code string")
+    assert ancestors(start, chain).agg({"distance": "max"}).first()[0] == 70
+    with pytest.raises(ValueError):
+        ancestors(start, chain, max_depth=5)

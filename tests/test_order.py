@@ -89,3 +89,10 @@ def test_tie_ranks_any_values(spark, values):
         spark.conf.unset("wardpanel.group.rows")
     for v in set(values):
         assert got[v] == (sum(x < v for x in values), values.count(v), len(values))
+
+
+def test_edges_when_series_share_their_order_values(spark):
+    from wardpanel.operators.order import _edges
+
+    rows = spark.range(300).selectExpr("id AS name").crossJoin(spark.range(100).selectExpr("id AS day"))
+    assert len(_edges(rows, ["day"], 64, 2048, ["name"])) > 40

@@ -21,31 +21,34 @@ def lookup(codes: DataFrame, nodes: DataFrame, attribute: str, code: str = "code
     return codes.join(known, code, "left").withColumn("known", F.coalesce("known", F.lit(0)))
 
 
-def closure(codes: DataFrame, edges: DataFrame, max_depth: int = 64, code: str = "code") -> DataFrame:
+def closure(codes: DataFrame, edges: DataFrame, max_depth: int | None = None, code: str = "code") -> DataFrame:
     """(code, other, distance): everything reachable along from -> to edges, with the shortest distance.
 
-    Breadth-first over all start codes at once; each level is written to the checkpoint folder before the next.
+    Breadth-first over all start codes at once until a level is empty; each level is written to the checkpoint folder
+    before the next.  With `max_depth`, a deeper chain is an error, not a shorter result.
     """
     step = edges.select(F.col("from").alias("__at"), F.col("to").alias("other")).distinct()
     level = codes.select(code).distinct().join(step, F.col(code) == F.col("__at")).select(code, "other").distinct()
     level = cut_lineage(level.where(F.col(code) != F.col("other")).withColumn("distance", F.lit(1)))
-    seen = level
-    for depth in range(2, max_depth + 1):
+    seen, depth = level, 1
+    while True:
+        depth += 1
         nxt = level.select(code, F.col("other").alias("__at")).join(step, "__at").select(code, "other").distinct()
         nxt = nxt.where(F.col(code) != F.col("other")).join(seen.select(code, "other"), [code, "other"], "left_anti")
         level = cut_lineage(nxt.withColumn("distance", F.lit(depth)))
         if level.isEmpty():
-            break
+            return seen
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"codes lie more than {max_depth} steps apart")
         seen = seen.unionByName(level)
-    return seen
 
 
-def ancestors(codes: DataFrame, ontology: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(codes: DataFrame, ontology: DataFrame, max_depth: int | None = None) -> DataFrame:
     """ontology: child, parent.  Order the result by (distance, other)."""
     return closure(codes, ontology.select(F.col("child").alias("from"), F.col("parent").alias("to")), max_depth)
 
 
-def descendants(codes: DataFrame, ontology: DataFrame, max_depth: int = 64) -> DataFrame:
+def descendants(codes: DataFrame, ontology: DataFrame, max_depth: int | None = None) -> DataFrame:
     return closure(codes, ontology.select(F.col("parent").alias("from"), F.col("child").alias("to")), max_depth)
 
 

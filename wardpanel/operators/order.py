@@ -23,14 +23,13 @@ def group_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(GROUP_CONF, str(GROUP_ROWS)))
 
 
-def _edges(df: DataFrame, order: Sequence[str], ranges: int, sample_rows: int) -> list[tuple]:
-    """Range edges from the rows with the smallest key hashes; at most `sample_rows` rows reach the driver."""
-    picked = (
-        df.select(*order)
-        .orderBy(F.xxhash64(*order), *order)
-        .limit(sample_rows)
-        .collect()
-    )
+def _edges(df: DataFrame, order: Sequence[str], ranges: int, sample_rows: int, by: Sequence[str] = ()) -> list[tuple]:
+    """Range edges from the rows with the smallest hashes of group and key; at most `sample_rows` rows reach the driver.
+
+    The hash covers the group, so series that share their order values still give a spread sample.
+    """
+    key = [*by, *order]
+    picked = df.select(*key).orderBy(F.xxhash64(*key), *key).limit(sample_rows).select(*order).collect()
     values = sorted({tuple(r) for r in picked if all(v is not None for v in r)})
     step = max(1, len(values) // ranges)
     return values[step::step]
@@ -71,7 +70,7 @@ def running_totals(
     by, order = list(by), list(order)
     named = df.withColumns({f"__m_{n}": c for n, c in measures.items()})
     known = largest_group(df, by) if largest is None else largest
-    edges = [] if known <= group_rows(df) else _edges(named, order, ranges, sample_rows)
+    edges = [] if known <= group_rows(df) else _edges(named, order, ranges, sample_rows, by)
     before = lambda parts: Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     if not edges:
         parts = by or [F.lit(0)]
@@ -105,7 +104,7 @@ def running_last(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     upto = lambda parts: Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if largest_group(df, by) <= group_rows(df):
         return df.withColumn(name, F.last(value, ignorenulls=True).over(upto(by or [F.lit(0)])))
-    edges = _edges(df, order, kw.get("ranges", RANGES), kw.get("sample_rows", SAMPLE_ROWS))
+    edges = _edges(df, order, kw.get("ranges", RANGES), kw.get("sample_rows", SAMPLE_ROWS), by)
     ranged = df.withColumn("__range", _range_id(df, order, edges))
     parts = by + ["__range"]
     held = ranged.where(F.col(value).isNotNull()).groupBy(*parts).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__v"))

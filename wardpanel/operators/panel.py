@@ -471,8 +471,11 @@ def rsi(x, window: int = 14) -> Factor:
 
 
 def _band(x, w, max_window: int) -> tuple[Factor, Factor]:
+    """Mean and deviation over `w` rows, a number or a factor; a factor above `max_window` is an error, not a shorter window."""
     if not isinstance(w, (Factor, str)):
         return ts_mean(x, int(w)), ts_std(x, int(w))
+    fits = lambda n: F.when(n.cast("int") > max_window, F.raise_error(F.lit(f"a window is longer than max_window ({max_window})"))).otherwise(n)
+    w = elementwise("fits", fits, lift(w), params=(max_window,))
     rows = windowed("rows", lambda c: F.collect_list(F.struct(c.alias("v"))).over(_rows(max_window)), x, params=(max_window,), back=max_window - 1)
 
     def tail(a, n):
