@@ -120,3 +120,15 @@ def test_subtrees_ignore_operand_order():
 def test_bad_factors_are_reported():
     good, bad = p.drop_missing_factors({"ok": lambda: p.ts_mean("x"), "ahead": lambda: p.delay("x", -1)})
     assert list(good) == ["ok"] and list(bad) == ["ahead"]
+
+
+def test_weighted_means_over_a_long_gap(spark):
+    days = pd.date_range("2020-01-01", periods=430)
+    x = pd.Series([1.0, 2.0, 1.5] + [np.nan] * 400 + [float(i % 7) for i in range(27)])
+    rows = [(1, d.date(), None if np.isnan(v) else float(v)) for d, v in zip(days, x)]
+    panel = spark.createDataFrame(rows, "instrument long, datetime date, x double")
+    factors = {"e": p.ema("x", 5), "s": p.sma("x", 7, 2), "m": p.macd("x")}
+    got = p.evaluate(panel, factors).toPandas().sort_values("datetime")
+    span = lambda n: x.ewm(span=n, min_periods=1).mean()
+    for name, want in {"e": span(5), "s": x.ewm(alpha=2 / 7).mean(), "m": span(12) - span(26)}.items():
+        np.testing.assert_allclose(got[name].to_numpy(float), want.to_numpy(), rtol=1e-9, atol=1e-12)

@@ -361,6 +361,7 @@ def ewm(x, alpha: float) -> Factor:
 
     Inside a block of rows the weighted sums are running sums of x * (1-alpha)^-i scaled back, and
     only the previous block can still matter: a block is long enough for older weights to fall below 1e-17.
+    Both sums age alike, so a null row has the mean of the last row with a value, however far back it lies.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
@@ -381,8 +382,9 @@ def ewm(x, alpha: float) -> Factor:
     last = lambda v, i: F.coalesce(F.max_by(v, i).over(prior()) * F.lit(lead_in), F.lit(0.0))
     num0 = staged(windowed("ewm_n0", lambda v, i, b: last(v, i), num, idx, blk, params=(alpha,), back=2 * block))
     den0 = staged(windowed("ewm_d0", lambda v, i, b: last(v, i), den, idx, blk, params=(alpha,), back=2 * block))
-    seen = windowed("ewm_seen", lambda c: F.count(c).over(_ordered().rowsBetween(Window.unboundedPreceding, 0)), x)
-    return elementwise("ewm", lambda a, b, c, d, s: F.when(s > 0, F.try_divide(a + b, c + d)), num, num0, den, den0, seen, params=(alpha,))
+    held = lambda v, a, b, c, d: F.when(v.isNotNull(), F.try_divide(a + b, c + d))
+    mean = elementwise("ewm_held", held, x, num, num0, den, den0, params=(alpha,))
+    return windowed("ewm", lambda m: F.last(m, ignorenulls=True).over(_ordered().rowsBetween(Window.unboundedPreceding, 0)), mean, params=(alpha,))
 
 
 def ema(x, p: int) -> Factor:
