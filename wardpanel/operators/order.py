@@ -135,13 +135,28 @@ def tie_ranks(
     return ranked.withColumn(total, counts.agg(F.sum(equal).alias(total)).scalar())
 
 
+def _percent_rank(value: str, by: Sequence[str]) -> Column:
+    ordered = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+    smaller = F.rank().over(ordered) - 1
+    equal = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+    total = F.count(value).over(Window.partitionBy(*by))
+    ranked = F.col(value).isNotNull()
+    for c in by:
+        ranked = ranked & F.col(c).isNotNull()
+    return F.when(ranked, (smaller + (equal + 1) / 2) / total)
+
+
 def percent_ranks(df: DataFrame, names: Mapping[str, str], by: Sequence[str], largest: int | None = None, **kw) -> DataFrame:
     """Average-tie percent rank of several columns inside each group (`names`: column -> new column); null stays null.
 
-    Every rank starts from `df` itself, so the plan grows with the number of columns, not with its power.
+    Groups that one task may sort are shuffled once for all columns.  Larger ones are ranked by counts of values;
+    every rank then starts from `df` itself, so the plan grows with the number of columns, not with its power.
+    Rows with a null in `by` have no rank.
     """
     by = list(by)
     known = largest_group(df, by) if largest is None else largest
+    if by and known <= group_rows(df):
+        return df.withColumns({name: _percent_rank(value, by) for value, name in names.items()})
     out = df
     for value, name in names.items():
         ranked = tie_ranks(df.select(*by, value), value, by, largest=known, **kw).select(
