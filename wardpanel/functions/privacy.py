@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import accumulate, pairwise
 
 from wardpanel.functions.codes import PRIVACY_RULES
 
@@ -28,23 +29,21 @@ def category(raw: str) -> str:
 
 
 def spans(original: str, tagged: str) -> list[tuple[int, int, str]]:
-    """Where each mark lies in the original: it starts after the text before it and ends where the text after it begins."""
-    found, at, done = [], 0, 0
-    marks = list(MARK.finditer(tagged))
-    for mark, following in zip(marks, [*marks[1:], None]):
-        before = tagged[done : mark.start()]
-        after = tagged[mark.end() : following.start() if following else len(tagged)]
-        if before:
-            spot = original.find(before, at)
-            at = (spot if spot >= 0 else at) + len(before)
-        end = len(original)
-        if after:
-            spot = original.find(after, at)
-            end = spot if spot >= 0 else at
-        if end > at:
-            found.append((at, end, category(mark.group(1))))
-        at, done = end, mark.end()
-    return found
+    """Where each mark lies in the original: the gap between the plain texts around it.
+
+    The plain texts are placed from left to right.  One that is not found counts as starting where the last one ended, so the
+    mark before it gets no span; an empty one after a mark stands for the end of the original.
+    """
+
+    def place(last: tuple[int, int], text: str) -> tuple[int, int]:
+        start = original.find(text, last[1]) if text else len(original)
+        start = last[1] if start < 0 else start
+        return start, start + len(text)
+
+    first, *rest = MARK.split(tagged)
+    texts, tags = rest[1::2], rest[::2]
+    placed = accumulate(texts, place, initial=place((0, 0), first) if first else (0, 0))
+    return [(left[1], right[0], category(tag)) for (left, right), tag in zip(pairwise(placed), tags) if right[0] > left[1]]
 
 
 def tag_words(original: str, tagged: str) -> list[dict[str, str]]:
