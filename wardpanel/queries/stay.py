@@ -333,16 +333,20 @@ clean AS (SELECT idx, substr(trim(regexp_replace(lower(trim(nm)), '[^a-zA-Z0-9_]
   WHERE operation <> 'mystery' AND CASE WHEN operation LIKE 'numeric%' THEN numeric_source <> 'nothing' WHEN operation = 'count_ratio' THEN den <> '' ELSE sources <> '' END)"""
 
 
-@query("stay_spec_normalise", f"{SPEC} SELECT * FROM clean ORDER BY idx LIMIT 100000")
+STRUCTURE = """name, operation, sources, numeric_source, keywords, den,
+  CASE WHEN operation IN ('numeric_window_mean', 'numeric_persistence', 'temporal_keyword_density') THEN window_start_hours || '/' || window_end_hours END,
+  CASE WHEN operation LIKE 'numeric%' THEN coalesce(threshold, -1) END"""
+
+
+@query("stay_spec_normalise", f"{SPEC} SELECT * FROM clean")
 def spec_normalise(spark, sf):
-    out = st.normalise_specs(spec_rows(spark, sf), "idx", 100000)
+    out = st.normalise_specs(spec_rows(spark, sf), "idx")
     return out.select("idx", "name", "operation", F.array_join("sources", ",").alias("sources"), "numeric_source", F.array_join("keywords", ",").alias("keywords"), "window_start_hours", "window_end_hours", "threshold")
 
 
-@query("stay_spec_signature", f"""{SPEC} SELECT count(*) AS specs, count(DISTINCT row(name, operation, sources, numeric_source, keywords, den, CASE WHEN operation IN ('numeric_window_mean', 'numeric_persistence', 'temporal_keyword_density') THEN window_start_hours || '/' || window_end_hours END,
-  CASE WHEN operation LIKE 'numeric%' THEN coalesce(threshold, -1) END)) AS structures FROM clean JOIN (SELECT idx, den FROM raw) USING (idx)""")
+@query("stay_spec_signature", f"""{SPEC} SELECT count(*) AS specs, count(DISTINCT row({STRUCTURE})) AS structures FROM clean JOIN (SELECT idx, den FROM raw) USING (idx)""")
 def spec_signature(spark, sf):
-    out = st.normalise_specs(spec_rows(spark, sf), "idx", 100000).withColumn("sig", st.signature())
+    out = st.normalise_specs(spec_rows(spark, sf), "idx").withColumn("sig", st.signature())
     return out.agg(F.count(F.lit(1)).alias("specs"), F.countDistinct("sig").alias("structures"))
 
 
@@ -351,7 +355,7 @@ def spec_signature(spark, sf):
 once AS (SELECT name, min(idx) AS first_, arg_min(operation, idx) AS operation FROM w GROUP BY name, w.operation, sources, numeric_source, keywords, den, win, th),
 per AS (SELECT name, min(first_) AS idx, arg_max(operation, first_) AS operation FROM once GROUP BY 1) SELECT idx, name, operation FROM per ORDER BY idx LIMIT 60""")
 def spec_select(spark, sf):
-    specs = st.normalise_specs(spec_rows(spark, sf), "idx", 100000)
+    specs = st.normalise_specs(spec_rows(spark, sf), "idx")
     return st.select_specs(specs, "idx", denied=["small_ring_brand_2", "HOT_gear_brand_3"], limit=60).select("idx", "name", "operation")
 
 
@@ -361,15 +365,16 @@ hit AS (SELECT k.name, k.keyword, max(CASE WHEN contains(v, keyword) THEN 1 ELSE
 SELECT name, CAST(sum(h) AS BIGINT) AS covered, CAST(sum(1 - h) AS BIGINT) AS uncovered FROM hit GROUP BY 1""")
 def spec_coverage(spark, sf):
     p = table(spark, sf, "part").select(F.explode(F.array(F.lit("conditions"), F.lit("drugs"))).alias("source"), F.concat_ws(" ", "p_type", "p_brand").alias("value"))
-    return st.keyword_coverage(st.normalise_specs(spec_rows(spark, sf), "idx", 100000), p)
+    return st.keyword_coverage(st.normalise_specs(spec_rows(spark, sf), "idx"), p)
 
 
 @query("stay_spec_problems", f"""{SPEC}, dup AS (SELECT name, 'duplicate_name' AS problem FROM clean GROUP BY 1 HAVING count(*) > 1)
 SELECT problem, count(*) AS n FROM (SELECT * FROM dup UNION ALL SELECT name, 'past_horizon' FROM clean WHERE operation IN ('temporal_keyword_density', 'numeric_window_mean') AND (window_start_hours > 48 OR window_end_hours > 48)
-UNION ALL SELECT name, 'past_horizon' FROM clean WHERE operation = 'numeric_persistence' UNION ALL SELECT name, 'no_threshold' FROM clean WHERE operation = 'numeric_persistence' AND threshold IS NULL) GROUP BY 1""")
+UNION ALL SELECT name, 'past_horizon' FROM clean WHERE operation = 'numeric_persistence' UNION ALL SELECT name, 'no_threshold' FROM clean WHERE operation = 'numeric_persistence' AND threshold IS NULL
+UNION ALL SELECT min(name), 'duplicate_structure' FROM clean JOIN (SELECT idx, den FROM raw) USING (idx) GROUP BY {STRUCTURE} HAVING count(*) > 1) GROUP BY 1""")
 def spec_problems(spark, sf):
-    out = st.check_specs(st.normalise_specs(spec_rows(spark, sf), "idx", 100000), 48.0)
-    return out.where("problem <> 'duplicate_structure'").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    out = st.check_specs(st.normalise_specs(spec_rows(spark, sf), "idx"), 48.0)
+    return out.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stay_memory_buckets", """WITH m AS (SELECT p_partkey AS id, p_type AS bucket, p_name || p_brand AS signature, p_retailprice / 2000 + 0.25 * p_size AS score FROM part),
