@@ -245,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, _, texts in text_slices(batch.column(1), 12 << 20):
+            for a, _, texts in text_slices(batch.column(1), 6 << 20):
                 ids, counts = encoder.encode(texts)
                 for s, e in pieces(counts, block_tokens):
                     low, high = int(counts[:s].sum()), int(counts[:e].sum())
