@@ -139,3 +139,59 @@ def test_components(spark):
         x, y = root(a), root(b)
         parent[max(x, y)] = min(x, y)
     assert got == {x: root(x) for a, b in links if a != b for x in (a, b)}
+
+
+def true_brute(rows, similarity):
+    """Linked pairs by the definition: document frequencies of the shingles themselves, against the number of documents."""
+    sets = [Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    df = Counter(g for s in sets for g in s)
+    weight = {g: 1 + np.log((1 + len(rows)) / (1 + n)) / np.log(2 + len(rows)) for g, n in df.items()}
+    pairs = set()
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = sum(min(n, sets[b][g]) * weight[g] for g, n in sets[a].items() if g in sets[b])
+            if shared and shared / (sum(n * weight[g] for s in (sets[a], sets[b]) for g, n in s.items()) - shared) >= similarity:
+                pairs.add((rows[b][0], rows[a][0]))
+    return pairs
+
+
+def test_weights_follow_true_counts(spark, frame, monkeypatch):
+    """One common passage in 150 texts; pairs whose similarity is above 0.8 only without, or below it only with, the true idf."""
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(near_dedup, "BUCKET_BYTES", 4000)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage = [word() for _ in range(64)]
+    rows = [(i, " ".join([*(word() for _ in range(60)), *passage])) for i in range(150)]
+    for i in range(20):  # twins that share the passage and differ in n words at the end: weights decide
+        own = [word() for _ in range(30)]
+        n = 5 + i % 10
+        rows += [(1000 + 2 * i + j, " ".join([*passage, *own, *(word() for _ in range(n))])) for j in (0, 1)]
+    want = {p for p in true_brute(rows, 0.8) if p[0] >= 1000}
+    flat = set()
+    for i in range(20):
+        n = 5 + i % 10
+        if 90 / (90 + 2 * n) >= 0.8:
+            flat.add((1000 + 2 * i, 1001 + 2 * i))
+    got = {r.doc_id: r.class_id for r in near_classes(frame(rows)).collect()}
+    assert {(c, i) for i, c in got.items() if c != i} == want
+    assert want != flat
+
+    blocks = near_dedup.stage(near_dedup.text_blocks(near_dedup.documents(frame(rows), "doc_id", "text")))
+    assert blocks.count() > 5
+    signed, total = near_dedup.signatures(blocks)
+    df = Counter(h for _, t in rows for h in set(text_shingles([t.encode()])[0].tolist()))
+    texts, unpack = dict(rows), near_dedup.zstandard.ZstdDecompressor()
+    assert total == len(rows)
+    for r in signed.select("id", "df").collect():
+        h = distinct_shingles(*text_shingles([texts[r.id].encode()])[:2])[0]
+        assert near_dedup._unpacked(r.df, unpack).tolist() == [df[x] for x in h.tolist()]
+
+
+def test_many_shingles_keep_their_own_counts(spark, frame):
+    """More different shingles than there were bins: each is in one text, so each weighs the same."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 1 << 60, 60_000))) for i in range(10)]
+    signed, total = near_dedup.signatures(near_dedup.stage(near_dedup.text_blocks(near_dedup.documents(frame(rows), "doc_id", "text"))))
+    unpack = near_dedup.zstandard.ZstdDecompressor()
+    assert all((near_dedup._unpacked(r.df, unpack) == 1).all() for r in signed.select("df").collect()) and total == 10

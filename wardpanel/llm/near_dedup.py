@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardpanel.llm.common import BYTE_TOKENS, Rolling, documents, id_back, id_key, mix, stage, text_slices
+from wardpanel.llm.common import BYTE_TOKENS, Rolling, documents, id_back, id_key, mix, pieces, stage, text_slices
 from wardpanel.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 16, 4
 SLOTS = BANDS * BAND_ROWS
-#: Shingle counts are kept in this many hashed bins, whatever the corpus: a table of fixed size.
+#: Texts are counted and signed in blocks of about so many bytes; a bucket counts the shingles of about so many bytes of the corpus.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Bins of `bin_weights`, which no operator uses.
 BINS = 1 << 18
 BIN_SHIFT = np.uint64(46)
 #: Pairs of a bucket that agree in fewer slots are not compared: at similarity 0.8 that is some 4 standard deviations off.
@@ -69,7 +73,7 @@ def distinct_shingles(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
 
 
 def bin_weights(docs: DataFrame) -> np.ndarray:
-    """Weight of a shingle by its bin: 1 + scaled inverse document frequency, between 1 and 2, counted over all texts.
+    """Weight of a shingle by its hashed bin, for comparison on small tables: `signatures` counts every shingle by itself.
 
     Each task adds up one table of `BINS` counts, cut into slices; slices are summed in Spark, and a table of
     fixed size (1 MB) reaches the driver.
@@ -97,8 +101,85 @@ def bin_weights(docs: DataFrame) -> np.ndarray:
     for row in summed.collect():
         table[row["slice"]] = np.frombuffer(row["counts"], dtype=np.int64)
     df = table.reshape(-1)
-    total = max(1, int(df.sum()))
-    return (1 + np.log((1 + total) / (1 + df)) / np.log(2 + total)).astype(np.float32)
+    return shingle_weights(df, docs.count())
+
+
+def shingle_weights(df: np.ndarray, texts: int) -> np.ndarray:
+    """1 + scaled inverse document frequency, between 1 and 2, of shingles that `df` of all `texts` hold."""
+    return (1 + np.log((1 + texts) / (1 + df)) / np.log(2 + texts)).astype(np.float32)
+
+
+def _packed(values: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
+    """64-bit values byte plane by byte plane: bytes that hardly change lie together."""
+    return pack.compress(values.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpacked(data: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
+    planes = np.frombuffer(unpack.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(">u8").reshape(-1).astype(np.uint64)
+
+
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """(block, ids, vs, sizes, data): consecutive texts packed together.  To be staged, as the name of a block is drawn."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for a, b, texts in text_slices(batch.column(2), BLOCK_BYTES):
+                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], type=pa.int32()), c) for c in (batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(t) for t in texts], type=pa.int64()))]
+                data = pa.array([pack.compress(b"".join(texts))], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes], type=pa.binary()), *lists, data], names=["block", "ids", "vs", "sizes", "data"])
+
+    schema = f"block binary, ids array<bigint>, vs array<{docs.schema['v'].dataType.simpleString()}>, sizes array<bigint>, data binary"
+    return docs.select("id", "v", "text").mapInArrow(rows, schema)
+
+
+def block_shingles(sizes: pa.Scalar, data: pa.Scalar) -> Iterator[tuple]:
+    """Slices of a block: (first text, end text, distinct shingles, times, shingles per text, contents)."""
+    flat, sizes = zstandard.ZstdDecompressor().decompress(data.as_py()), sizes.values.to_numpy()
+    ends = np.cumsum(sizes)
+    for a, b in pieces(sizes):
+        hashes, counts, content = text_shingles([flat[e - n : e] for e, n in zip(ends[a:b].tolist(), sizes[a:b].tolist())])
+        yield a, b, *distinct_shingles(hashes, counts), content
+
+
+def shingle_counts(blocks: DataFrame, bits: int) -> DataFrame:
+    """(block, answers): for the distinct shingles of each block in order, how many texts of all blocks hold them.
+
+    A block sends its shingles with their counts once to each of 2^`bits` buckets by their leading bits; a bucket adds up the
+    blocks and answers each, with one value per shingle.  A shingle comes at most once from a block, however common it is.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found, times = np.unique(np.concatenate([part[2] for part in block_shingles(batch.column(1)[i], batch.column(2)[i])]), return_counts=True)
+                bucket = ((found >> np.uint64(1)) >> np.uint64(63 - bits)).astype(np.int64)
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = [*starts[1:].tolist(), len(found)]
+                columns = [[_packed(x[s:e], pack) for s, e in zip(starts.tolist(), ends)] for x in (found, times)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[i].as_py()] * len(starts), type=pa.binary()), pa.array(bucket[starts].astype(np.int32)), *(pa.array(c, type=pa.binary()) for c in columns)],
+                    names=["block", "bucket", "shingles", "times"],
+                )
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        own = [_unpacked(c.as_py(), unpack) for c in rows.column("shingles")]
+        times = np.concatenate([_unpacked(c.as_py(), unpack) for c in rows.column("times")])
+        hashes = np.concatenate(own)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        total = np.empty(len(hashes), dtype=np.uint64)
+        total[order] = np.repeat(np.add.reduceat(times[order], starts), np.diff(np.append(starts, len(hashes))))
+        answers = [_packed(x, pack) for x in np.split(total, np.cumsum([len(x) for x in own])[:-1])]
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "df": pa.array(answers, type=pa.binary())})
+
+    sent = blocks.select("block", "sizes", "data").mapInArrow(cut, "block binary, bucket int, shingles binary, times binary")
+    answers = sent.groupBy("bucket").applyInArrow(add, "block binary, bucket int, df binary")
+    return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "df"))).alias("answers"))
 
 
 @cache
@@ -163,28 +244,45 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, weights) -> DataFrame:
-    """(id, v, content, samples, keys): content hash of every text; samples and band keys are null without words."""
+def signatures(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """(id, v, content, samples, keys, df) and the number of texts, from staged blocks.
+
+    content: hash of every text; df: in how many texts each of its shingles is; samples, keys and df are null without words.
+    """
+    known = blocks.agg(F.sum(F.size("ids")).alias("texts"), F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda x, y: x + y)).alias("bytes")).first()
+    total = known["texts"] or 0
+    bits = max(0, (known["bytes"] or 0) // BUCKET_BYTES).bit_length()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = weights.value
+        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
-            for a, b, texts in text_slices(batch.column(2)):
-                hashes, counts, content = text_shingles(texts)
-                h, times, n = distinct_shingles(hashes, counts)
-                has = n > 0
-                samples: list = [None] * (b - a)
-                keys: list = [None] * (b - a)
-                if has.any():
-                    found = weighted_samples(h, times.astype(np.float32) * table[(h >> BIN_SHIFT).astype(np.int64)], n[has])
-                    for i, s, k in zip(np.flatnonzero(has).tolist(), found, band_keys(found)):
-                        samples[i], keys[i] = s.tobytes(), k
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([c.tobytes() for c in content], type=pa.binary()), pa.array(samples, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64()))],
-                    names=["id", "v", "content", "samples", "keys"],
-                )
-
-    return docs.select("id", "v", "text").mapInArrow(rows, "id bigint, v int, content binary, samples binary, keys array<bigint>")
+            for i in range(batch.num_rows):
+                parts = list(block_shingles(batch.column(2)[i], batch.column(3)[i]))
+                found = np.unique(np.concatenate([part[2] for part in parts]))
+                often = [_unpacked(answer["df"], unpack) for answer in batch.column(4)[i].as_py() or []]
+                often = np.concatenate([np.zeros(0, dtype=np.uint64), *often])
+                if len(often) != len(found):
+                    raise ValueError("a block of texts lacks counts of its shingles")
+                for a, b, h, times, n, content in parts:
+                    has = n > 0
+                    samples: list = [None] * (b - a)
+                    keys: list = [None] * (b - a)
+                    df: list = [None] * (b - a)
+                    if has.any():
+                        own = often[np.searchsorted(found, h)]
+                        signed = weighted_samples(h, times.astype(np.float32) * shingle_weights(own, total), n[has])
+                        ends = np.cumsum(n)[has]
+                        for k, s, key, end, size in zip(np.flatnonzero(has).tolist(), signed, band_keys(signed), ends.tolist(), n[has].tolist()):
+                            samples[k], keys[k], df[k] = s.tobytes(), key, _packed(own[end - size : end], pack)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(c)[i].values.slice(a, b - a) for c in (0, 1)]
+                        + [pa.array([c.tobytes() for c in content], type=pa.binary()), pa.array(samples, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(df, type=pa.binary())],
+                        names=["id", "v", "content", "samples", "keys", "df"],
+                    )
+
+    both = blocks.join(shingle_counts(blocks, bits).hint("merge"), "block", "left").select("ids", "vs", "sizes", "data", "answers")
+    v = blocks.schema["vs"].dataType.elementType.simpleString()
+    return both.mapInArrow(rows, f"id bigint, v {v}, content binary, samples binary, keys array<bigint>, df binary"), total
 
 
 def agreement(samples: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -282,17 +380,22 @@ def cross_pairs(members: DataFrame) -> DataFrame:
 
 
 def exact_similarity(texts: list[bytes], table: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """`shared_similarity` of texts with weights by bin."""
+    h, times, n = distinct_shingles(*text_shingles(texts)[:2])
+    return shared_similarity(h, times, n, table[(h >> BIN_SHIFT).astype(np.int64)], left, right)
+
+
+def shared_similarity(h: np.ndarray, times: np.ndarray, n: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of every left text to every right one, as products over the shingles that several hold.
 
+    `h`, `times`, `weights`: the distinct shingles text by text, `n` of each text.
     A shingle that occurs n times counts as n elements, so that a product sums up the smaller of two counts.
     """
-    hashes, counts, _ = text_shingles(texts)
-    h, times, n = distinct_shingles(hashes, counts)
     level = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
     element = mix(np.repeat(h, times) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    weight = np.repeat(table[(h >> BIN_SHIFT).astype(np.int64)].astype(np.float64), times)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    total = np.bincount(owner, weight, len(texts))
+    weight = np.repeat(weights.astype(np.float64), times)
+    owner = np.repeat(np.repeat(np.arange(len(n)), n), times)
+    total = np.bincount(owner, weight, len(n))
     _, column, often = np.unique(element, return_inverse=True, return_counts=True)
     several = often[column] > 1
     owner, weight, (_, column) = owner[several], weight[several], np.unique(column[several], return_inverse=True)
@@ -301,14 +404,14 @@ def exact_similarity(texts: list[bytes], table: np.ndarray, left: np.ndarray, ri
     shared = np.zeros((len(left), len(right)))
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         a, b = np.searchsorted(column, [first, first + 4096])
-        there, scale = np.zeros((len(texts), 4096)), np.zeros(4096)
+        there, scale = np.zeros((len(n), 4096)), np.zeros(4096)
         there[owner[a:b], column[a:b] - first] = 1
         scale[column[a:b] - first] = weight[a:b]
         shared += there[left] @ (there[right] * scale).T
     return shared / np.maximum(total[left][:, None] + total[right][None, :] - shared, 1e-300)
 
 
-def cross_links(members: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
+def cross_links(members: DataFrame, texts: DataFrame, total: int, similarity: float) -> DataFrame:
     """The same for large buckets, verified in the bucket: only links that join two components there are put out.
 
     A bucket is compared block against block, so no task holds more than two blocks of texts.
@@ -317,6 +420,7 @@ def cross_links(members: DataFrame, texts: DataFrame, weights, similarity: float
     def links(rows: pa.Table, starts: np.ndarray) -> pa.Table:
         content, samples = rows.column("content").to_pylist(), _decode(rows.column("samples").to_pylist())
         component = rows.column("component").to_pylist()
+        unpack = zstandard.ZstdDecompressor()
         block, one, two = (rows.column(c).to_numpy() for c in ("block", "one", "two"))
         found = []
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(content)]):
@@ -328,7 +432,9 @@ def cross_links(members: DataFrame, texts: DataFrame, weights, similarity: float
             if not fit.any():
                 continue
             own = [t.as_buffer().to_pybytes() for t in rows.column("text").slice(s, e - s)]
-            fit &= exact_similarity(own, weights.value, left, right) >= similarity - 1e-9
+            h, times, n = distinct_shingles(*text_shingles(own)[:2])
+            often = np.concatenate([_unpacked(c.as_py(), unpack) for c in rows.column("df").slice(s, e - s)])
+            fit &= shared_similarity(h, times, n, shingle_weights(often, total), left, right) >= similarity - 1e-9
             for i, j in zip(*np.nonzero(fit)):
                 a, b = group[left[i]], group[right[j]]
                 if a != b:
@@ -341,57 +447,57 @@ def cross_links(members: DataFrame, texts: DataFrame, weights, similarity: float
     return by_group(tasks.join(texts.hint("merge"), "content"), ["key", "one", "two"], links)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
-    """The pairs whose weighted Jaccard similarity is at least `similarity`; texts: content, text."""
-    left = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    both = left.join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+def verify(pairs: DataFrame, texts: DataFrame, total: int, similarity: float) -> DataFrame:
+    """The pairs whose weighted Jaccard similarity is at least `similarity`; texts: content, text, df; `total`: number of all texts."""
+    left = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a"), F.col("df").alias("df_a")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b"), F.col("df").alias("df_b")).hint("merge"), "b")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = weights.value, {}
+        unpack, known = zstandard.ZstdDecompressor(), {}
 
-        def weighed(content: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        def weighed(content: bytes, text: bytes, df: bytes) -> tuple[np.ndarray, np.ndarray]:
             if content not in known:
                 if len(known) > 64:
                     known.clear()
                 h, times, _ = distinct_shingles(*text_shingles([text])[:2])
-                known[content] = h, times * table[(h >> BIN_SHIFT).astype(np.int64)].astype(np.float64)
+                known[content] = h, times * shingle_weights(_unpacked(df, unpack), total).astype(np.float64)
             return known[content]
 
         for batch in batches:
-            a, b, text_a, text_b = (c.to_pylist() for c in batch.columns)
+            a, b, text_a, text_b, df_a, df_b = (c.to_pylist() for c in batch.columns)
             good = []
             for i in range(len(a)):
-                (h, w), (g, u) = weighed(a[i], text_a[i].encode()), weighed(b[i], text_b[i].encode())
+                (h, w), (g, u) = weighed(a[i], text_a[i].encode(), df_a[i]), weighed(b[i], text_b[i].encode(), df_b[i])
                 _, p, q = np.intersect1d(h, g, assume_unique=True, return_indices=True)
                 shared = float(np.minimum(w[p], u[q]).sum())
                 good.append(shared >= similarity * (float(w.sum() + u.sum()) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, type=pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(rows, PAIRS)
+    return both.select("a", "b", "text_a", "text_b", "df_a", "df_b").mapInArrow(rows, PAIRS)
 
 
 def class_rows(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(id, v, component) of every row, and per component its first row, size and number of different texts."""
     source = documents(docs, id_col, text_col)
-    weights = docs.sparkSession.sparkContext.broadcast(bin_weights(source))  # BINS floats, 1 MB for any corpus
-    signed = stage(signatures(source, weights))
-    contents = stage(signed.where("samples IS NOT NULL").groupBy("content").agg(F.min(F.struct("id", "v")).alias("one"), F.first("samples").alias("samples"), F.first("keys").alias("keys")))
+    signed, total = signatures(stage(text_blocks(source)))
+    signed = stage(signed)
+    contents = stage(signed.where("samples IS NOT NULL").groupBy("content").agg(F.min(F.struct("id", "v")).alias("one"), F.first("samples").alias("samples"), F.first("keys").alias("keys"), F.first("df").alias("df")))
     keyed = contents.select("content", F.explode("keys").alias("key"))
     sizes = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = keyed.join(sizes.hint("merge"), "key").select("key", F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block"), "n", "content")
     members = stage(shared.join(contents.select("content", "samples").hint("merge"), "content"))
-    needed = members.select("content").distinct().join(contents.select("content", "one.*").hint("merge"), "content")
-    texts = stage(source.join(needed.hint("merge"), ["id", "v"]).select("content", "text").dropDuplicates(["content"]))
+    needed = members.select("content").distinct().join(contents.select("content", "one.*", "df").hint("merge"), "content")
+    texts = stage(source.join(needed.hint("merge"), ["id", "v"]).select("content", "text", "df").dropDuplicates(["content"]))
 
     pairs = stage(tree_pairs(members))
-    links = stage(verify(pairs, texts, weights, similarity))
+    links = stage(verify(pairs, texts, total, similarity))
     grouped = stage(components(links, "a", "b").withColumnRenamed("node", "content"))
     placed = stage(members.join(grouped.hint("merge"), "content", "left").withColumn("component", F.coalesce("component", "content")))
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("block").alias("top")).where("lo < hi").select("key", "top")
     unsettled = stage(placed.join(stage(several).hint("merge"), "key"))
     rest = stage(cross_pairs(unsettled.where(F.col("n") <= PAIR_MEMBERS)).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-    links = links.unionByName(stage(verify(rest, texts, weights, similarity)))
-    links = links.unionByName(stage(cross_links(unsettled.where(F.col("n") > PAIR_MEMBERS), texts, weights, similarity)))
+    links = links.unionByName(stage(verify(rest, texts, total, similarity)))
+    links = links.unionByName(stage(cross_links(unsettled.where(F.col("n") > PAIR_MEMBERS), texts, total, similarity)))
     grouped = stage(components(links, "a", "b").withColumnRenamed("node", "content"))
 
     named = stage(signed.select("id", "v", "content").join(grouped.hint("merge"), "content", "left").select("id", "v", F.coalesce("component", "content").alias("component"), "content"))
@@ -407,7 +513,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Classes are the components of the links between texts whose weighted Jaccard similarity over five-word shingles
     is at least `similarity`.  A shingle weighs its count in the text times 1 + scaled inverse document frequency.
 
-    1. Shingle frequencies over all texts, in hashed bins of fixed number.
+    1. In how many texts each shingle is, counted by its 64-bit hash.
     2. Consistent weighted samples per text, cut into bands.  Texts with the same words are one content from here on.
     3. Contents that share a band are linked along a spanning tree of their slot agreement, verified on whole texts.
     4. Pairs that share a band but are in different components after that are all verified too, unless they agree
