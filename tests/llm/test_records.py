@@ -115,6 +115,36 @@ def test_replace_values():
         assert replace_values(text, perm) == (text, {}), text
 
 
+def test_neighbours_do_not_hide_values():
+    """Numbers and capitals on both sides of a value, which the patterns take in."""
+    perm = Permuter(b"k")
+    alone = lambda v: replace_values(v, perm)[0]
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"]
+    ibans = ["BE68 5390 0754 7034", "BE68539007547034", "ES9121000418450200051332", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]
+    for value, kind in [(v, "card") for v in cards] + [(v, "iban") for v in ibans]:
+        for frame in ("{} 123", "{} 12/27", "7 {}", "{} EUR", "{} BIC", "EUR {} EUROS", "AB12 {}", "{} X1 Y2", "no {} 9 EUR"):
+            assert replace_values(frame.format(value), perm) == (frame.format(alone(value)), {kind: 1}), (value, frame)
+    for card in cards:
+        for other, kind in (("555-123-4567", "phone"), ("078-05-1120", "ssn"), ("1999-02-28", "date"), ("BE68 5390 0754 7034 EUR", "iban")):
+            new = alone(other)
+            assert replace_values(f"{card} {other}", perm) == (f"{alone(card)} {new}", {"card": 1, kind: 1}), (card, other)
+    assert replace_values("1234567890123456 555-123-4567", perm) == ("1234567890123456 " + alone("555-123-4567"), {"phone": 1})
+    assert replace_values("+49 30 901820 4111 1111 1111 1111", perm)[0].startswith("+49 ") and "30 901820" not in replace_values("+49 30 901820 4111 1111 1111 1111", perm)[0]
+
+
+def test_dates_with_the_month_first():
+    perm = Permuter(b"k")
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(d) for d in range(1500)]
+    shown = {d.strftime(f) for d in days for f in ("%m/%d/%Y", "%d/%m/%Y")}
+    new = {v: replace_values(v, perm) for v in shown}
+    assert all(c == {"date": 1} and t != v and len(t) == 10 for v, (t, c) in new.items())
+    assert len({t for t, _ in new.values()}) == len(shown)
+    for v, (t, _) in new.items():
+        first, second = int(t[:2]), int(t[3:5])
+        assert (second > 12) == (int(v[3:5]) > 12) and datetime.date(int(t[6:]), *((first, second) if second > 12 else (second, first)))
+    assert replace_values("31/31/2001 and 02/30/2001", perm) == ("31/31/2001 and 02/30/2001", {})
+
+
 def test_pseudonyms_link_documents(spark, frame):
     rng = random.Random(8)
     number, mail = card(rng), "anna.b@x.example.org"

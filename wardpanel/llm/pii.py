@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +30,19 @@ NUMBER = re.compile(
     r"|(?P<card>[0-9](?:[ \-]?[0-9]){12,18})"
     r")(?![0-9A-Za-z])"
 )
+TOKEN = re.compile(r"[0-9A-Za-z]+")
+#: Kinds whose pattern may take in tokens beside the value.
+GREEDY = ("iban", "phone", "card")
+# Lengths of the IBAN registry.
+IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "card")
 
 
@@ -130,10 +145,22 @@ def new_iban(perm: Permuter, found: str) -> str | None:
     return "".join(c if c == " " else next(fresh) for c in found)
 
 
+@cache
+def _late_days() -> list[int]:
+    """Days after the 12th of a month: dates with the month first that cannot be read with the day first."""
+    return [d for d in range(DAYS) if datetime.date.fromordinal(FIRST_DAY + d).day > 12]
+
+
 def new_date(perm: Permuter, found: str, iso: bool) -> str | None:
+    """Dates are read with the day first; those with the month first that are no such date are permuted among themselves."""
     parts = re.split(r"[-./]", found)
     try:
         year, month, day = map(int, parts if iso else reversed(parts))
+        if not iso and month > 12:
+            value = datetime.date(year, day, month).toordinal() - FIRST_DAY
+            days = _late_days()
+            fresh = days[perm.permute("month first", bisect.bisect_left(days, value), len(days))]
+            return _digits_back(found, datetime.date.fromordinal(FIRST_DAY + fresh).strftime("%m%d%Y"))
         value = datetime.date(year, month, day).toordinal() - FIRST_DAY
     except ValueError:
         return None
@@ -171,29 +198,62 @@ def new_phone(perm: Permuter, found: str) -> str | None:
     return head + _digits_back(rest, _permute_digits(perm, "phone", digits))
 
 
+def spans(kind: str, found: str, after: str = "") -> list[tuple[int, int]]:
+    """Parts of a match that may be the value, in the order in which they are tried; they begin and end with tokens.
+
+    Cards: single tokens, then from the first token on, the longest first; last are those that end inside a number that
+    goes on with the two characters `after` the match, as with the first part of a date.  IBANs: the length of a known country, then all.
+    """
+    if kind not in GREEDY:
+        return [(0, len(found))]
+    tokens = [m.span() for m in TOKEN.finditer(found)]
+    heads = [(0, end) for _, end in reversed(tokens)]
+    if kind == "card":
+        last = len(tokens)
+        if re.fullmatch(r"[-./][0-9]", after):
+            last -= 1
+            while last and found[tokens[last][0] - 1] == after[0]:
+                last -= 1
+        heads = [(0, end) for _, end in [*reversed(tokens[:last]), *reversed(tokens[last:])]]
+        return [t for t in tokens if t[1] - t[0] >= 13] + [t for t in heads if sum(map(str.isdigit, found[: t[1]])) >= 13]
+    if kind == "iban":
+        whole = [(a, b) for a, _ in tokens for _, b in tokens if b - a - found.count(" ", a, b) == IBAN_SIZES.get(found[a : a + 2])]
+        return whole + (heads[:1] if found[:2] in IBAN_SIZES else heads)
+    return heads
+
+
 def replace_values(text: str, perm: Permuter) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind were replaced."""
     counts: dict[str, int] = {}
 
-    def note(kind: str, found: str, fresh: str | None) -> str:
-        if fresh is None:
-            return found
+    def note(kind: str, fresh: str) -> str:
         counts[kind] = counts.get(kind, 0) + 1
         return fresh
 
-    def number(m: re.Match) -> str:
-        kind, found = m.lastgroup, m.group()
+    def fresh_value(kind: str, found: str) -> str | None:
         if kind in ("iso", "day"):
-            return note("date", found, new_date(perm, found, kind == "iso"))
-        fresh = {"iban": new_iban, "ip": new_ip, "ssn": new_ssn, "phone": new_phone, "card": new_card}[kind](perm, found)
-        return note(kind, found, fresh)
+            return new_date(perm, found, kind == "iso")
+        return {"iban": new_iban, "ip": new_ip, "ssn": new_ssn, "phone": new_phone, "card": new_card}[kind](perm, found)
+
+    def numbers(part: str) -> str:
+        out, done, at = [], 0, 0
+        while m := NUMBER.search(part, at):
+            kind, found = m.lastgroup, m.group()
+            at = m.start() + TOKEN.search(found).end() if kind in GREEDY else m.end()
+            for a, b in spans(kind, found, part[m.end() : m.end() + 2]):
+                fresh = fresh_value(kind, found[a:b])
+                if fresh is not None:
+                    out += [part[done : m.start() + a], note("date" if kind in ("iso", "day") else kind, fresh)]
+                    done = at = m.start() + b
+                    break
+        return "".join([*out, part[done:]])
 
     out, at = [], 0
     if "@" in text:
         for m in EMAIL.finditer(text):
-            out += [NUMBER.sub(number, text[at : m.start()]), note("email", m.group(), new_email(perm, m.group()))]
+            out += [numbers(text[at : m.start()]), note("email", new_email(perm, m.group()))]
             at = m.end()
-    return "".join([*out, NUMBER.sub(number, text[at:])]), counts
+    return "".join([*out, numbers(text[at:])]), counts
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col: str | None = None) -> DataFrame:
@@ -202,7 +262,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col:
     E-mail addresses, phone numbers, IPv4 addresses, card numbers (Luhn), IBANs (mod 97), social security numbers (ranges)
     and dates (calendar) that pass their check are permuted under `key` within their format: check digits are right,
     punctuation, country codes and top-level domains stay, equal values get equal pseudonyms in every document, different
-    ones differ, and none maps to itself.  Null texts stay null; rows are independent, so copies, ties and
+    ones differ, and none maps to itself.  A match that fails its check is tried in parts at token borders, and the search
+    goes on after its first token, so neighbours do not hide a value.  Dates are read day first, else month first.  Null texts stay null; rows are independent, so copies, ties and
     very long texts need no care; no rows are moved.  `counts_col` adds the number of replaced values.
     """
     names, at = docs.columns, docs.columns.index(text_col)
