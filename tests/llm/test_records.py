@@ -76,6 +76,32 @@ def test_chat_round_trip(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_large_conversations_stay(spark):
+    """A text beyond the JSON parser's limit of 20,000,000 characters; a JSON record of that size is an error, not null."""
+    rows = spark.range(4).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 1, F.repeat(F.lit("long "), 4_200_000)).otherwise("hi").alias("text"))
+    out = chat.format_chats(chat.rows_to_structs(rows))
+    got = out.select("layout", F.size("turns").alias("n"), F.length("formatted").alias("chars"), F.element_at("loss_mask", 1)["length"].alias("learn")).first()
+    assert got.layout == "messages" and got.n == 4 and got.learn == 21_000_000 and got.chars == 21_000_000 + 6 + 2 * (4 + 9) + 4 * 24
+    with pytest.raises(Exception, match="too large"):
+        chat.format_chats(chat.rows_to_records(rows)).select(F.length("formatted")).collect()
+
+
+def test_layouts_of_structs(spark):
+    """Structs give what their JSON gives."""
+    data = {
+        "messages array<struct<role:string,content:string>>, extra int": [([("user", "hi"), (None, None)], 1), ([], 2), (None, 3)],
+        "conversations array<struct<from:string,value:string>>": [([("human", "hi"), ("GPT", "yo")],)],
+        "prompt string, completion string, system string": [("hi", "yo", None), ("hi", "yo", "s"), ("hi", "yo", "")],
+        "instruction string, input string, output string": [("do", "x", "y"), ("do", None, "y")],
+        "data struct<prompt:string,response:string>": [(("hi", "yo"),)],
+        "other int": [(1,)],
+    }
+    for schema, rows in data.items():
+        structs = spark.createDataFrame(rows, schema).select(F.struct("*").alias("record"))
+        both = [chat.format_chats(df).select("layout", "turns", "formatted").collect() for df in (structs, structs.select(F.to_json("record", {"ignoreNullFields": "false"}).alias("record")))]
+        assert sorted(map(str, both[0])) == sorted(map(str, both[1])), schema
+
+
 def card(rng):
     body = "".join(rng.choice("0123456789") for _ in range(15))
     return body + luhn_digit(body)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Longer JSON records may hold a text beyond the parser's 20,000,000 characters, or pass the 128 MiB of a variant; shorter ones cannot.
+JSON_CHARS = 20_000_000
 #: Marks an escape; it is doubled by the digit where a text holds it itself.
 ESCAPE = "\x10"
 TURNS = "array<struct<role:string,text:string>>"
@@ -60,9 +64,46 @@ def _text(record: Column, path: str) -> Column:
     return F.try_variant_get(record, f"$.{path}", "string")
 
 
-def layout_turns(record: Column, layout: Layout) -> Column:
+def _field_type(kind: DataType, path: str) -> DataType | None:
+    """Type of a field path in a schema; None where the schema has no such path."""
+    for step in path.replace("[0]", ".[0]").split("."):
+        if step == "[0]":
+            kind = kind.elementType if isinstance(kind, ArrayType) else None
+        else:
+            kind = kind[step].dataType if isinstance(kind, StructType) and step in kind.names else None
+        if kind is None:
+            return None
+    return kind
+
+
+def _field(record: Column, path: str) -> Column:
+    for step in path.split("."):
+        record = record.getField(step)
+    return record
+
+
+def schema_layout(schema: StructType) -> Layout | None:
+    """The layout whose marking field paths are those of the schema."""
+    there = {p for p in PATHS if _field_type(schema, p) is not None}
+    return next((layout for layout in LAYOUTS if set(layout.needs) == there), None)
+
+
+def typed_turns(records: DataFrame, record_col: str) -> DataFrame:
+    """Adds `layout` and `turns` to records that are structs: all have the layout of the schema, and no value passes a parser."""
+    schema, record = records.schema[record_col].dataType, F.col(record_col)
+    layout = schema_layout(schema)
+    if layout is None:
+        return records.withColumns({"layout": F.lit(None).cast("string"), "turns": F.lit(None).cast(TURNS)})
+    inner = _field_type(schema, f"{layout.turns}[0]") if layout.turns else schema
+    text = lambda r, path: _field(r, path).cast("string") if _field_type(inner, path) is not None else F.lit(None).cast("string")
+    items = _field(record, layout.turns) if layout.turns else None
+    here = F.coalesce(F.size(items) > 0, F.lit(False)) & F.get(items, F.lit(0)).isNotNull() if layout.turns else record.isNotNull()
+    return records.withColumns({"layout": F.when(here, F.lit(layout.name)), "turns": F.when(here, layout_turns(record, layout, text, items))})
+
+
+def layout_turns(record: Column, layout: Layout, _text: Callable[[Column, str], Column] = _text, items: Column | None = None) -> Column:
     if layout.turns:
-        items = F.try_variant_get(record, f"$.{layout.turns}", "array<variant>")
+        items = F.try_variant_get(record, f"$.{layout.turns}", "array<variant>") if items is None else items
         role = lambda x: F.lower(F.coalesce(_text(x, layout.role), F.lit(""))) if layout.role != "role" else F.coalesce(_text(x, layout.role), F.lit(""))
         named = lambda r: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in ROLES.items() for v in pair]), r), r)
         turn = lambda x: F.struct((named(role(x)) if layout.role != "role" else role(x)).alias("role"), F.coalesce(_text(x, layout.text), F.lit("")).alias("text"))
@@ -76,12 +117,18 @@ def layout_turns(record: Column, layout: Layout) -> Column:
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """Adds `layout` and `turns`.  Records are JSON strings; the fingerprint of their field paths selects the layout.
+    """Adds `layout` and `turns`.  Records are JSON strings or structs; the fingerprint of their field paths selects the layout.
 
     Null, broken or unknown records get a null layout and null turns.  When several layouts could apply, none does:
     the fingerprint covers the paths of all layouts, so a mixture is unknown unless it is listed.
+    A JSON record of more than `JSON_CHARS` that the parser does not take is an error, as it may be well-formed but too
+    large for it; structs have no such limit.
     """
+    if isinstance(records.schema[record_col].dataType, StructType):
+        return typed_turns(records, record_col)
     record = F.try_parse_json(F.col(record_col))
+    large = record.isNull() & (F.length(record_col) > JSON_CHARS)
+    record = F.when(large, F.raise_error(F.lit("a JSON record is too large for the parser, or broken; give large records as structs")).cast("variant")).otherwise(record)
     found = records.withColumn("__v", record).withColumn("__f", fingerprint(F.col("__v")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in LAYOUTS:
@@ -134,12 +181,17 @@ def read_loss(formatted: Column, mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
-def rows_to_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id_col, record): rows by turn as one record of the `messages` layout; ties of turn by role, then text.  Null text: empty."""
+def rows_to_structs(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(id_col, record): rows by turn as one struct of the `messages` layout; ties of turn by role, then text.  Null text: empty."""
     message = F.struct(F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"))
     grouped = rows.groupBy(F.col(id_col).alias(id_col)).agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), message.alias("message")))).alias("list"))
-    messages = F.transform("list", lambda x: x["message"])
-    return grouped.select(id_col, F.to_json(F.struct(messages.alias("messages")), {"ignoreNullFields": "false"}).alias("record"))
+    return grouped.select(id_col, F.struct(F.transform("list", lambda x: x["message"]).alias("messages")).alias("record"))
+
+
+def rows_to_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """`rows_to_structs` with the records as JSON."""
+    structs = rows_to_structs(rows, id_col, turn_col, role_col, text_col)
+    return structs.select(id_col, F.to_json("record", {"ignoreNullFields": "false"}).alias("record"))
 
 
 def format_chats(records: DataFrame, record_col: str = "record") -> DataFrame:

@@ -138,10 +138,10 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
     """,
 )
 def op7(spark, sf):
-    """The whole table and conversation -1, through the record layouts and back from the formatted text."""
+    """The whole table and conversation -1, through the layout of their schema and back from the formatted text."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    out = chat.format_chats(chat.rows_to_records(rows.unionByName(control)))
+    out = chat.format_chats(chat.rows_to_structs(rows.unionByName(control)))
     turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_mask"))
     read = out.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
