@@ -7,8 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wardpanel.llm import suffix_dedup
+from wardpanel.llm.near_dedup import keep_one
 from wardpanel.llm.substring_dedup import remove_repeated_words
 from wardpanel.llm.suffix_dedup import compare_runs, remove_repeated_bytes, sort_suffixes
 
@@ -103,3 +105,18 @@ def test_long_text(spark, frame):
     rows = [(1, text), (2, text[5000:6000]), (3, "short")]
     got = {r.doc_id: (r.n_units, r.n_removed) for r in remove_repeated_bytes(frame(rows)).collect()}
     assert got == {1: (len(text), 1000), 2: (1000, 1000), 3: (5, 0)}
+
+
+def test_texts_of_null_ids_with_equal_short_hashes(spark, frame):
+    """Two texts under a null id whose 32-bit hashes are the same: only one of them holds the repeated passage."""
+    passage = " ".join(f"shared{i:03d}" for i in range(60))
+    make = lambda kind, body: spark.range(150_000).select(F.concat(F.lit(body), F.lit(f" {kind}"), F.col("id").cast("string")).alias(kind)).withColumn("h", F.hash(kind))
+    other = " ".join(f"single{i:03d}" for i in range(70))
+    a, b, _ = make("a", passage).join(make("b", other), "h").select("a", "b", "h").orderBy("h").first()
+    docs = frame([(None, a), (None, b), (1, passage)])
+    for remove, unit in ((remove_repeated_bytes, lambda t: len(t)), (remove_repeated_words, lambda t: len(t.split()))):
+        got = remove(docs).select("doc_id", "kept", "n_removed").collect()
+        want = {None: sorted([0, unit(passage)]), 1: [unit(passage)]}
+        assert {i: sorted(r.n_removed for r in got if r.doc_id == i) for i in (None, 1)} == want
+        assert [bytes(r.kept).decode() for r in got if r.doc_id is None and not r.n_removed] == [b]
+    assert sorted(r.text for r in keep_one(docs).collect()) == sorted([a, b])

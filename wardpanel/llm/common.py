@@ -32,10 +32,10 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, v, text): only the columns in use, null text as empty.
 
     `v` tells rows with the same id and different texts apart; rows that agree in both are the same work
-    and get the same result, so results are joined back on (id, v).  A null id is kept as the smallest long.
+    and get the same result, so results are joined back on (id, v).  It is a 64-bit hash of the text.  A null id is kept as the smallest long.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.select(id_key(docs[id_col]).alias("id"), F.hash(text).alias("v"), text.alias("text"))
+    return docs.select(id_key(docs[id_col]).alias("id"), F.xxhash64(text).alias("v"), text.alias("text"))
 
 
 NULL_ID = -(1 << 63)

@@ -533,7 +533,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """The row of `docs` with the smallest id of each class, all columns as they are; of rows that repeat it, one."""
     _, classes = class_rows(docs, id_col, text_col, similarity)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_key(docs[id_col]).alias("id"), F.hash(text).alias("v"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_key(docs[id_col]).alias("id"), F.xxhash64(text).alias("v"))
     stays = whole.join(classes.select("one.*").hint("merge"), ["id", "v"])
     several = stays.where("same > 1").groupBy("id", "v").agg(F.first("row").alias("row"))
     return stays.where("same = 1").select("row.*").unionByName(several.select("row.*"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wardpanel.llm.common import BYTE_TOKENS, Rolling, documents, id_back, mix, row_texts, sliding_min, stage, text_slices, word_spans, word_tokens
 
-RUNS = "id bigint, v int, start int, n int, at int, anchor bigint, digest bigint"
+RUNS = "id bigint, v bigint, start int, n int, at int, anchor bigint, digest bigint"
 LOW = np.uint64((1 << 28) - 1)
 
 
@@ -90,13 +90,13 @@ def window_rows(parts: DataFrame, units: Callable, size: int) -> DataFrame:
                 hashes = [Rolling(tokens, w).windows(size) for w in (0, 1)]
                 starts = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in own])
                 times = np.repeat(np.array([min(2, r["times"]) for r in own]), [r["n"] for r in own])
-                key = [np.full(len(starts), batch.column(c)[i].as_py(), dtype=t) for c, t in ((0, np.int64), (1, np.int32))]
+                key = [np.full(len(starts), batch.column(c)[i].as_py(), dtype=t) for c, t in ((0, np.int64), (1, np.int64))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (*key, starts.astype(np.int32), *(h[starts].view(np.int64) for h in hashes), times.astype(np.int32))],
                     names=["id", "v", "start", "h0", "h1", "times"],
                 )
 
-    return parts.select("id", "v", "text", "runs").mapInArrow(rows, "id bigint, v int, start int, h0 bigint, h1 bigint, times int")
+    return parts.select("id", "v", "text", "runs").mapInArrow(rows, "id bigint, v bigint, start int, h0 bigint, h1 bigint, times int")
 
 
 def count_windows(parts: DataFrame, units: Callable, size: int) -> DataFrame:
@@ -159,7 +159,7 @@ def band_rows(parts: DataFrame, units: Callable, size: int) -> DataFrame:
                 start, n, core, end, band, a, times = (np.array(c, dtype=np.int64) for c in zip(*out))
                 anchor = mix(rolling.span(core, end) + band.astype(np.uint64))
                 digest = mix(rolling.span(start, start + n - 1 + size) + (a * BAND + n).astype(np.uint64))
-                same = [pa.array(np.full(len(out), batch.column(c)[i].as_py(), dtype=t)) for c, t in ((0, np.int64), (1, np.int32))]
+                same = [pa.array(np.full(len(out), batch.column(c)[i].as_py(), dtype=t)) for c, t in ((0, np.int64), (1, np.int64))]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(out), dtype=np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(times.astype(np.int32))], names=names)
 
     return parts.select("id", "v", "text", "runs").mapInArrow(rows, RUNS + ", times int")

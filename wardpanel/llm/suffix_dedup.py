@@ -85,10 +85,10 @@ def suffix_rows(parts: DataFrame, size: int, gram: int) -> DataFrame:
                     right = text[p : r["start"] + r["n"] - 1 + size]
                     out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), r["start"], r["n"], min(2, r["times"]), right[:gram], text[r["start"] : p], right))
             if out:
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["id", "v", "start", "n", "times", "lead", "left", "right"])
 
-    return parts.mapInArrow(rows, "id bigint, v int, start int, n int, times int, lead binary, left binary, right binary")
+    return parts.mapInArrow(rows, "id bigint, v bigint, start int, n int, times int, lead binary, left binary, right binary")
 
 
 def sort_buckets(suffixes: DataFrame, size: int) -> DataFrame:
@@ -111,7 +111,7 @@ def sort_buckets(suffixes: DataFrame, size: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(where) != 1)])) if len(own) else np.zeros(0, dtype=np.int64)
         count = np.diff(np.concatenate([first, [len(own)]]))
         pick = own[first]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[pick]), pa.array(np.array(v, dtype=np.int32)[pick]), pa.array(where[first].astype(np.int32)), pa.array(count.astype(np.int32))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[pick]), pa.array(np.array(v, dtype=np.int64)[pick]), pa.array(where[first].astype(np.int32)), pa.array(count.astype(np.int32))], names=names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -129,7 +129,7 @@ def sort_buckets(suffixes: DataFrame, size: int) -> DataFrame:
             yield settle(held)
 
     ordered = suffixes.repartitionByRange("lead").sortWithinPartitions("lead")
-    return ordered.mapInArrow(rows, "id bigint, v int, start int, n int")
+    return ordered.mapInArrow(rows, "id bigint, v bigint, start int, n int")
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64) -> DataFrame:
