@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from wardpanel.llm.common import table
 from wardpanel.llm.digest_index import DigestIndex, add_new
 from wardpanel.llm.near_dedup import near_classes
 from wardpanel.llm.packing import pack
+from wardpanel.llm.periodic import periodic_runs, with_digests
 from wardpanel.llm.pii import pseudonymise
 from wardpanel.llm.posting_search import nearest
 from wardpanel.llm.quality import add_score, held_out, train
@@ -179,3 +181,20 @@ def op9(spark, sf):
 )
 def op10(spark, sf):
     return add_new(table(spark, sf, "documents"), DigestIndex(spark))
+
+
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Words of a document whose id has a checksum divisible by ten, with a periodic tail; others, and those without an id, unchanged."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf):
+    out = with_digests(periodic_runs(table(spark, sf, "documents"), prepare=repeat_tail))
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
