@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardpanel.llm import chat
+from wardpanel.llm import chat, language
 from wardpanel.llm.bpe import encode_corpus
 from wardpanel.llm.common import table
 from wardpanel.llm.digest_index import DigestIndex, add_new
@@ -183,6 +183,14 @@ def op10(spark, sf):
     return add_new(table(spark, sf, "documents"), DigestIndex(spark))
 
 
+@query("op12_language_id")
+def op12(spark, sf):
+    """Learned from the rows whose checksum leaves 1 to 4 when divided by 5; the prediction reads the text alone."""
+    docs = table(spark, sf, "documents")
+    out = language.add_language(docs.select("doc_id", "text"), language.train(docs))
+    return out.select("doc_id", (F.coalesce(language.remainder(F.col("doc_id"), 5), F.lit(1)) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Words of a document whose id has a checksum divisible by ten, with a periodic tail; others, and those without an id, unchanged."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
