@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardpanel.llm import chat, language
+from wardpanel.llm import chat, language, lexical
 from wardpanel.llm.bpe import encode_corpus
 from wardpanel.llm.common import table
 from wardpanel.llm.digest_index import DigestIndex, add_new
@@ -183,6 +183,31 @@ def op10(spark, sf):
     return add_new(table(spark, sf, "documents"), DigestIndex(spark))
 
 
+@query(
+    "op11_ranked_search",
+    r"""
+    WITH letters AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+    d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents, letters),
+    s AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+    m AS (SELECT r, doc_id, 50 + (50 * len(t) * s.n) // s.l AS m FROM d, s WHERE len(t) > 0),
+    o AS (SELECT r, unnest(t) AS term FROM d),
+    f AS (SELECT r, term, count(*) AS tf FROM o GROUP BY r, term),
+    df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+    i AS (SELECT row_number() OVER () AS q, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+    a AS (SELECT DISTINCT q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i, letters),
+    w AS (SELECT a.q, a.item_id, a.term, CAST(floor(1000 * ln((2 * s.n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM a JOIN df USING (term), s),
+    c AS (
+        SELECT w.q, w.item_id, m.r, m.doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * m.m))) AS BIGINT) AS score
+        FROM w JOIN f USING (term) JOIN m USING (r) GROUP BY w.q, w.item_id, m.r, m.doc_id
+    ),
+    k AS (SELECT q, item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
+    """,
+)
+def op11(spark, sf):
+    return lexical.search(lexical.build_index(table(spark, sf, "documents")), table(spark, sf, "benchmark"))
+
+
 @query("op12_language_id")
 def op12(spark, sf):
     """Learned from the rows whose checksum leaves 1 to 4 when divided by 5; the prediction reads the text alone."""
