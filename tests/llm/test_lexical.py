@@ -68,14 +68,15 @@ def test_strata(spark, frame):
     seen = []
     for b in index.blocks.collect():
         held = [Counter() for _ in b.ids]
-        group = 0
-        starts = [0, *b.tf_end]
-        for term, end in zip(b.terms, b.term_end):
-            assert list(b.tfs[group:end]) == sorted(b.tfs[group:end], reverse=True)
-            for g in range(group, end):
-                for d in b.docs[starts[g] : starts[g + 1]]:
-                    held[d][bytes(term).decode()] = b.tfs[g]
-            group = end
+        groups, tfs, counts, docs_of = (np.frombuffer(b[c], dtype=d).tolist() for c, d in (("groups", "<i4"), ("tfs", "<i4"), ("counts", "<u2"), ("docs", "<u2")))
+        group = post = 0
+        for term, size in zip(bytes(b.terms).split(), groups):
+            assert tfs[group : group + size] == sorted(set(tfs[group : group + size]), reverse=True)
+            for g in range(group, group + size):
+                for d in docs_of[post : post + counts[g]]:
+                    held[d][term.decode()] = tfs[g]
+                post += counts[g]
+            group += size
         assert all(50 + 50 * c.total() * index.documents // index.length == b.m for c in held)
         seen += [(i, c.total(), tuple(sorted(c.items()))) for i, c in zip(b.ids, held) if i >= 0]
     assert sorted(seen) == counted

@@ -19,16 +19,21 @@ from wardpanel.llm.common import id_back, id_key, row_texts, stage
 
 #: Terms of UTF-8 bytes, after A-Z are lower-cased: every byte beyond ASCII belongs to one.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Most documents and (term, document) postings in one block of a stratum; a longer document is a block of its own.
-BLOCK_DOCS, BLOCK_POSTINGS = 4096, 1 << 20
+#: Most documents (numbered by 16 bits) and (term, document) postings in one block of a stratum; a longer document is a block of its own.
+BLOCK_DOCS, BLOCK_POSTINGS = 4096, 1 << 19
+#: Bytes of terms aimed at in a part of a stratum, the unit that is dealt out to tasks.
+PART_BYTES = 4 << 20
 #: Most (item, term) pairs that are searched for at once; they go to all tasks.
 ITEM_TERMS = 200_000
 #: Items scored together in a block: the accumulator holds so many rows of at most `BLOCK_DOCS` scores.
 ITEM_ROWS = 256
+#: Shorter postings are added to all items at once, longer ones item by item.
+FEW_POSTINGS = 64
 #: Strata that an item visits first, to learn how high its 50th document scores at least.
 FIRST_STRATA = 4
-DOC = "id bigint, n bigint, salt bigint, terms array<binary>, tfs array<int>"
-BLOCK = "m bigint, ids array<bigint>, terms array<binary>, term_end array<int>, tfs array<int>, tf_end array<int>, docs array<int>"
+DOC = "id bigint, n bigint, salt bigint, size bigint, terms binary, tfs binary"
+#: A block as packed little-endian numbers: terms joined by spaces, (term, tf) groups of each term, the tf and the documents of each group.
+BLOCK = "m bigint, ids array<bigint>, terms binary, groups binary, tfs binary, counts binary, docs binary"
 
 
 def terms_of(text: bytes) -> Counter:
@@ -50,7 +55,7 @@ class LexicalIndex:
 
 
 def document_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document that has a term: the distinct terms and how often each occurs; `salt` spreads rows that are alike."""
+    """One row per document that has a term: its distinct terms, joined, and how often each occurs; `salt` spreads rows that are alike."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() * 7919
@@ -60,64 +65,60 @@ def document_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 found = terms_of(text)
                 if found:
                     row += 1
-                    out.append((ids[i].as_py(), found.total(), row % 65_521, list(found), list(found.values())))
-                    held += len(found)
-                if held > 200_000:
+                    joined = b" ".join(found)
+                    out.append((ids[i].as_py(), found.total(), row % 65_521, len(joined), joined, np.fromiter(found.values(), dtype="<i4", count=len(found)).tobytes()))
+                    held += len(joined)
+                if held > 1 << 20:
                     yield packed(out)
                     out, held = [], 0
             if out:
                 yield packed(out)
 
     def packed(out: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["id", "n", "salt", "terms", "tfs"])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["id", "n", "salt", "size", "terms", "tfs"])
 
     return docs.select(id_key(docs[id_col]).alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(rows, DOC)
 
 
-def block_row(m: int, ids: np.ndarray, terms: pa.Array, owner: np.ndarray, tfs: np.ndarray) -> tuple:
+def block_row(m: int, docs: list[tuple[int, bytes, bytes]]) -> tuple:
     """Postings of one block: of each term the occurrence counts downwards, of each of these the documents."""
-    coded = terms.dictionary_encode()
-    words, term = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    most = int(tfs.max())
-    order = np.argsort(term * (most + 1) + most - tfs, kind="stable")
-    term, tf, docs = term[order], tfs[order], owner[order]
-    fresh = np.concatenate([[True], (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])])
-    group = np.flatnonzero(fresh)
-    group_term = term[group]
-    term_end = np.searchsorted(group_term, np.arange(len(words)), side="right")
-    tf_end = np.concatenate([group[1:], [len(term)]])
-    return m, ids, words, term_end, tf[group], tf_end, docs
+    number: dict[bytes, int] = {}
+    lists = [terms.split() for _, terms, _ in docs]
+    sizes = [len(x) for x in lists]
+    term = np.fromiter((number.setdefault(t, len(number)) for x in lists for t in x), dtype=np.int64, count=sum(sizes))
+    tf = np.frombuffer(b"".join(t for _, _, t in docs), dtype="<i4").astype(np.int64)
+    owner = np.repeat(np.arange(len(docs)), sizes)
+    most = int(tf.max())
+    order = np.argsort(term * (most + 1) + most - tf, kind="stable")
+    term, tf, owner = term[order], tf[order], owner[order]
+    group = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])]))
+    counts = np.diff(np.concatenate([group, [len(term)]]))
+    groups = np.bincount(term[group], minlength=len(number))
+    return m, [i for i, _, _ in docs], b" ".join(number), groups.astype("<i4").tobytes(), tf[group].astype("<i4").tobytes(), counts.astype("<u2").tobytes(), owner.astype("<u2").tobytes()
 
 
 def block_rows(ordered: DataFrame) -> DataFrame:
     """Blocks from documents in the order of m: a block never spans two strata, and a stratum may have many."""
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), *[pa.list_(pa.int32())] * 4]
-    names = ["m", "ids", "terms", "term_end", "tfs", "tf_end", "docs"]
+    types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+    names = ["m", "ids", "terms", "groups", "tfs", "counts", "docs"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, postings, m = [], 0, 0, None
+        held, postings, m = [], 0, None
 
         def settle() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            terms, tfs = table.column("terms").combine_chunks(), table.column("tfs").combine_chunks()
-            counts = np.diff(terms.offsets.to_numpy())
-            row = block_row(m, table.column("id").to_numpy(), terms.flatten(), np.repeat(np.arange(len(counts)), counts), tfs.flatten().to_numpy().astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([v.to_pylist() if isinstance(v, pa.Array) else v], type=t) for v, t in zip(row, types)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(block_row(m, held), types)], names=names)
 
         for batch in batches:
-            strata, sizes = batch.column("m").to_numpy(), np.diff(batch.column("terms").offsets.to_numpy())
-            first = 0
-            for i in range(batch.num_rows):
-                if strata[i] != m or docs >= BLOCK_DOCS or postings + sizes[i] > BLOCK_POSTINGS:
-                    if i > first:
-                        held.append(batch.slice(first, i - first))
-                    if held:
-                        yield settle()
-                    held, docs, postings, m, first = [], 0, 0, int(strata[i]), i
-                docs, postings = docs + 1, postings + int(sizes[i])
-            if batch.num_rows > first:
-                held.append(batch.slice(first))
+            strata, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, stratum in enumerate(strata):
+                tfs = batch.column(3)[i].as_py()
+                if held and (stratum != m or len(held) >= BLOCK_DOCS or postings + len(tfs) // 4 > BLOCK_POSTINGS):
+                    yield settle()
+                    held, postings = [], 0
+                m = stratum
+                held.append((ids[i], batch.column(2)[i].as_py(), tfs))
+                postings += len(tfs) // 4
         if held:
             yield settle()
 
@@ -127,8 +128,8 @@ def block_rows(ordered: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex | None:
     """Index of all terms of all documents; None if no document has a term.
 
-    Rows are range-partitioned by m and a running number, so a stratum that holds a third of all documents
-    is many partitions, and each partition writes its blocks one after the other.
+    A stratum is cut into parts of about `PART_BYTES` bytes of terms by a running number, so one that holds a third of all documents, or
+    very long ones, is many parts.  Parts are dealt out by hash and sorted by stratum; each task writes its blocks one after the other.
     """
     counted = stage(document_terms(docs, id_col, text_col))
     total = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("l")).first()
@@ -136,7 +137,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return None
     documents, length = int(total["n"]), int(total["l"])
     strata = counted.withColumn("m", F.expr(f"50 + (50 * n * {documents}L) div {length}L"))
-    ordered = strata.repartitionByRange("m", "salt").sortWithinPartitions("m", "id")
+    parts = strata.groupBy("m").agg(F.ceil(F.sum("size") / PART_BYTES).alias("parts"))
+    dealt = strata.join(parts, "m").withColumn("part", F.pmod("salt", "parts"))
+    ordered = dealt.repartition("m", "part").sortWithinPartitions("m", "part")
     return LexicalIndex(stage(block_rows(ordered)), documents, length)
 
 
@@ -178,14 +181,15 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[tupl
         yield ids, Asked(number, [np.array(x) for x in lists], len(ids))
 
 
-def read_block(batch: pa.RecordBatch, i: int, number: dict[bytes, int]) -> tuple[int, list[tuple[int, int, int]]]:
-    """m of a block, and of each asked term that it holds: its number and its first and end (term, tf) group."""
-    found, ends = [], batch.column("term_end")[i].values.to_numpy()
-    for at, term in enumerate(batch.column("terms")[i].values.to_pylist()):
-        asked = number.get(term)
-        if asked is not None:
-            found.append((asked, int(ends[at - 1]) if at else 0, int(ends[at])))
-    return batch.column("m")[i].as_py(), found
+def read_block(batch: pa.RecordBatch, i: int, number: dict[bytes, int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """m of a block; of the asked terms that it holds the number, and the first and end (term, tf) group; the tf of all groups, and the first posting of each."""
+    asked = [number.get(t, -1) for t in batch.column("terms")[i].as_py().split()]
+    asked = np.array(asked, dtype=np.int64)
+    end = np.cumsum(np.frombuffer(batch.column("groups")[i].as_py(), dtype="<i4"))
+    mine = np.flatnonzero(asked >= 0)
+    first = np.where(mine > 0, end[mine - 1], 0)
+    starts = np.concatenate([[0], np.cumsum(np.frombuffer(batch.column("counts")[i].as_py(), dtype="<u2"), dtype=np.int64)])
+    return batch.column("m")[i].as_py(), asked[mine], np.stack([first, end[mine]]), np.frombuffer(batch.column("tfs")[i].as_py(), dtype="<i4").astype(np.int64), starts
 
 
 def term_statistics(index: LexicalIndex, asked: Asked) -> DataFrame:
@@ -195,14 +199,10 @@ def term_statistics(index: LexicalIndex, asked: Asked) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                m, found = read_block(batch, i, shared.value)
-                if found:
-                    tf_end, tfs = batch.column("tf_end")[i].values.to_numpy(), batch.column("tfs")[i].values.to_numpy()
-                    term, first, end = np.array(found, dtype=np.int64).T
-                    starts = np.concatenate([[0], tf_end])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), m)), pa.array(term), pa.array(starts[end] - starts[first], type=pa.int64()), pa.array(tfs[first], type=pa.int64())], names=["m", "term", "df", "tf"])
+                m, term, (first, end), tfs, starts = read_block(batch, i, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), m)), pa.array(term), pa.array(starts[end] - starts[first]), pa.array(tfs[first])], names=["m", "term", "df", "tf"])
 
-    found = index.blocks.select("m", "terms", "term_end", "tfs", "tf_end").mapInArrow(rows, "m bigint, term bigint, df bigint, tf bigint")
+    found = index.blocks.select("m", "terms", "groups", "tfs", "counts").mapInArrow(rows, "m bigint, term bigint, df bigint, tf bigint")
     return stage(found.groupBy("m", "term").agg(F.sum("df").alias("df"), F.max("tf").alias("tf")))
 
 
@@ -255,32 +255,34 @@ class Best:
 def score_block(batch: pa.RecordBatch, i: int, allowed: Callable[[int], np.ndarray], asked: Asked, best: Best) -> None:
     """Add the documents of a block that can still be among the best to `best`; `allowed` marks the items that visit a stratum.
 
-    Impacts are computed once per (term, tf) group.  Items whose largest possible score in this block is too low are passed over.
+    Impacts are computed once per (term, tf) group.  Bounds are sums of whole numbers below 2^53, as an item has at most `ITEM_TERMS` terms.  Items whose largest possible score in this block is too low are passed over.
     """
-    m, found = read_block(batch, i, asked.number)
-    if not found:
+    m, terms, (first, end), tfs, starts = read_block(batch, i, asked.number)
+    if not len(terms):
         return
-    ids = batch.column("ids")[i].values.to_numpy()
-    tf_end, tfs, docs = (batch.column(c)[i].values.to_numpy() for c in ("tf_end", "tfs", "docs"))
-    starts = np.concatenate([[0], tf_end])
-    gains = impact(tfs.astype(np.int64), m)
-    bound = np.zeros(asked.count, dtype=np.int64)
-    for term, first, _ in found:
-        bound[asked.items[term]] += asked.weight[term] * gains[first]
+    gains = impact(tfs, m)
+    lists = [asked.items[t] for t in terms.tolist()]
+    bound = np.bincount(np.concatenate(lists), np.repeat(asked.weight[terms] * gains[first], [len(x) for x in lists]), asked.count)
     mine = np.flatnonzero(allowed(m) & (bound >= best.least))
+    if not len(mine):
+        return
+    ids, docs = batch.column("ids")[i].values.to_numpy(), np.frombuffer(batch.column("docs")[i].as_py(), dtype="<u2").astype(np.int64)
     for a in range(0, len(mine), ITEM_ROWS):
         part = mine[a : a + ITEM_ROWS]
         slot = np.full(asked.count, -1, dtype=np.int64)
         slot[part] = np.arange(len(part))
         scores = np.zeros((len(part), len(ids)), dtype=np.int64)
-        for term, first, end in found:
-            rows = slot[asked.items[term]]
+        for weight, items, f, e in zip(asked.weight[terms].tolist(), lists, first.tolist(), end.tolist()):
+            rows = slot[items]
             rows = rows[rows >= 0]
-            if len(rows) and asked.weight[term]:
-                held = docs[starts[first] : starts[end]]
-                gain = np.repeat(gains[first:end] * asked.weight[term], np.diff(starts[first : end + 1]))
-                for r in rows.tolist():
-                    scores[r, held] += gain
+            if len(rows) and weight:
+                held = docs[starts[f] : starts[e]]
+                gain = np.repeat(gains[f:e] * weight, starts[f + 1 : e + 1] - starts[f:e])
+                if len(held) < FEW_POSTINGS:
+                    scores[rows[:, None], held] += gain
+                else:
+                    for r in rows.tolist():
+                        scores[r, held] += gain
         row, doc = np.nonzero(scores >= best.least[part][:, None])
         if len(row):
             best.add(part[row], scores[row, doc], ids[doc])
