@@ -137,7 +137,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return None
     documents, length = int(total["n"]), int(total["l"])
     strata = counted.withColumn("m", F.expr(f"50 + (50 * n * {documents}L) div {length}L"))
-    parts = strata.groupBy("m").agg(F.ceil(F.sum("size") / PART_BYTES).alias("parts"))
+    parts = stage(strata.groupBy("m").agg(F.ceil(F.sum("size") / PART_BYTES).alias("parts")))  # Spark broadcasts it if its files are small
     dealt = strata.join(parts, "m").withColumn("part", F.pmod("salt", "parts"))
     ordered = dealt.repartition("m", "part").sortWithinPartitions("m", "part")
     return LexicalIndex(stage(block_rows(ordered)), documents, length)
