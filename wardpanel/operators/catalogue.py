@@ -33,11 +33,6 @@ def _line(w: int) -> dict[str, Factor]:
     }
 
 
-def _since_start(kind, x, w: int) -> Factor:
-    """1-based position of the first extreme, counted from the oldest row of the window."""
-    return p.elementwise("from_start", lambda a, best: p.F.array_position(a, best).cast("double"), p._values(x, w), kind(x, w))
-
-
 def candle() -> dict[str, Factor]:
     o, h, l, c = (p.column(n) for n in ("open", "high", "low", "close"))
     span = h - l + EPS
@@ -65,7 +60,7 @@ def _as_number(f: Factor) -> Factor:
 def window_family(w: int) -> dict[str, Factor]:
     c, v = p.column("close"), p.column("volume")
     prev, line = p.delay("close", 1), _line(w)
-    top, low = _since_start(p.ts_max, "high", w), _since_start(p.ts_min, "low", w)
+    top, low = p.first_max("high", w), p.first_min("low", w)
     rising, falling = p.ts_mean(_as_number(p.gt("close", prev)), w), p.ts_mean(_as_number(p.lt("close", prev)), w)
     weight = p.absolute(c / prev - 1) * v
     out = {

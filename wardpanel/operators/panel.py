@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardpanel.functions.numeric import finite_or_null, ratio as safe_ratio
-from wardpanel.operators.order import drop_halo, largest_group, neighbour, running_last, split_series, tie_ranks
+from wardpanel.operators.order import drop_halo, group_rows, largest_group, neighbour, running_last, split_series, tie_ranks
+from wardpanel.operators.rolling import Ask, add_statistics
 
 INSTRUMENT, TIME = "instrument", "datetime"
 SERIES = (INSTRUMENT, "__chunk")
@@ -25,7 +26,7 @@ SERIES = (INSTRUMENT, "__chunk")
 class Step:
     name: str
     level: int
-    kind: str  # column, rank, or the grouping column of an aggregate
+    kind: str  # column, ordered, fill, rank, or the grouping column of an aggregate
     make: Callable
 
 
@@ -139,21 +140,69 @@ def _grouped(name: str, fn: Callable[[Column], Column], x, by: str = TIME, param
     return Factor(key, lambda: F.col(col), f.level + 1, f.steps + (step,), f.back, f.ahead, (f,), True)
 
 
+def _statistic(name: str, kind: str, x, p: int | None, params=(), param: float | None = None, sizes=None, back: float | None = None) -> Factor:
+    """An order statistic of a window, computed with all others of its level in one pass over the sorted series."""
+    fs = [_plain(x)] if sizes is None else [_plain(x), _plain(sizes)]
+    key = _key(name, fs, params)
+    col, level = "__o_" + hashlib.md5(key.encode()).hexdigest()[:16], max(f.level for f in fs) + 1
+    step = Step(col, level, "ordered", lambda: Ask(kind, tuple(f.col() for f in fs), tuple(f.key for f in fs), p, param))
+    far = max(f.back for f in fs) + (p - 1 if back is None else back)
+    return Factor(key, lambda: F.col(col), level, _merge(fs) + (step,), far, max(f.ahead for f in fs), tuple(fs), True)
+
+
+def last_known(x) -> Factor:
+    """The last value that is not null, up to and including the row, however far back it lies."""
+    f = _plain(x)
+    key = _key("last_known", [f])
+    col = "__l_" + hashlib.md5(key.encode()).hexdigest()[:16]
+    step = Step(col, f.level + 1, "fill", lambda: (f.col(), col))
+    return Factor(key, lambda: F.col(col), f.level + 1, f.steps + (step,), f.back, f.ahead, (f,), True)
+
+
+def _fill(df: DataFrame, value: Column, name: str, whole: bool) -> DataFrame:
+    """Add `name`: the last non-null `value` of the series.
+
+    In a series cut into chunks a chunk gets what the chunks before it ended with; rows that a chunk only borrows take the value of
+    their own chunk.
+    """
+    upto = _ordered().rowsBetween(Window.unboundedPreceding, 0)
+    if whole:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(upto))
+    own = ~F.col("__halo")
+    ends = df.where(own & value.isNotNull()).groupBy(*SERIES).agg(F.max_by(value, F.col(TIME)).alias("__end"))
+    chunks = df.where(own).select(*SERIES).distinct().join(ends, [*SERIES], "left")
+    earlier = Window.partitionBy(INSTRUMENT).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select(*SERIES, F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+    here = df.where(own).withColumn(name, F.last(value, ignorenulls=True).over(upto)).join(carried, [*SERIES], "left")
+    here = here.withColumn(name, F.coalesce(name, "__carried")).drop("__carried")
+    borrowed = df.where(~own).join(here.select(INSTRUMENT, TIME, name), [INSTRUMENT, TIME], "left")
+    return here.unionByName(borrowed)
+
+
 def evaluate(panel: DataFrame, factors: Mapping[str, Factor], keep: Sequence[str] = (INSTRUMENT, TIME), max_rows: int | None = None) -> DataFrame:
     """Panel keys plus one column per factor.
 
-    A daily series is bounded by the calendar.  For finer clocks pass `max_rows`: longer series are
-    cut into overlapping chunks first.
+    A series with more rows than `max_rows` (the setting `wardpanel.group.rows` when not given) is cut into overlapping chunks
+    first, so an instrument may hold any share of the rows; one pass counts the rows.  Factors that look back without a bound of
+    their own, such as bands whose window is a factor, need series within that size.
     """
     need = max((f.back for f in factors.values()), default=0), max((f.ahead for f in factors.values()), default=0)
-    if max_rows is None:
+    steps = _merge(list(factors.values()))
+    limit = max_rows or group_rows(panel)
+    apart = any(s.kind not in ("rank", TIME, INSTRUMENT) for s in steps)
+    whole = not apart or largest_group(panel, [INSTRUMENT]) <= limit
+    if whole:
         df = panel.withColumns({"__chunk": F.lit(0).cast("bigint"), "__halo": F.lit(False)})
+    elif math.isinf(need[0]):
+        raise ValueError(f"a series has over {limit} rows, and a factor looks back without a bound; give it max_window")
     else:
-        df = split_series(panel, [INSTRUMENT], [TIME], need[0], need[1], max_rows)
-    steps = _merge(list(factors.values()))
+        df = split_series(panel, [INSTRUMENT], [TIME], need[0], need[1], limit)
     largest = largest_group(panel, [TIME]) if any(s.kind == "rank" for s in steps) else 0
     for level in sorted({s.level for s in steps}):
         here = [s for s in steps if s.level == level]
+        asks = {s.name: s.make() for s in here if s.kind == "ordered"}
+        if asks:
+            df = add_statistics(df, asks, SERIES, TIME)
         for by in (TIME, INSTRUMENT):
             aggregates = [s.make() for s in here if s.kind == by]
             if aggregates:
@@ -161,6 +210,8 @@ def evaluate(panel: DataFrame, factors: Mapping[str, Factor], keep: Sequence[str
         base = df
         for s in (s for s in here if s.kind == "rank"):
             df = s.make(base, df, largest)
+        for s in (s for s in here if s.kind == "fill"):
+            df = _fill(df, *s.make(), whole)
         cols = [s for s in here if s.kind == "column"]
         if cols:
             df = df.select("*", *[s.make().alias(s.name) for s in cols])
@@ -234,28 +285,17 @@ def _values(x, p: int) -> Factor:
     return staged(windowed("values", lambda c: F.collect_list(c).over(_rows(p)), x, params=(p,), back=p - 1))
 
 
-def _sorted_values(x, p: int) -> Factor:
-    return staged(elementwise("sorted", F.sort_array, _values(x, p)))
-
-
 def _full(x, p: int) -> Factor:
     """True when the window holds no null."""
     return windowed("full", lambda c: F.count(c).over(_rows(p)) == F.count(F.lit(1)).over(_rows(p)), x, params=(p,), back=p - 1)
 
 
-def _quantile_of(a: Column, q: float) -> Column:
-    spot = (F.size(a) - 1) * F.lit(float(q))
-    low = F.floor(spot).cast("int")
-    lo, hi = F.get(a, low), F.get(a, F.ceil(spot).cast("int"))
-    return lo + (hi - lo) * (spot - low)
-
-
 def ts_quantile(x, p: int = 5, q: float = 0.5) -> Factor:
     if isinstance(p, float) and 0 < p < 1 and q > 1:
         p, q = int(q), p
     if not 0 <= q <= 1 or p < 1:
         raise ValueError("quantile needs q in [0, 1] and p >= 1")
-    return elementwise("ts_quantile", lambda a: _quantile_of(a, q), _sorted_values(x, int(p)), params=(q,))
+    return _statistic("ts_quantile", "quantile", x, int(p), (int(p), q), float(q))
 
 
 def ts_median(x, p: int = 5) -> Factor:
@@ -269,27 +309,31 @@ def percentile(x, q: float, p: int | None = None) -> Factor:
 
 
 def ts_rank(x, p: int = 5) -> Factor:
-    def rank(c, a):
-        less = F.size(F.filter(a, lambda v: v < c))
-        equal = F.size(F.filter(a, lambda v: v == c))
-        return F.when(c.isNotNull(), (less + (equal + 1) / 2) / F.size(a))
-
-    return elementwise("ts_rank", rank, _plain(x), _values(x, p))
+    return _statistic("ts_rank", "rank", x, int(p), (int(p),))
 
 
-def _arg(name: str, best, offset: int):
+def _arg(name: str, kind: str, offset: int):
     def build(x, p: int = 5) -> Factor:
-        pick = lambda a, ok: F.when(ok, (F.size(a) - F.array_position(a, best(a)) + offset).cast("double"))
-        return elementwise(name, pick, _values(x, p), _full(x, p))
+        since = _statistic(kind, kind, x, int(p), (int(p),))
+        return elementwise(name, lambda c: c + offset, since) if offset else since
 
     build.__name__ = name
     return build
 
 
-ts_argmax = _arg("ts_argmax", F.array_max, 0)
-ts_argmin = _arg("ts_argmin", F.array_min, 0)
-highday = _arg("highday", F.array_max, 1)
-lowday = _arg("lowday", F.array_min, 1)
+ts_argmax = _arg("ts_argmax", "argmax", 0)
+ts_argmin = _arg("ts_argmin", "argmin", 0)
+highday = _arg("highday", "argmax", 1)
+lowday = _arg("lowday", "argmin", 1)
+
+
+def first_max(x, p: int = 5) -> Factor:
+    """1-based place of the first maximum among the values of the window."""
+    return _statistic("first_max", "firstmax", x, int(p), (int(p),))
+
+
+def first_min(x, p: int = 5) -> Factor:
+    return _statistic("first_min", "firstmin", x, int(p), (int(p),))
 
 
 def position(p: int | None = None) -> Factor:
@@ -345,11 +389,7 @@ def ts_zscore(x, p: int = 5) -> Factor:
 
 
 def ts_mad(x, p: int = 5) -> Factor:
-    def mad(a, ok):
-        mid = _quantile_of(a, 0.5)
-        return F.when(ok, _quantile_of(F.sort_array(F.transform(a, lambda v: F.abs(v - mid))), 0.5))
-
-    return elementwise("ts_mad", mad, _sorted_values(x, p), _full(x, p))
+    return _statistic("ts_mad", "mad", x, int(p), (int(p),))
 
 
 def ts_pctchange(x, p: int = 1) -> Factor:
@@ -384,7 +424,7 @@ def ewm(x, alpha: float) -> Factor:
     den0 = staged(windowed("ewm_d0", lambda v, i, b: last(v, i), den, idx, blk, params=(alpha,), back=2 * block))
     held = lambda v, a, b, c, d: F.when(v.isNotNull(), F.try_divide(a + b, c + d))
     mean = elementwise("ewm_held", held, x, num, num0, den, den0, params=(alpha,))
-    return windowed("ewm", lambda m: F.last(m, ignorenulls=True).over(_ordered().rowsBetween(Window.unboundedPreceding, 0)), mean, params=(alpha,))
+    return last_known(mean)
 
 
 def ema(x, p: int) -> Factor:
@@ -472,35 +512,33 @@ def rsi(x, window: int = 14) -> Factor:
     return elementwise("rsi", strength, ema(up, window), ema(down, window))
 
 
-def _band(x, w, max_window: int) -> tuple[Factor, Factor]:
-    """Mean and deviation over `w` rows, a number or a factor; a factor above `max_window` is an error, not a shorter window."""
+def _band(x, w, max_window: int | None) -> tuple[Factor, Factor]:
+    """Mean and deviation over the last `w` rows, a number or a factor (at least 1); running sums make the cost per row the same for any window.
+
+    A series that has to be cut needs `max_window`, which a factor must not exceed (an error, not a shorter window).
+    """
     if not isinstance(w, (Factor, str)):
         return ts_mean(x, int(w)), ts_std(x, int(w))
-    fits = lambda n: F.when(n.cast("int") > max_window, F.raise_error(F.lit(f"a window is longer than max_window ({max_window})"))).otherwise(n)
-    w = elementwise("fits", fits, lift(w), params=(max_window,))
-    rows = windowed("rows", lambda c: F.collect_list(F.struct(c.alias("v"))).over(_rows(max_window)), x, params=(max_window,), back=max_window - 1)
-
-    def tail(a, n):
-        k = F.least(F.greatest(n.cast("int"), F.lit(1)), F.size(a))
-        return F.filter(F.transform(F.slice(a, -k, k), lambda s: s["v"]), lambda v: v.isNotNull())
-
-    part = staged(elementwise("tail", tail, staged(rows), lift(w)))
-    add_up = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-    mean = staged(elementwise("bandmean", lambda a: F.when(F.size(a) > 0, F.try_divide(add_up(a), F.size(a))), part))
-    spread = lambda a, m: F.when(F.size(a) > 1, F.sqrt(F.try_divide(add_up(F.transform(a, lambda v: (v - m) * (v - m))), F.size(a) - 1)))
-    return mean, elementwise("bandstd", spread, part, mean)
+    size = lift(w)
+    if max_window is not None:
+        fits = lambda n: F.when(n.cast("int") > max_window, F.raise_error(F.lit(f"a window is longer than max_window ({max_window})"))).otherwise(n)
+        size = elementwise("fits", fits, size, params=(max_window,))
+    size = elementwise("rows", lambda n: F.coalesce(F.greatest(n.cast("bigint"), F.lit(1).cast("bigint")), F.lit(1).cast("bigint")).cast("double"), size)
+    back = math.inf if max_window is None else max_window - 1
+    part = lambda kind: _statistic(f"band_{kind}", kind, x, None, (), None, size, back)
+    return part("mean"), part("spread")
 
 
-def bb_middle(x, w, max_window: int = 60) -> Factor:
+def bb_middle(x, w, max_window: int | None = None) -> Factor:
     return _band(x, w, max_window)[0]
 
 
-def bb_upper(x, w, max_window: int = 60) -> Factor:
+def bb_upper(x, w, max_window: int | None = None) -> Factor:
     mean, std = _band(x, w, max_window)
     return mean + std
 
 
-def bb_lower(x, w, max_window: int = 60) -> Factor:
+def bb_lower(x, w, max_window: int | None = None) -> Factor:
     mean, std = _band(x, w, max_window)
     return mean - std
 

@@ -162,6 +162,14 @@ factor_query("panel_bollinger",
                       "vup": p.bb_upper("thin", p.elementwise("w", lambda c: F.pmod(c, F.lit(13.0)) + 1, "volume"), 20)},
              {"mid": f"avg(close) OVER {W(20)}", "up": f"avg(close) OVER {W(20)} + stddev_samp(close) OVER {W(20)}", "low": f"avg(close) OVER {W(20)} - stddev_samp(close) OVER {W(20)}",
               "vmid": "list_avg(tail)", "vup": "list_avg(tail) + CASE WHEN len(tail) > 1 THEN list_stddev_samp(tail) END"}, BANDS, "cut", 5)
+LONG = f", held AS (SELECT *, list(thin) OVER {W(250)} AS raw, list_filter(list(thin) OVER {ALL}, lambda v: v IS NOT NULL) AS past, CAST(volume * 3 AS INTEGER) + 1 AS w, list(thin) OVER {ALL} AS whole FROM panel), " \
+    "wide AS (SELECT *, list_filter(raw, lambda v: v IS NOT NULL) AS a, list_filter(whole[greatest(len(whole) - w + 1, 1):len(whole)], lambda v: v IS NOT NULL) AS own FROM held)"
+factor_query("panel_long_windows",
+             lambda: {"mid": p.ts_median("thin", 250), "q9": p.ts_quantile("thin", 250, 0.9), "place": p.ts_rank("thin", 250),
+                      "own": p.bb_middle("thin", p.elementwise("w3", lambda c: c * 3 + 1, "volume")), "known": p.last_known("thin")},
+             {"mid": f"quantile_cont(thin, 0.5) OVER {W(250)}", "q9": f"quantile_cont(thin, 0.9) OVER {W(250)}",
+              "place": "CASE WHEN thin IS NOT NULL THEN (len(list_filter(a, lambda v: v < thin)) + (len(list_filter(a, lambda v: v = thin)) + 1) / 2.0) / len(a) END",
+              "own": "list_avg(own)", "known": "past[len(past)]"}, LONG, "wide")
 factor_query("panel_next_label", lambda: {"label": p.next_return_label()}, {"label": f"lead(close, 2) OVER {O} / lead(close, 1) OVER {O} - 1"})
 
 D = "(PARTITION BY datetime)"
