@@ -35,11 +35,12 @@ PLAIN = {
     "firstmax": lambda w, v: int(np.argmax(w)) + 1,
     "firstmin": lambda w, v: int(np.argmin(w)) + 1,
     "mean": lambda w, v: np.mean(w),
+    "sum": lambda w, v: np.sum(w),
     "spread": lambda w, v: np.std(w, ddof=1) if len(w) > 1 else None,
 }
 
 
-@pytest.mark.parametrize("kind", Ask.KINDS)
+@pytest.mark.parametrize("kind", list(PLAIN))
 @pytest.mark.parametrize("window", [1, 2, 7, 500, None])
 def test_statistics_of_several_series(kind, window):
     rng = random.Random(f"{kind}{window}")
@@ -61,6 +62,34 @@ def test_statistics_of_several_series(kind, window):
             assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_lines_and_correlations():
+    rng = np.random.default_rng(4)
+    series = np.repeat([0, 1, 2], [60, 1, 30])
+    x, y = (np.where(rng.random(91) < 0.2, np.nan, np.round(rng.normal(1e6, 2, 91), 1)) for _ in range(2))
+    y[70:80] = 5.0
+    column = lambda v: pa.array(v, from_pandas=True)
+    rows, known = Series(series), {}
+    got = {k: answer(Ask(k, (), ("y",), 9), Indexed.of(column(y)), None, rows, known) for k in ("slope", "r2", "rest")}
+    got["corr"] = answer(Ask("corr", (), ("x", "y"), 9), Indexed.of(column(x), column(y)), None, rows, known)
+    for i in range(91):
+        a = max(np.flatnonzero(series == series[i])[0], i - 8)
+        t, v, u = np.arange(a, i + 1), y[a : i + 1], x[a : i + 1]
+        ok = ~np.isnan(v)
+        assert got["slope"][1][i] == got["r2"][1][i] == (ok.sum() > 1)
+        assert got["rest"][1][i] == (ok.sum() > 1 and ok[-1])
+        if ok.sum() > 1:
+            slope, start = np.polyfit(t[ok] - i, v[ok] - 1e6, 1)
+            left = ((v[ok] - 1e6 - start - slope * (t[ok] - i)) ** 2).sum()
+            total = ((v[ok] - v[ok].mean()) ** 2).sum()
+            assert math.isclose(got["slope"][0][i], slope, rel_tol=1e-7, abs_tol=1e-9) and math.isclose(got["r2"][0][i], 1 - left / total if total else 1, abs_tol=1e-7)
+            assert not ok[-1] or math.isclose(got["rest"][0][i], v[-1] - 1e6 - start, abs_tol=1e-7)
+        both = ok & ~np.isnan(u)
+        flat = both.sum() < 2 or v[both].std() == 0 or u[both].std() == 0
+        assert got["corr"][1][i] == (not flat)
+        if not flat:
+            assert math.isclose(got["corr"][0][i], np.corrcoef(u[both] - 1e6, v[both] - 1e6)[0, 1], abs_tol=1e-7)
+
+
 def test_infinite_values_stay_in_their_windows():
     column = Indexed.of(pa.array([1.0, math.inf, 3.0, 5.0, math.nan, 2.0, 4.0]))
     got, _ = answer(Ask("mean", (), ("x",), 2), column, None, Series(np.zeros(7, dtype=np.int64)))
@@ -69,7 +98,8 @@ def test_infinite_values_stay_in_their_windows():
 
 def test_no_values():
     for kind in Ask.KINDS:
-        column = Indexed.of(pa.array([None, None], type=pa.float64()))
+        none = pa.array([None, None], type=pa.float64())
+        column = Indexed.of(none, none) if kind in Ask.PAIRS else Indexed.of(none)
         assert not answer(Ask(kind, (), ("x",), 3, 0.5), column, None, Series(np.array([1, 1])))[1].any()
     with pytest.raises(ValueError):
         Ask("mode", (), ("x",), 3)

@@ -14,25 +14,6 @@ def _range_position(w: int) -> Factor:
     return (p.column("close") - low) / (p.ts_max("high", w) - low + EPS)
 
 
-def _line(w: int) -> dict[str, Factor]:
-    """Slope, R^2 and last residual of close on the row position; short windows use the rows there are."""
-    fit = p.staged(p.windowed(
-        "trend",
-        lambda y, x: p.F.struct(
-            p.F.regr_slope(y, x).over(p._rows(w)).alias("slope"),
-            p.F.regr_intercept(y, x).over(p._rows(w)).alias("start"),
-            p.F.regr_r2(y, x).over(p._rows(w)).alias("r2"),
-        ),
-        "close", p.position(), params=(w,), back=w - 1,
-    ))
-    rest = p.elementwise("trend_rest", lambda y, x, f: y - (f["slope"] * x + f["start"]), "close", p.position(), fit)
-    return {
-        "slope": p.elementwise("trend_slope", lambda f: f["slope"], fit),
-        "r2": p.elementwise("trend_r2", lambda f: f["r2"], fit),
-        "rest": rest,
-    }
-
-
 def candle() -> dict[str, Factor]:
     o, h, l, c = (p.column(n) for n in ("open", "high", "low", "close"))
     span = h - l + EPS
@@ -59,7 +40,7 @@ def _as_number(f: Factor) -> Factor:
 
 def window_family(w: int) -> dict[str, Factor]:
     c, v = p.column("close"), p.column("volume")
-    prev, line = p.delay("close", 1), _line(w)
+    prev, line = p.delay("close", 1), p.trend("close", w)
     top, low = p.first_max("high", w), p.first_min("low", w)
     rising, falling = p.ts_mean(_as_number(p.gt("close", prev)), w), p.ts_mean(_as_number(p.lt("close", prev)), w)
     weight = p.absolute(c / prev - 1) * v

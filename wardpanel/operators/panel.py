@@ -140,9 +140,12 @@ def _grouped(name: str, fn: Callable[[Column], Column], x, by: str = TIME, param
     return Factor(key, lambda: F.col(col), f.level + 1, f.steps + (step,), f.back, f.ahead, (f,), True)
 
 
-def _statistic(name: str, kind: str, x, p: int | None, params=(), param: float | None = None, sizes=None, back: float | None = None) -> Factor:
-    """An order statistic of a window, computed with all others of its level in one pass over the sorted series."""
-    fs = [_plain(x)] if sizes is None else [_plain(x), _plain(sizes)]
+def _statistic(name: str, kind: str, x, p: int | None, params=(), param: float | None = None, other=None, back: float | None = None) -> Factor:
+    """A statistic of a window, computed with all others of its level in one pass over the sorted series.
+
+    `other` is a second column, or with `p` none the window length of each row.
+    """
+    fs = [_plain(x)] if other is None else [_plain(x), _plain(other)]
     key = _key(name, fs, params)
     col, level = "__o_" + hashlib.md5(key.encode()).hexdigest()[:16], max(f.level for f in fs) + 1
     step = Step(col, level, "ordered", lambda: Ask(kind, tuple(f.col() for f in fs), tuple(f.key for f in fs), p, param))
@@ -244,19 +247,25 @@ def delta(x, p: int = 1) -> Factor:
     return windowed("delta", lambda c: c - F.lag(c, p).over(_ordered()), x, params=(p,), back=p)
 
 
-def _rolling(name: str, agg: Callable[[Column], Column], default: int):
+#: A frame of this many rows is added up by Spark for every row; longer windows go to the pass whose cost does not grow with them.
+FRAME_ROWS = 16
+
+
+def _rolling(name: str, agg: Callable[[Column], Column], default: int, kind: str | None = None):
     def build(x, p: int = default) -> Factor:
+        if kind and p > FRAME_ROWS:
+            return _statistic(name, kind, x, p, (p,))
         return windowed(name, lambda c: agg(c).over(_rows(p)), x, params=(p,), back=p - 1)
 
     build.__name__ = name
     return build
 
 
-ts_mean = _rolling("ts_mean", F.avg, 5)
-ts_sum = _rolling("ts_sum", F.sum, 5)
+ts_mean = _rolling("ts_mean", F.avg, 5, "mean")
+ts_sum = _rolling("ts_sum", F.sum, 5, "sum")
 ts_max = _rolling("ts_max", F.max, 5)
 ts_min = _rolling("ts_min", F.min, 5)
-ts_std = _rolling("ts_std", F.stddev_samp, 20)
+ts_std = _rolling("ts_std", F.stddev_samp, 20, "spread")
 sumac = _rolling("sumac", F.sum, 10)
 
 
@@ -327,6 +336,11 @@ highday = _arg("highday", "argmax", 1)
 lowday = _arg("lowday", "argmin", 1)
 
 
+def trend(x, p: int) -> dict[str, Factor]:
+    """Slope, R^2 and last residual of the line through the values of the window over their row numbers; short windows use the rows there are."""
+    return {k: _statistic(f"trend_{k}", k, x, int(p), (int(p),)) for k in ("slope", "r2", "rest")}
+
+
 def first_max(x, p: int = 5) -> Factor:
     """1-based place of the first maximum among the values of the window."""
     return _statistic("first_max", "firstmax", x, int(p), (int(p),))
@@ -362,7 +376,7 @@ def _rolling_corr(x: Column, y: Column, p: int) -> Column:
 def ts_corr(x, y, p: int = 5) -> Factor:
     other, p, seq = _pair(y, p)
     if not seq:
-        return windowed("ts_corr", lambda a, b: _rolling_corr(a, b, p), x, other, params=(p,), back=p - 1)
+        return _statistic("ts_corr", "corr", x, int(p), (int(p),), None, other, p - 1)
 
     def corr(a, b):
         ok = (F.count(a).over(_rows(p)) == F.count(b).over(_rows(p))) & (F.count(a).over(_rows(p)) >= 2)

@@ -32,7 +32,9 @@ class Ask:
     window: int | None
     param: float | None = None
 
-    KINDS = ("quantile", "rank", "mad", "argmax", "argmin", "firstmax", "firstmin", "mean", "spread")
+    KINDS = ("quantile", "rank", "mad", "argmax", "argmin", "firstmax", "firstmin", "mean", "sum", "spread", "corr", "slope", "r2", "rest")
+    #: Kinds whose second input is a column, not a window length.
+    PAIRS = ("corr",)
 
     def __post_init__(self):
         if self.kind not in self.KINDS:
@@ -135,31 +137,37 @@ def first_largest(codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.n
 
 
 def _merge(a: tuple, b: tuple) -> tuple:
-    """Count, mean and squared deviations of two stretches together; no large numbers are subtracted from each other."""
+    """Count, means and (mixed) squared deviations of two stretches together; no large numbers are subtracted from each other.
+
+    One column: (n, mean, squares); two: (n, mean, mean, squares, squares, products).
+    """
     n = a[0] + b[0]
     share = b[0] / np.maximum(n, 1)
-    gap = np.where((a[0] > 0) & (b[0] > 0), b[1] - a[1], 0)
-    mean = np.where(a[0] > 0, a[1] + gap * share, b[1])
-    return n, mean, a[2] + b[2] + gap * gap * a[0] * share
+    there = (a[0] > 0) & (b[0] > 0)
+    means = 1 if len(a) == 3 else 2
+    gaps = [np.where(there, b[i] - a[i], 0) for i in range(1, means + 1)]
+    moved = [np.where(a[0] > 0, a[i] + g * share, b[i]) for i, g in enumerate(gaps, 1)]
+    products = [(0, 0)] if means == 1 else [(0, 0), (1, 1), (0, 1)]
+    weight = a[0] * share
+    return n, *moved, *[a[means + 1 + i] + b[means + 1 + i] + gaps[g] * gaps[h] * weight for i, (g, h) in enumerate(products)]
 
 
-def window_moments(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Count, mean and sample deviation of stretches, put together from stretches of doubling length, one for each bit of the length."""
+def window_moments(columns: Sequence[np.ndarray], first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Moments of one or two columns over stretches, put together from stretches of doubling length, one for each bit of the length."""
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        none = np.zeros(len(first))
-        whole = (none, none, none)
-        block = (np.ones(len(values)), values, np.zeros(len(values)))
+        empty = 1 if len(columns) == 1 else 3
+        whole = tuple(np.zeros(len(first)) for _ in range(1 + len(columns) + empty))
+        block = (np.ones(len(columns[0])), *columns, *[np.zeros(len(columns[0]))] * empty)
         length, size = end - first, 1
         while size <= length.max(initial=0):
             own = np.flatnonzero(length & size)
             at = first[own] + (length[own] & (size - 1))
             joined = _merge(tuple(w[own] for w in whole), tuple(b[at] for b in block))
-            whole = tuple(w.copy() for w in whole)
             for w, v in zip(whole, joined):
                 w[own] = v
             block = _merge(tuple(b[:-size] for b in block), tuple(b[size:] for b in block)) if len(block[0]) > size else tuple(b[:0] for b in block)
             size *= 2
-        return length, whole[1], np.sqrt(whole[2] / (length - 1))
+        return whole
 
 
 class Series:
@@ -182,12 +190,16 @@ class Indexed:
     valid: np.ndarray
     before: np.ndarray
     values: np.ndarray
+    other: np.ndarray | None = None
     order: WindowOrder | None = None
 
     @classmethod
-    def of(cls, column: pa.Array) -> "Indexed":
-        valid = pc.is_valid(column).to_numpy(zero_copy_only=False)
-        return cls(valid, np.concatenate([[0], np.cumsum(valid)]), column.drop_null().to_numpy().astype(np.float64))
+    def of(cls, column: pa.Array, other: pa.Array | None = None) -> "Indexed":
+        """A column, or the rows where both of two columns have a value."""
+        valid = pc.is_valid(column) if other is None else pc.and_(pc.is_valid(column), pc.is_valid(other))
+        values, second = (None if c is None else c.filter(valid).to_numpy(zero_copy_only=False).astype(np.float64) for c in (column, other))
+        valid = valid.to_numpy(zero_copy_only=False)
+        return cls(valid, np.concatenate([[0], np.cumsum(valid)]), values, second)
 
     def index(self) -> WindowOrder:
         if self.order is None:
@@ -195,8 +207,31 @@ class Indexed:
         return self.order
 
 
-def answer(ask: Ask, column: Indexed, sizes: np.ndarray | None, series: Series) -> tuple[np.ndarray, np.ndarray]:
-    """Values of one statistic and where there is one."""
+def moments_answer(kind: str, n: np.ndarray, moments: tuple, row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics from moments; `row` and `value` are the point that a residual is taken at."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        if kind == "mean":
+            return moments[1], n > 0
+        if kind == "sum":
+            return moments[1] * n, n > 0
+        if kind == "spread":
+            return np.sqrt(moments[2] / (n - 1)), n > 1
+        _, mean_x, mean_y, xx, yy, xy = moments
+        if kind == "corr":
+            return xy / (np.sqrt(xx) * np.sqrt(yy)), (n > 1) & (xx * yy != 0)
+        slope = xy / xx
+        if kind == "slope":
+            return slope, (n > 1) & (xx > 0)
+        if kind == "r2":
+            return np.where(yy > 0, slope * xy / np.where(yy > 0, yy, 1), 1.0), (n > 1) & (xx > 0)
+        return (value - mean_y) - slope * (row - mean_x), (n > 1) & (xx > 0) & ~np.isnan(value)
+
+
+def answer(ask: Ask, column: Indexed, sizes: np.ndarray | None, series: Series, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Values of one statistic and where there is one; `known` keeps moments that several statistics share.
+
+    The trend kinds (`slope`, `r2`, `rest`) fit the values to the row number within the series.
+    """
     first_row, end_row = series.window(ask.window if sizes is None else np.maximum(sizes, 1))
     first, end = column.before[first_row], column.before[end_row]
     out = np.zeros(len(series.rows))
@@ -223,9 +258,18 @@ def answer(ask: Ask, column: Indexed, sizes: np.ndarray | None, series: Series)
         codes = column.index().codes if ask.kind == "firstmax" else len(column.values) - column.index().codes
         out[ok] = first_largest(codes, first[ok], end[ok]) - first[ok] + 1
     else:
-        n, mean, spread = window_moments(column.values, first, end)
-        ok = n > (0 if ask.kind == "mean" else 1)
-        out = mean if ask.kind == "mean" else spread
+        trend = ask.kind in ("slope", "r2", "rest")
+        row = (series.rows - series.start + 1).astype(np.float64)
+        columns = [row[column.valid], column.values] if trend else [column.values, *([] if column.other is None else [column.other])]
+        key = (ask.keys, ask.window, trend)
+        moments = known.get(key) if known is not None else None
+        if moments is None:
+            moments = window_moments(columns, first, end)
+            if known is not None:
+                known[key] = moments
+        value = np.full(len(row), np.nan)
+        value[column.valid] = column.values
+        out, ok = moments_answer(ask.kind, end - first, moments, row, value)
     return out, ok
 
 
@@ -250,14 +294,16 @@ def add_statistics(df: DataFrame, asks: Mapping[str, Ask], series: Sequence[str]
         rows = Series(table.column(len(own)).to_numpy())
         columns = {key: table.column(i).combine_chunks() for key, i in at.items()}
         columns = {key: c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for key, c in columns.items()}
-        indexed = {keys[0]: Indexed.of(columns[keys[0]]) for _, keys, _, _ in plan}
-        out = []
+        needed = {keys if kind in Ask.PAIRS else keys[:1] for kind, keys, _, _ in plan}
+        indexed = {keys: Indexed.of(*[columns[k] for k in keys]) for keys in needed}
+        out, known = [], {}
         for kind, keys, window, param in plan:
             sizes = missing = None
-            if len(keys) > 1:
+            own_keys = keys if kind in Ask.PAIRS else keys[:1]
+            if len(keys) > len(own_keys):
                 missing = ~pc.is_valid(columns[keys[1]]).to_numpy(zero_copy_only=False)
                 sizes = np.nan_to_num(pc.fill_null(columns[keys[1]], 1.0).to_numpy(zero_copy_only=False), nan=1.0, posinf=2.0**62, neginf=1.0).astype(np.int64)
-            value, ok = answer(Ask(kind, (), keys, window, param), indexed[keys[0]], sizes, rows)
+            value, ok = answer(Ask(kind, (), keys, window, param), indexed[own_keys], sizes, rows, known)
             out.append(pa.array(value, type=pa.float64(), mask=~ok if missing is None else ~ok | missing))
         batch = table.select(range(len(own))).to_batches()[0]
         return pa.RecordBatch.from_arrays([*batch.columns, *out], names=names)
