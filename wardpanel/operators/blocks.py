@@ -1,4 +1,4 @@
-"""All-against-all numeric work (nearest neighbours, kernel sums) in bounded blocks.
+"""All-against-all numeric work (kernel sums) in bounded blocks.
 
 Both sides are cut into blocks by id hash; one task sees one block of each and returns only partial
 results per point (its best k, or sums).  No pair rows are produced and nothing passes through the driver.
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardpanel.operators.order import top_per_group
+from wardpanel.operators.neighbours import nearest
 
 BLOCK_ROWS = 2048
 
@@ -49,31 +49,6 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def nearest(points: DataFrame, reference: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(id, ref_id, score, rank): the k most similar (cosine) or closest (euclidean, score = distance) reference rows.
-
-    points: id, vector; reference: ref_id, vector.  Ties by ref_id.
-    """
-    sign = -1.0 if metric == "cosine" else 1.0
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = _matrix(a["vector"]), _matrix(b["vector"])
-        if metric == "cosine":
-            norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            score = norm(x) @ norm(y).T
-        else:
-            diff = [np.sqrt(((y - row) ** 2).sum(1)) for row in x]
-            score = np.asarray(diff)
-        refs = b["ref_id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(refs, score.shape), sign * score), axis=1)[:, :k]
-        ids = np.repeat(a["id"].to_numpy(), order.shape[1])
-        return pd.DataFrame({"id": ids, "ref_id": refs[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-
-    part = block_map(points.select("id", "vector"), reference.select("ref_id", "vector"), best, "id bigint, ref_id bigint, score double")
-    by = F.desc("score") if metric == "cosine" else F.asc("score")
-    return top_per_group(part, ["id"], [by, F.asc("ref_id")], k)
-
-
 def similar_above(points: DataFrame, reference: DataFrame, k: int, threshold: float, strict: bool = True) -> DataFrame:
     """Top k by cosine among those above (or at) the threshold."""
     best = nearest(points, reference, k)

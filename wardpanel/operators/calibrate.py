@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardpanel.operators.blocks import kernel_density, nearest
+from wardpanel.operators.blocks import kernel_density
+from wardpanel.operators.neighbours import nearest
 from wardpanel.operators.metrics import argmax
 from wardpanel.operators.order import positions, running_totals
 from wardpanel.session import cut_lineage

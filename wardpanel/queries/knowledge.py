@@ -382,6 +382,13 @@ def nearest(spark, sf):
     return tidy(bl.nearest(centroids(spark, sf), ref, 8, "euclidean"), ["id", "ref_id", "rank"], ["score"])
 
 
+@query("vector_neighbours_of_rows", f"{VEC}, s AS (SELECT a.id, b.id AS ref_id, {COS} AS score FROM e a, e b WHERE a.id % 10 = 3), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ref_id) AS rk FROM s) SELECT id, ref_id, {r('score', 'score')}, CAST(rk AS INTEGER) AS rank FROM k WHERE rk <= 6")
+def neighbours_of_rows(spark, sf):
+    """Every tenth vector asks all vectors: the exact form over the inverted file."""
+    every = vectors(spark, sf)
+    return tidy(bl.nearest(every.where("id % 10 = 3"), every.select(F.col("id").alias("ref_id"), "vector"), 6), ["id", "ref_id", "rank"], ["score"])
+
+
 # ---- retrieval and linkage ------------------------------------------------------------------------
 
 DOCS = r"docs AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), qs AS (SELECT item_id AS query_id, string_split(text, ' ') AS w FROM benchmark)"
