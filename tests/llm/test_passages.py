@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardpanel.llm import suffix_dedup
+from wardpanel.llm import common, suffix_dedup
 from wardpanel.llm.near_dedup import keep_one
 from wardpanel.llm.substring_dedup import remove_repeated_words
 from wardpanel.llm.suffix_dedup import compare_runs, remove_repeated_bytes, sort_suffixes
@@ -120,3 +120,50 @@ def test_texts_of_null_ids_with_equal_short_hashes(spark, frame):
         assert {i: sorted(r.n_removed for r in got if r.doc_id == i) for i in (None, 1)} == want
         assert [bytes(r.kept).decode() for r in got if r.doc_id is None and not r.n_removed] == [b]
     assert sorted(r.text for r in keep_one(docs).collect()) == sorted([a, b])
+
+
+def swaps(bits, a, b):
+    """The recursive swap sequence and its complement: equal under every polynomial hash modulo a power of two once they are long."""
+    out = [0]
+    for _ in range(bits):
+        out += [1 - x for x in out]
+    return [a if x == 0 else b for x in out], [b if x == 0 else a for x in out]
+
+
+def test_prime_hashes():
+    rng = np.random.default_rng(0)
+    p = (1 << 61) - 1
+    a, b = (rng.integers(0, p, 1000, dtype=np.uint64) for _ in range(2))
+    a[:2], b[:2] = [p - 1, 0], [p - 1, 5]
+    assert common.mul_mod(a, b).tolist() == [int(x) * int(y) % p for x, y in zip(a, b)]
+    tokens = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    for which in (0, 1):
+        base, h = common._BASES[which] % p, common.PrimeRolling(tokens, which)
+        plain = lambda i, j: sum(int(t) * pow(base, j - 1 - k, p) for k, t in enumerate(tokens[i:j].tolist(), i)) % p
+        assert h.windows(40).tolist() == [plain(i, i + 40) for i in range(261)]
+        assert h.span(np.array([0, 7, 299]), np.array([300, 9, 300])).tolist() == [plain(0, 300), plain(7, 9), plain(299, 300)]
+
+
+def test_structured_texts_do_not_collide(spark, frame):
+    """Words, runs of words and strings of bytes made of swap sequences differ, and nothing is removed from them."""
+    one, two = swaps(12, "a", "b")
+    same = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{same} {''.join(one)}"), (2, f"{same} {''.join(two)}")]
+    assert [r.n_removed for r in remove_repeated_words(frame(rows)).collect()] == [0, 0]
+    nine, other = swaps(9, "a", "b")
+    got = remove_repeated_bytes(frame([(1, "".join(nine)), (2, "".join(other))]), length=512, gram=64).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0)]
+    ten, back = swaps(10, "xx", "yy")
+    got = remove_repeated_words(frame([(1, " ".join(ten)), (2, " ".join(back))]), window=1024, gram=30).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("remove", [remove_repeated_bytes, remove_repeated_words])
+def test_many_equal_rows(spark, remove):
+    """Rows that repeat in id and text are copies of each other, in time that grows with their number."""
+    text = " ".join(f"word{i % 700} {i}" for i in range(450))
+    few = spark.createDataFrame([(None, "alone " * 3), (5, text + " tail")], "doc_id long, text string")
+    many = spark.range(6000).selectExpr("CAST(NULL AS long) AS doc_id", f"'{text}' AS text").unionByName(few)
+    got = remove(many).groupBy("doc_id", "n_units", "n_removed").count().collect()
+    left = len(" tail") if remove is remove_repeated_bytes else 1
+    assert sorted((r.doc_id is None, r.n_units - r.n_removed, r["count"]) for r in got if r.n_removed) == [(False, left, 1), (True, 0, 6000)]

@@ -110,6 +110,65 @@ class Rolling:
         return (self.prefix[size:] - self.prefix[: n - size + 1]) * self.up[size - 1 : n]
 
 
+PRIME = np.uint64((1 << 61) - 1)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_SHIFTS = np.uint64(31), np.uint64(30), np.uint64(61), np.uint64(1)
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^61 - 1."""
+    x = (x & PRIME) + (x >> _SHIFTS[2])
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def mul_mod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, by halves of 31 and 30 bits."""
+    s31, s30, _, s1 = _SHIFTS
+    a1, a0, b1, b0 = a >> s31, a & _LOW31, b >> s31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduce(((a1 * b1) << s1) + (middle >> s30) + ((middle & _LOW30) << s31) + a0 * b0)
+
+
+_PRIME_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _prime_powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    have = _PRIME_POWERS.get(which)
+    if have is None or len(have[0]) < n:
+        size, out = max(n, PIECE_BYTES * 2), []
+        base = _BASES[which] % int(PRIME)
+        for b in (base, pow(base, -1, int(PRIME))):
+            row = np.ones(1, dtype=np.uint64)
+            while len(row) < size:
+                row = np.concatenate([row, mul_mod(row, np.full(len(row), pow(b, len(row), int(PRIME)), dtype=np.uint64))])
+            out.append(row[:size])
+        have = (out[0], out[1])
+        if size <= PIECE_BYTES * 4:  # those of a very long text are not kept
+            _PRIME_POWERS[which] = have
+    return have
+
+
+class PrimeRolling:
+    """Rabin-Karp hashes of any span of a token array, modulo the prime 2^61 - 1: no text makes them collide whatever the base, as powers of two do."""
+
+    def __init__(self, tokens: np.ndarray, which: int = 0):
+        self.up, down = _prime_powers(len(tokens) + 1, which)
+        terms = mul_mod(_reduce(tokens), down[: len(tokens)])
+        self.prefix = np.zeros(len(tokens) + 1, dtype=np.uint64)
+        high, low = np.cumsum(terms >> _SHIFTS[1], dtype=np.uint64), np.cumsum(terms & _LOW30, dtype=np.uint64)
+        self.prefix[1:] = _reduce(mul_mod(_reduce(high), np.full(len(terms), 1 << 30, dtype=np.uint64)) + _reduce(low))
+
+    def _scaled(self, end: np.ndarray, first: np.ndarray, up: np.ndarray) -> np.ndarray:
+        return mul_mod(_reduce(end + (PRIME - first)), up)
+
+    def span(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self._scaled(self.prefix[end], self.prefix[first], self.up[end - 1])
+
+    def windows(self, size: int) -> np.ndarray:
+        n = len(self.prefix) - 1
+        return self._scaled(self.prefix[size:], self.prefix[: n - size + 1], self.up[size - 1 : n])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over all 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

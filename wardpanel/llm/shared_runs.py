@@ -18,10 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardpanel.llm.common import BYTE_TOKENS, Rolling, documents, id_back, mix, row_texts, sliding_min, stage, text_slices, word_spans, word_tokens
+from wardpanel.llm.common import BYTE_TOKENS, PrimeRolling, documents, id_back, mix, row_texts, sliding_min, stage, text_slices
 
 RUNS = "id bigint, v bigint, start int, n int, at int, anchor bigint, digest bigint"
 LOW = np.uint64((1 << 28) - 1)
@@ -33,11 +34,12 @@ def byte_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The same with one token per word."""
-    buffer = np.frombuffer(b" ".join(texts), dtype=np.uint8)
-    first, end = word_spans(buffer)
-    edges = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return word_tokens(buffer, first, end), np.diff(np.searchsorted(first, edges))
+    """The same with one token per word: a hash of its bytes, taken once for each distinct word."""
+    lists = [t.split() for t in texts]
+    coded = pa.array([w for words in lists for w in words], type=pa.binary()).dictionary_encode()
+    values = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+    tokens = values[coded.indices.to_numpy()] if len(values) else np.zeros(0, dtype=np.uint64)
+    return tokens, np.array([len(w) for w in lists], dtype=np.int64)
 
 
 def find_runs(tokens: np.ndarray, counts: np.ndarray, size: int, gram: int) -> dict[str, np.ndarray]:
@@ -45,7 +47,7 @@ def find_runs(tokens: np.ndarray, counts: np.ndarray, size: int, gram: int) -> d
     n = len(tokens)
     if n < size or counts.max() < size:
         return {}
-    rolling = Rolling(tokens)
+    rolling = PrimeRolling(tokens)
     grams = mix(rolling.windows(gram))
     place = np.arange(len(grams), dtype=np.uint64)
     best = sliding_min((grams & ~LOW) | place, size - gram + 1) & LOW
@@ -87,7 +89,7 @@ def window_rows(parts: DataFrame, units: Callable, size: int) -> DataFrame:
             for i, text in row_texts(batch.column(2)):
                 own = runs[i].as_py()
                 tokens, _ = units([text])
-                hashes = [Rolling(tokens, w).windows(size) for w in (0, 1)]
+                hashes = [PrimeRolling(tokens, w).windows(size) for w in (0, 1)]
                 starts = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in own])
                 times = np.repeat(np.array([min(2, r["times"]) for r in own]), [r["n"] for r in own])
                 key = [np.full(len(starts), batch.column(c)[i].as_py(), dtype=t) for c, t in ((0, np.int64), (1, np.int64))]
@@ -149,7 +151,7 @@ def band_rows(parts: DataFrame, units: Callable, size: int) -> DataFrame:
             runs = batch.column(3)
             for i, text in row_texts(batch.column(2)):
                 tokens, _ = units([text])
-                rolling, out = Rolling(tokens), []
+                rolling, out = PrimeRolling(tokens), []
                 for r in runs[i].as_py():
                     place, low, high = r["start"] + r["at"], r["at"] - r["n"] + 1, r["at"]
                     for band in range(low // BAND, high // BAND + 1):
@@ -172,14 +174,17 @@ def settle_by_counting(docs: DataFrame, mixed: DataFrame, units: Callable, size:
 
 
 def with_text(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(id, v, text, runs): the runs of a document beside its text."""
-    lists = runs.groupBy("id", "v").agg(F.collect_list(F.struct(*[c for c in runs.columns if c not in ("id", "v")])).alias("runs"))
-    return docs.join(lists.hint("merge"), ["id", "v"])
+    """(id, v, text, runs): the runs of a document beside its text, once for rows that repeat.
+
+    Copies are cut to one a task before the shuffle that the join needs anyway.
+    """
+    lists = runs.groupBy("id", "v").agg(F.collect_set(F.struct(*[c for c in runs.columns if c not in ("id", "v")])).alias("runs"))
+    return docs.groupBy("id", "v").agg(F.first("text").alias("text")).join(lists.hint("merge"), ["id", "v"])
 
 
 def covered(docs: DataFrame, repeated: DataFrame, keep: Callable[[bytes, list], tuple], schema: str) -> DataFrame:
     """Apply `keep(text, runs)` to every document; its values follow the id."""
-    lists = repeated.groupBy("id", "v").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    lists = repeated.groupBy("id", "v").agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # rows that repeat bring the same runs
     joined = docs.join(lists.hint("merge"), ["id", "v"], "left").select("id", "v", "text", "runs")
     names = [c.split(" ", 1)[0] for c in schema.split(", ")]
 
