@@ -111,20 +111,49 @@ def mortality_next(visits: DataFrame, codes: DataFrame, order: Sequence[str] = V
     return visits_with_codes(out, codes, kinds, distinct).select("patient_id", "visit_id", *kinds, label.alias("mortality"))
 
 
+#: Days per cell grow by this factor from one level to the next.
+GRAIN, LEVELS = 16, 4
+
+
+def cover_cells(first: Column, last: Column) -> Column:
+    """Array of (level, cell) that covers the days `first` to `last` without overlap; a cell of level n holds GRAIN^n days.
+
+    Whole coarse cells cover the middle and finer ones both ends: an interval of d days has at most 2 * GRAIN cells a level,
+    instead of d rows.
+    """
+    empty = F.array().cast("array<struct<level:int,cell:bigint>>")
+    run = lambda level, a, b: F.when(a < b, F.transform(F.sequence(a, F.greatest(a, b - 1)), lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))).otherwise(empty)
+    parts, low, high, more = [], first.cast("bigint"), last.cast("bigint") + 1, F.lit(True)
+    for level in range(LEVELS):
+        if level == LEVELS - 1:
+            parts.append(F.when(more, run(level, low, high)).otherwise(empty))
+            break
+        up, down = F.ceil(low / GRAIN).cast("bigint"), F.floor(high / GRAIN).cast("bigint")
+        coarse = up < down
+        ends = F.concat(run(level, low, up * GRAIN), run(level, down * GRAIN, high))
+        parts.append(F.when(more & coarse, ends).when(more, run(level, low, high)).otherwise(empty))
+        low, high, more = up, down, more & coarse
+    return F.concat(*parts)
+
+
 def events_in_visits(visits: DataFrame, events: DataFrame, start: Column | str = "start", end: Column | str = "end", time: str = "time") -> DataFrame:
     """Events with start <= time <= end in the same patient.
 
-    Both sides are cut into days, so the join key is (patient, day) and a patient with very many events
-    does not meet all of the patient's visits.
+    A visit is covered by calendar cells of several grains, few whatever its length, and an event lies in one cell of each grain that
+    occurs among the visits.  The join key is (patient, grain, cell), so a patient with very many events does not meet all of the
+    patient's visits.
     """
     s, e = (F.col(c) if isinstance(c, str) else c for c in (start, end))
     day = lambda c: F.floor(micros(c) / 86400000000)
     spans = visits.withColumns({"__s": s, "__e": e}).where(F.col("__s") <= F.col("__e"))
-    spans = spans.withColumn("__day", F.explode(F.sequence(day(F.col("__s")), day(F.col("__e")))))
-    points = events.withColumn("__day", day(F.col(time)))
-    drop = [c for c in points.columns if c in spans.columns and c not in ("patient_id", "__day")]
-    joined = spans.join(points.drop(*drop), ["patient_id", "__day"])
-    return joined.where((F.col(time) >= F.col("__s")) & (F.col(time) <= F.col("__e"))).drop("__s", "__e", "__day")
+    spans = spans.withColumn("__at", F.explode(cover_cells(day(F.col("__s")), day(F.col("__e"))))).withColumns({"__level": F.col("__at.level"), "__cell": F.col("__at.cell")}).drop("__at")
+    levels = spans.agg(F.collect_set("__level").alias("l")).scalar()  # at most LEVELS values
+    cell = lambda n: F.floor(day(F.col(time)) / F.pow(F.lit(float(GRAIN)), n)).cast("bigint")
+    points = events.withColumn("__level", F.explode(levels)).withColumn("__cell", cell(F.col("__level")))
+    keys = ["patient_id", "__level", "__cell"]
+    drop = [c for c in points.columns if c in spans.columns and c not in keys]
+    joined = spans.join(points.drop(*drop), keys)
+    return joined.where((F.col(time) >= F.col("__s")) & (F.col(time) <= F.col("__e"))).drop("__s", "__e", "__level", "__cell")
 
 
 def mortality_next_by_time(visits: DataFrame, codes: DataFrame, adult: Column | None = None) -> DataFrame:

@@ -254,7 +254,7 @@ def mask_bad_prices(spark, sf):
 
 
 @query("backtest_library_overlap", """
-WITH lib AS (SELECT l_partkey || ':' || p_type AS subtree_key, CAST(l_quantity AS BIGINT) AS size, min(l_orderkey) AS library_factor FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' GROUP BY 1, 2),
+WITH lib AS (SELECT l_partkey || ':' || p_type AS subtree_key, CAST(l_quantity AS BIGINT) AS size, min(l_orderkey) AS library_factor FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' GROUP BY 1, 2),
 own AS (SELECT DISTINCT l_orderkey AS factor, l_partkey || ':' || p_type AS subtree_key, CAST(l_quantity AS BIGINT) AS size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R')
 SELECT factor, size, subtree_key, library_factor FROM (SELECT own.factor, size, subtree_key, library_factor,
   row_number() OVER (PARTITION BY factor ORDER BY size DESC, subtree_key DESC) AS rk FROM own JOIN lib USING (subtree_key, size)) WHERE rk = 1""")
@@ -262,7 +262,7 @@ def library_overlap(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_type")
     rows = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("factor"), F.concat_ws(":", "l_partkey", "p_type").alias("subtree_key"), F.col("l_quantity").cast("bigint").alias("size"), "l_returnflag")
-    return ev.library_overlap(rows.where("l_returnflag = 'R'").drop("l_returnflag"), rows.where("l_returnflag = 'A'").drop("l_returnflag"))
+    return ev.library_overlap(rows.where("l_returnflag = 'R'").drop("l_returnflag"), rows.where("l_returnflag <> 'R'").drop("l_returnflag"))
 
 
 ROLL = ["avg_corr", "avg_format", "avg_run", "max_corr", "max_value", "avg_value"]

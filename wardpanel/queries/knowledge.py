@@ -574,7 +574,7 @@ def dirichlet(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     cal, test = cal_test(spark, sf)
-    model = ca.fit_dirichlet(cal, max_iter=20)
+    model = ca.fit_dirichlet(cal)
     return model.transform(ca.log_features(test)).select("sample_id", F.array_max(vector_to_array("calibrated")).alias("top"))
 
 
@@ -599,7 +599,7 @@ def logistic_scores(spark, sf):
     train, test = rows.where("split = 'train'"), rows.where("split = 'val'")
     out = None
     for kind in ("baseline", "factors", "combined"):
-        model = md.fit_logistic(train, md.feature_columns(kind, BASELINE, FACTORS), "label", max_iter=20)
+        model = md.fit_logistic(train, md.feature_columns(kind, BASELINE, FACTORS), "label")
         pred = md.predictions(model, test, ["o_orderkey", "label"]).select(F.col("label").alias("y"), F.get("prob", 1).alias("prob"))
         one = mt.ranking_areas(pred).select(F.lit(kind).alias("features"), "roc_auc", "pr_auc")
         out = one if out is None else out.unionByName(one)
@@ -609,7 +609,7 @@ def logistic_scores(spark, sf):
 @query("model_coefficient_importance")
 def importance(spark, sf):
     names = md.feature_columns("combined", BASELINE, FACTORS)
-    model = md.fit_logistic(tabular(spark, sf).where("split = 'train'"), names, "label", max_iter=20)
+    model = md.fit_logistic(tabular(spark, sf).where("split = 'train'"), names, "label")
     return spark.createDataFrame(md.coefficient_importance(model, names), "feature string, importance double")
 
 
@@ -617,7 +617,7 @@ def importance(spark, sf):
 def boosted(spark, sf):
     rows = tabular(spark, sf)
     names = md.feature_columns("combined", BASELINE, FACTORS)
-    model = md.fit_boosted(rows.where("split = 'train'"), names, "label", max_iter=5)
+    model = md.fit_boosted(rows.where("split = 'train'"), names, "label")
     pred = md.predictions(model, rows.where("split = 'val'"), ["label"]).select(F.col("label").alias("y"), "pred")
     return mt.multiclass_scores(pred)
 
@@ -626,7 +626,7 @@ def boosted(spark, sf):
 def permutation_importance(spark, sf):
     rows = tabular(spark, sf)
     names = md.feature_columns("combined", BASELINE, FACTORS)
-    model = md.fit_logistic(rows.where("split = 'train'"), names, "label", max_iter=20)
+    model = md.fit_logistic(rows.where("split = 'train'"), names, "label")
     test = rows.where("split = 'val'").select("o_orderkey", "label", *names)
     area = lambda d: mt.ranking_areas(md.predictions(model, d, ["label"]).select(F.col("label").alias("y"), F.get("prob", 1).alias("prob"))).select("roc_auc")
     base = area(test).scalar()
@@ -644,6 +644,6 @@ def return_ranker(spark, sf):
 
     made = p.evaluate(bars(spark, sf), {"a": p.ts_mean("volume", 5), "b": p.delta("volume", 2), "label": p.delta("volume", 1) - p.delay("volume", 2)})
     ready = cut_lineage(ev.prepare_training_panel(made, ["a", "b"], "label"))
-    model = md.fit_return_ranker(ready.where("datetime < '1999-01-01'"), ["a", "b"], "label", max_iter=3)
+    model = md.fit_return_ranker(ready.where("datetime < '1999-01-01'"), ["a", "b"], "label")
     scored = model.transform(ready.where("datetime >= '1999-01-01'")).select("datetime", "instrument", "signal", "label")
     return ev.ic_summary(ev.daily_ic(scored, "signal", "label"))

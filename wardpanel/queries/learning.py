@@ -537,7 +537,7 @@ def interaction_rate(spark, sf):
     return tidy(mt.interaction_rate(rows, pairs), [], ["ddi_rate"])
 
 
-RET = """WITH res AS (SELECT o_custkey AS query_id, CAST(o_orderkey AS VARCHAR) AS doc_id, o_totalprice AS score FROM orders WHERE o_orderstatus <> 'P'),
+RET = """WITH res AS (SELECT o_custkey AS query_id, CAST(o_orderkey AS VARCHAR) AS doc_id, o_totalprice AS score FROM orders),
 rel AS (SELECT o_custkey AS query_id, CAST(o_orderkey AS VARCHAR) AS doc_id, CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 ELSE 0 END AS relevance FROM orders),
 qs AS (SELECT DISTINCT query_id FROM res SEMI JOIN rel USING (query_id)), rk AS (SELECT res.query_id, res.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rk, coalesce(relevance, 0) AS g FROM res LEFT JOIN rel USING (query_id, doc_id)),
 hi AS (SELECT *, sum(CAST(g > 0 AS INT)) OVER (PARTITION BY query_id ORDER BY rk) AS cum FROM rk), tot AS (SELECT query_id, count(*) AS r FROM rel WHERE relevance > 0 GROUP BY 1), idl AS (SELECT query_id, relevance AS g, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS rk FROM rel WHERE relevance > 0)"""
@@ -552,7 +552,7 @@ coalesce((SELECT count(*) FROM hi WHERE hi.query_id = qs.query_id AND rk <= {k}
 @query("metric_retrieval", f"{RET}, k3 AS ({ret_k(3)}), k10 AS ({ret_k(10)}) SELECT * FROM " + ", ".join(f"(SELECT round(avg(nd), 5) AS ndcg_{k}, round(avg(mp), 5) AS map_{k}, round(avg(rc), 5) AS recall_{k}, round(avg(pr), 5) AS p_{k} FROM k{k})" for k in (3, 10)))
 def retrieval(spark, sf):
     o = table(spark, sf, "orders")
-    res = o.where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_totalprice").alias("score"))
+    res = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_totalprice").alias("score"))
     rel = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").cast("string").alias("doc_id"), F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 ELSE 0 END").alias("relevance"))
     return mt.retrieval_scores(res, rel, [3, 10])
 
