@@ -410,8 +410,9 @@ def images(spark, sf):
 CAST(contains(source, 'src1') AS INTEGER) AS src1 FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'en')""")
 def finding_labels(spark, sf):
     im = images(spark, sf)
-    many = F.array_join(F.array_compact(F.array(*[F.when(F.col(f) == 1, F.lit(f)) for f in ("EN", "src1", "src19")])), ",")
-    return im.select("path", "visit_id", many.alias("labels"), F.col("src1").cast("int").alias("src1"))
+    named = jobs.finding_labels(im.withColumn("path", F.struct("path", "visit_id")), ["EN", "src1", "src19"])
+    both = named.select(F.col("path.path").alias("path"), F.col("path.visit_id").alias("visit_id"), F.array_join("labels", ",").alias("labels"))
+    return both.withColumn("src1", F.array_contains(F.split("labels", ","), "src1").cast("int"))
 
 
 @query("job_present_pairs", "SELECT lang, count(*) AS n, sum(length(text)) AS chars FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL GROUP BY 1")

@@ -411,6 +411,12 @@ def bm25(spark, sf):
     return tidy(rt.bm25(doc_words(spark, sf), query_words(spark, sf)), ["query_id", "doc_id"], ["score"], 5)
 
 
+@query("retrieval_bm25_top", f"WITH {DOCS}, {BM}, k AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rk FROM sc) SELECT query_id, doc_id, {r('score', 'score', 5)}, CAST(rk AS INTEGER) AS rank FROM k WHERE rk <= 10")
+def bm25_top(spark, sf):
+    """The best ten documents of each item, from blocks of postings."""
+    return tidy(rt.bm25_top(doc_words(spark, sf), query_words(spark, sf), 10), ["query_id", "doc_id", "rank"], ["score"], 5)
+
+
 def linkage(spark, sf):
     """Linkage samples whose codes are part keys."""
     c = jq.codes(spark, sf).withColumn("code", F.col("seq.l_partkey").cast("string"))
