@@ -612,6 +612,20 @@ def logistic_scores(spark, sf):
     return out
 
 
+@query("model_sgd_scores")
+def sgd_scores(spark, sf):
+    """The stochastic form of the three fits."""
+    rows = tabular(spark, sf)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'val'")
+    out = None
+    for kind in ("baseline", "factors", "combined"):
+        model = md.fit_sgd_logistic(train, md.feature_columns(kind, BASELINE, FACTORS), "label")
+        pred = model.transform(test, ["label"]).select(F.col("label").alias("y"), F.get("prob", 1).alias("prob"))
+        one = mt.ranking_areas(pred).select(F.lit(kind).alias("features"), "roc_auc", "pr_auc")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("model_coefficient_importance")
 def importance(spark, sf):
     names = md.feature_columns("combined", BASELINE, FACTORS)

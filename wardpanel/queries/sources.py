@@ -184,6 +184,14 @@ def image_files(spark, sf):
     return listed.join(d.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n")), "name")
 
 
+@query("source_image_names", "SELECT count(DISTINCT source) AS files, 'csv' AS ending FROM documents")
+def image_names(spark, sf):
+    """One file per source is written; their names are listed without reading them."""
+    path = tb.scratch(spark, "named")
+    table(spark, sf, "documents").select("source", "doc_id").repartition("source").write.partitionBy("source").csv(path)
+    return pr.image_files(spark, path).groupBy(F.element_at(F.split("name", "[.]"), -1).alias("ending")).agg(F.count(F.lit(1)).alias("files"))
+
+
 @query("source_split_records", "SELECT CAST(doc_id % 97 AS VARCHAR) AS patient_id, CAST(doc_id AS VARCHAR) AS note_id, trim(text, E' \\n\\t\\r') AS text FROM documents")
 def split_records(spark, sf):
     d = table(spark, sf, "documents")
