@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wardpanel.functions.numeric import finite_or_null, ratio as safe_ratio
 from wardpanel.operators.order import drop_halo, group_rows, largest_group, neighbour, running_last, split_series, tie_ranks
+from wardpanel.operators.quantiles import quantiles
 from wardpanel.operators.rolling import Ask, add_statistics
 
 INSTRUMENT, TIME = "instrument", "datetime"
@@ -26,7 +27,7 @@ SERIES = (INSTRUMENT, "__chunk")
 class Step:
     name: str
     level: int
-    kind: str  # column, ordered, fill, rank, or the grouping column of an aggregate
+    kind: str  # column, ordered, fill, rank, quantile, or the grouping column of an aggregate
     make: Callable
 
 
@@ -140,6 +141,26 @@ def _grouped(name: str, fn: Callable[[Column], Column], x, by: str = TIME, param
     return Factor(key, lambda: F.col(col), f.level + 1, f.steps + (step,), f.back, f.ahead, (f,), True)
 
 
+def _quantile(name: str, x, q: float, by: str = TIME) -> Factor:
+    """A quantile per date (or per instrument) joined back to the rows; groups of any size."""
+    f = _plain(x)
+    key = _key(name, [f], (q,))
+    col = "__q_" + hashlib.md5(key.encode()).hexdigest()[:16]
+    step = Step(col, f.level + 1, "quantile", lambda: (by, f.key, f.col(), q))
+    return Factor(key, lambda: F.col(col), f.level + 1, f.steps + (step,), f.back, f.ahead, (f,), True)
+
+
+def _add_quantiles(df: DataFrame, asked: Mapping[str, tuple[str, str, Column, float]]) -> DataFrame:
+    """Join quantiles (name -> grouping column, key and column of the value, q) to the rows, all of one value in one pass."""
+    own = df.where(~F.col("__halo"))
+    for by, key in dict.fromkeys((by, key) for by, key, _, _ in asked.values()):
+        same = {n: (c, q) for n, (b, k, c, q) in asked.items() if (b, k) == (by, key)}
+        value = next(iter(same.values()))[0]
+        found = quantiles(own.select(by, value.alias("__value")), "__value", {n: q for n, (_, q) in same.items()}, [by])
+        df = df.join(found, by, "left")
+    return df
+
+
 def _statistic(name: str, kind: str, x, p: int | None, params=(), param: float | None = None, other=None, back: float | None = None) -> Factor:
     """A statistic of a window, computed with all others of its level in one pass over the sorted series.
 
@@ -192,7 +213,7 @@ def evaluate(panel: DataFrame, factors: Mapping[str, Factor], keep: Sequence[str
     need = max((f.back for f in factors.values()), default=0), max((f.ahead for f in factors.values()), default=0)
     steps = _merge(list(factors.values()))
     limit = max_rows or group_rows(panel)
-    apart = any(s.kind not in ("rank", TIME, INSTRUMENT) for s in steps)
+    apart = any(s.kind not in ("rank", "quantile", TIME, INSTRUMENT) for s in steps)
     whole = not apart or largest_group(panel, [INSTRUMENT]) <= limit
     if whole:
         df = panel.withColumns({"__chunk": F.lit(0).cast("bigint"), "__halo": F.lit(False)})
@@ -210,6 +231,9 @@ def evaluate(panel: DataFrame, factors: Mapping[str, Factor], keep: Sequence[str
             aggregates = [s.make() for s in here if s.kind == by]
             if aggregates:
                 df = df.join(df.where(~F.col("__halo")).groupBy(by).agg(*aggregates), by, "left")
+        middles = {s.name: s.make() for s in here if s.kind == "quantile"}
+        if middles:
+            df = _add_quantiles(df, middles)
         base = df
         for s in (s for s in here if s.kind == "rank"):
             df = s.make(base, df, largest)
@@ -314,7 +338,7 @@ def ts_median(x, p: int = 5) -> Factor:
 def percentile(x, q: float, p: int | None = None) -> Factor:
     if p is not None:
         return ts_quantile(x, p, q)
-    return _grouped("percentile", lambda c: F.percentile(c, q), x, INSTRUMENT, (q,))
+    return _quantile("percentile", x, q, INSTRUMENT)
 
 
 def ts_rank(x, p: int = 5) -> Factor:
@@ -562,7 +586,7 @@ def bb_lower(x, w, max_window: int | None = None) -> Factor:
 
 cs_mean = lambda x: _grouped("cs_mean", F.avg, x)
 cs_std = lambda x: _grouped("cs_std", F.stddev_samp, x)
-cs_median = lambda x: _grouped("cs_median", F.median, x)
+cs_median = lambda x: _quantile("cs_median", x, 0.5)
 cs_max = lambda x: _grouped("cs_max", F.max, x)
 cs_min = lambda x: _grouped("cs_min", F.min, x)
 
