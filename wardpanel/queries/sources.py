@@ -121,11 +121,10 @@ def triples(spark, sf):
 @query("source_factor_library", """SELECT 'f' || p_partkey AS factor_id, CASE WHEN p_size % 5 = 0 THEN 'f' || p_partkey ELSE p_name END AS factor_name, p_type AS factor_expression FROM part WHERE p_size % 7 <> 0 AND p_brand = 'Brand#2' ORDER BY 1 LIMIT 50""")
 def factor_library(spark, sf):
     p = table(spark, sf, "part").select(F.concat(F.lit("f"), "p_partkey").alias("id"), F.when(F.col("p_size") % 5 != 0, F.col("p_name")).alias("factor_name"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.col("p_type")).alias("factor_expression"), F.col("p_brand").alias("quality"))
-    entries = F.map_from_entries(F.collect_list(F.struct("id", F.struct("factor_name", "factor_expression", "quality"))))
-    documents = p.groupBy("quality").agg(F.to_json(F.struct(entries.alias("factors"))).alias("value"))
+    entry = F.struct("factor_name", "factor_expression", "quality")
     path = tb.scratch(spark, "library")
-    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return pr.factor_library_source(spark, path, "Brand#2", 50).select("factor_id", "factor_name", "factor_expression")
+    p.select(F.to_json(F.struct(F.create_map("id", entry).alias("factors"))).alias("value")).write.text(path)
+    return pr.factor_library_source(spark, path, "Brand#2", 50, lines=True).select("factor_id", "factor_name", "factor_expression")
 
 
 @query("source_factor_upsert", """WITH n AS (SELECT substr(md5(p_name || '_' || p_type), 1, 16) AS factor_id, p_name AS factor_name, p_type AS factor_expression, max(p_partkey) AS seq FROM part GROUP BY 1, 2, 3),
@@ -195,9 +194,10 @@ def image_names(spark, sf):
 @query("source_split_records", "SELECT CAST(doc_id % 97 AS VARCHAR) AS patient_id, CAST(doc_id AS VARCHAR) AS note_id, trim(text, E' \\n\\t\\r') AS text FROM documents")
 def split_records(spark, sf):
     d = table(spark, sf, "documents")
-    marked = F.concat(F.lit("START_OF_RECORD="), (F.col("doc_id") % 97).cast("string"), F.lit("||||"), F.col("doc_id").cast("string"), F.lit("||||\n"), F.col("text"), F.lit("\n||||END_OF_RECORD\n\n"))
-    files = d.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", marked.alias("m")))), lambda r: r["m"]), "").alias("value"))
-    return pr.split_records(files)
+    marked = F.concat(F.lit("START_OF_RECORD="), (F.col("doc_id") % 97).cast("string"), F.lit("||||"), F.col("doc_id").cast("string"), F.lit("||||\n"), F.col("text"), F.lit("\n"))
+    path = tb.scratch(spark, "records")
+    d.select(marked.alias("value")).write.option("lineSep", pr.RECORD_END + "\n\n").text(path)
+    return pr.records_source(spark, path)
 
 
 @query("source_sample_sink", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")

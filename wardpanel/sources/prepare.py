@@ -25,10 +25,13 @@ FACTOR_ENTRY = T.StructType([
 ])
 
 
-def factor_library_source(spark: SparkSession, path: str, quality: str | None = None, limit: int | None = None) -> DataFrame:
-    """JSON library {"factors": {id: entry}} as rows; entries without an expression are dropped."""
+def factor_library_source(spark: SparkSession, path: str, quality: str | None = None, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """JSON library {"factors": {id: entry}} as rows; entries without an expression are dropped.
+
+    A file is one document, or with `lines` holds a document per line, so that a large library is read by many tasks.
+    """
     schema = T.StructType([T.StructField("factors", T.MapType(T.StringType(), FACTOR_ENTRY))])
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
     rows = raw.select(F.explode("factors").alias("id", "e")).select(
         F.col("id").alias("factor_id"), F.coalesce("e.factor_name", "id").alias("factor_name"), "e.factor_expression",
         F.coalesce("e.factor_description", F.lit("")).alias("factor_description"), "e.quality", "e.cache_location",
@@ -160,6 +163,15 @@ def split_records(texts: DataFrame, column: str = "value", pattern: str = RECORD
     return rows.select(part(1).alias("patient_id"), part(2).alias("note_id"), F.trim(part(3), F.lit(" \n\t\r")).alias("text"))
 
 
+#: What stands after each record of the privacy corpus.
+RECORD_END = "||||END_OF_RECORD"
+
+
+def records_source(spark: SparkSession, path: str) -> DataFrame:
+    """Files of marked records as (patient_id, note_id, text); files are cut at record ends, so one file may hold any share of the rows."""
+    return split_records(spark.read.option("lineSep", RECORD_END).text(path))
+
+
 def sample_sink(samples: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
     samples.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
