@@ -297,3 +297,18 @@ def test_closure_has_no_depth_limit(spark):
     assert ancestors(start, chain).agg({"distance": "max"}).first()[0] == 70
     with pytest.raises(ValueError):
         ancestors(start, chain, max_depth=5)
+
+
+@pytest.mark.parametrize("limit", ["1000000", "2"])
+def test_resample_fills_every_column_by_itself(spark, limit):
+    """The last point of a slot counts with all its values, missing ones too; a key with one point has one row."""
+    rows = [("p", "2020-01-01 00:00:00", 1.0, None), ("p", "2020-01-01 00:30:00", None, 5.0), ("p", "2020-01-01 03:10:00", 7.0, None), ("q", "2020-01-01 00:00:00", None, None)]
+    df = spark.createDataFrame(rows, "id string, t string, a double, b double").withColumn("t", F.to_timestamp("t"))
+    spark.conf.set("wardpanel.group.rows", limit)
+    try:
+        got = [tuple(r) for r in en.resample(df, "id", "t", ["a", "b"], 3600).orderBy("id", "step").collect()]
+        zero = [tuple(r)[3:] for r in en.resample(df, "id", "t", ["a", "b"], 3600, "zero").where("id = 'p'").orderBy("step").collect()]
+    finally:
+        spark.conf.unset("wardpanel.group.rows")
+    assert got == [("p", 0, 0.0, 0.0, 5.0), ("p", 1, 1.0, 0.0, 5.0), ("p", 2, 2.0, 0.0, 5.0), ("p", 3, 3.0, 7.0, 5.0), ("q", 0, 0.0, 0.0, 0.0)]
+    assert zero == [(0.0, 5.0), (0.0, 0.0), (0.0, 0.0), (7.0, 0.0)]

@@ -182,19 +182,25 @@ def _pass(state: DataFrame, model: BoostedModel, pending: list[list[Tree]], tree
         rows = [(k, node, f, total[i, f].tobytes()) for k, total in sums.items() for node, i in slot[k].items() for f in range(width)]
         yield pd.DataFrame([*rows, (-1, 0, 0, held.tobytes())], columns=["tree", "node", "feature", "sums"])
 
-    def choose(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(s, dtype=np.int64) for s in frame["sums"])
-        if key[0] < 0:
-            best, whole = None, total.astype(np.float64) / [UNIT, UNIT, 1]
-        else:
-            g, h, n = total.reshape(3, BINS)
-            g, h = g * units[0], h * units[1]
-            best, whole = _best_split(g, h, n, least, penalty), np.array([g.sum(), h.sum(), n.sum()])
-        gain, cut, lost, left, right = best or (None, None, None, None, None)
-        return pd.DataFrame([(*key, gain, cut, lost, left, right, whole)], columns=["tree", "node", "feature", "gain", "bin", "missing_left", "left", "right", "total"])
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole: dict[tuple, np.ndarray] = {}
+        for frame in batches:
+            for *key, sums in frame.itertuples(index=False):
+                part = np.frombuffer(sums, dtype=np.int64)
+                whole[tuple(key)] = whole[tuple(key)] + part if tuple(key) in whole else part
+        rows = []
+        for key, sums in whole.items():
+            if key[0] < 0:
+                best, total = None, sums.astype(np.float64) / [UNIT, UNIT, 1]
+            else:
+                g, h, n = sums.reshape(3, BINS)
+                g, h = g * units[0], h * units[1]
+                best, total = _best_split(g, h, n, least, penalty), np.array([g.sum(), h.sum(), n.sum()])
+            rows.append((*key, *(best or (None, None, None, None, None)), total))
+        yield pd.DataFrame(rows, columns=["tree", "node", "feature", "gain", "bin", "missing_left", "left", "right", "total"])
 
     packed = state.mapInPandas(add, "tree int, node int, feature int, sums binary")
-    return packed.groupBy("tree", "node", "feature").applyInPandas(choose, SPLITS).collect()
+    return packed.repartition("tree", "node", "feature").mapInPandas(choose, SPLITS).collect()
 
 
 class _Growth:

@@ -175,20 +175,25 @@ def fill_steps(df: DataFrame, key: str, col: str) -> DataFrame:
     return df.drop(col).join(large(out.withColumnRenamed("__f", col)), key, "left")
 
 
-def resample(points: DataFrame, key: str, time: str, value: str, step_seconds: float, fill: str = "forward") -> DataFrame:
-    """(key, step, hours, value): a regular grid from the first to the last time of each key.
+def resample(points: DataFrame, key: str, time: str, value: str | Sequence[str], step_seconds: float, fill: str = "forward") -> DataFrame:
+    """(key, step, hours, values): a regular grid from the first to the last time of each key, for one value column or several.
 
-    The latest point of a slot wins; empty slots are filled forward from 0 or with 0.
+    The latest point of a slot wins with all its values; what is empty after that, a slot or a single value, is filled forward for
+    each column by itself, from 0, or with 0.
     """
+    values = [value] if isinstance(value, str) else list(value)
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     span = points.groupBy(key).agg(F.min(time).alias("__a"), F.max(time).alias("__b"))
     slot = lambda c: F.floor((us(c) - us("__a")) / (step_seconds * 1e6))
-    best = points.join(span, key).groupBy(key, slot(time).alias("step")).agg(F.max_by(value, time).alias(value))
+    best = points.join(span, key).groupBy(key, slot(time).alias("step")).agg(F.max_by(F.struct(*values), time).alias("__v")).select(key, "step", "__v.*")
     grid = span.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), slot("__b"))).alias("step"))
     rows = grid.join(large(best), [key, "step"], "left")
     if fill == "forward":
-        rows = running_last(rows, [key], ["step"], value)
-    return rows.select(key, "step", (F.col("step") * (step_seconds / 3600.0)).alias("hours"), F.coalesce(value, F.lit(0.0)).alias(value))
+        longest = span.agg(F.max(slot("__b") + 1)).first()[0] or 0
+        for v in values:
+            rows = running_last(rows, [key], ["step"], v, largest=longest)
+    hours = (F.col("step") * (step_seconds / 3600.0)).alias("hours")
+    return rows.select(key, "step", hours, *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
 
 
 def to_floats(col: Column, depth: int) -> Column:

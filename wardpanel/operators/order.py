@@ -99,10 +99,14 @@ def running_totals(
 
 
 def running_last(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str | None = None, **kw) -> DataFrame:
-    """Last non-null value up to and including each row (forward fill), for groups of any size; `by` + `order` unique."""
+    """Last non-null value up to and including each row (forward fill), for groups of any size; `by` + `order` unique.
+
+    `largest` is a known bound of the rows per group; it saves the size check.
+    """
     by, order, name = list(by), list(order), name or value
     upto = lambda parts: Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if largest_group(df, by) <= group_rows(df):
+    known = kw["largest"] if kw.get("largest") is not None else largest_group(df, by)
+    if known <= group_rows(df):
         return df.withColumn(name, F.last(value, ignorenulls=True).over(upto(by or [F.lit(0)])))
     edges = _edges(df, order, kw.get("ranges", RANGES), kw.get("sample_rows", SAMPLE_ROWS), by)
     ranged = df.withColumn("__range", _range_id(df, order, edges))
