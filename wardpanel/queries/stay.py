@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wardpanel.functions import stay_events as se
 from wardpanel.functions import text as tx
 from wardpanel.functions.numeric import rounded
 from wardpanel.operators import stay as st
@@ -385,6 +386,22 @@ def memory_buckets(spark, sf):
     return tidy(st.memory_by_bucket(p, 15), ["id", "bucket", "rank"], ["score"])
 
 
+@query("stay_event_helpers", f"""{EV}, k AS (SELECT *, txt LIKE '%click%' OR txt LIKE '%view%' AS hit FROM ev)
+SELECT visit_id, count(*) FILTER (WHERE h >= 0 AND h < 240) AS early, count(*) FILTER (WHERE hit) AS hits, {r('avg(CASE WHEN hit THEN 1.0 ELSE 0 END)', 'density')},
+  {r('coalesce(min(h) FILTER (WHERE hit AND h >= 24 AND h < 480), 0)', 'first')},
+  {r('(max(CASE WHEN hit AND h >= 0 AND h < 24 THEN 1.0 ELSE 0 END) + max(CASE WHEN hit AND h >= 24 AND h < 72 THEN 1.0 ELSE 0 END)) / 2', 'persistence')}
+FROM k GROUP BY 1""")
+def event_helpers(spark, sf):
+    words = ["Click", "view"]
+    grouped = st.group_text(text_events(spark, sf)).select("visit_id", se.stay_events(F.col("texts"), F.col("offsets")).alias("e"))
+    e = F.col("e")
+    out = grouped.select(
+        "visit_id", F.size(se.between(e, 0, 240)).cast("bigint").alias("early"), se.keyword_count(e, words).cast("bigint").alias("hits"),
+        se.keyword_density(e, words).alias("density"), se.first_hours(e, words, 24, 480).alias("first"), se.persistence(e, words, [(0, 24), (24, 72)]).alias("persistence"),
+    )
+    return tidy(out, ["visit_id", "early", "hits"], ["density", "first", "persistence"])
+
+
 @query("stay_user_factor", f"{EV} SELECT visit_id, {r('avg(CASE WHEN h >= 72 THEN 1.0 ELSE 0 END)', 'value')} FROM ev GROUP BY 1")
 def user_factor(spark, sf):
     grouped = st.group_text(text_events(spark, sf))
