@@ -69,3 +69,18 @@ def test_few_and_no_rows(spark):
     _, _, p, r = sides(spark, 4)
     assert nearest(p.limit(3), r.limit(2), 5).count() == 6
     assert nearest(p, r.where("false"), 5).count() == 0 and nearest(p.where("false"), r, 5).count() == 0
+
+
+def test_copies_of_a_point_do_not_grow_with_the_lists(spark):
+    """A point that reads every list goes once to each shard, not once to each list."""
+    rng = np.random.default_rng(5)
+    ref = rng.normal(0, 1, (9000, 24))
+    make = lambda m, key: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{key} long, vector array<double>")
+    lists, _ = neighbours.build_lists(make(ref, "ref_id"), "euclidean")
+    shards = neighbours.group_lists(lists)
+    assert len(lists.centroids) > 60 and len(shards.members) <= 8
+    assert sorted(np.concatenate(shards.members).tolist()) == list(range(len(lists.centroids)))
+    got = nearest(make(ref[:30], "id"), make(ref, "ref_id"), 5, "euclidean").toPandas()
+    want = brute(ref[:30], ref, 5, "euclidean")
+    for i, g in got.sort_values(["id", "rank"]).groupby("id"):
+        np.testing.assert_allclose(g.score.to_numpy(), want[i], rtol=1e-9, atol=1e-9)
