@@ -312,3 +312,20 @@ def test_resample_fills_every_column_by_itself(spark, limit):
         spark.conf.unset("wardpanel.group.rows")
     assert got == [("p", 0, 0.0, 0.0, 5.0), ("p", 1, 1.0, 0.0, 5.0), ("p", 2, 2.0, 0.0, 5.0), ("p", 3, 3.0, 7.0, 5.0), ("q", 0, 0.0, 0.0, 0.0)]
     assert zero == [(0.0, 5.0), (0.0, 0.0), (0.0, 0.0), (7.0, 0.0)]
+
+
+def test_interaction_rate_lists_short_samples_and_joins_long_ones(spark, monkeypatch):
+    import itertools
+
+    from wardpanel.operators import metrics
+
+    drugs = {1: ["a", "b", "c", "a"], 2: ["b", "d"], 3: ["a", "b", "b", "c", "d", "a", "e"], 4: ["e"], 5: [None, "a", "b"]}
+    rows = spark.createDataFrame([(s, d) for s, ds in drugs.items() for d in ds] + [(None, "a"), (None, "b")], "sample_id long, drug string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b"), ("a", "a"), ("d", None)], "a string, b string")
+    known = {("a", "b"), ("b", "c"), ("a", "a")}
+    every = [tuple(sorted((x or "", y or ""))) for ds in drugs.values() for x, y in itertools.combinations(ds, 2)]
+    want = sum(p in known for p in every) / (len(every) + 1)  # the pair of the sample without a key counts, but matches nothing
+    for listed, sent in ((1000, 500_000), (3, 500_000), (1000, 1), (3, 1)):
+        monkeypatch.setattr(metrics, "LIST_ROWS", listed)
+        monkeypatch.setattr(metrics, "SENT_PAIRS", sent)
+        assert abs(metrics.interaction_rate(rows, pairs).first()[0] - want) < 1e-12

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardpanel.operators.order import large, positions, running_totals, top_per_group
+from wardpanel.session import cut_lineage
 
 
 def _n(cond: Column) -> Column:
@@ -297,19 +298,39 @@ def fairness(df: DataFrame, pred: str = "pred", favorable: int = 1, epsilon: flo
 # ---- drugs and retrieval -------------------------------------------------------------------------
 
 
+#: Rows of a sample whose pairs are listed inside its row, and interacting pairs that are sent to all tasks.
+LIST_ROWS, SENT_PAIRS = 1000, 500_000
+
+
 def interaction_rate(rows: DataFrame, pairs: DataFrame, key: str = "sample_id", drug: str = "drug") -> DataFrame:
     """Share of drug pairs of a sample that interact; 0 when there is no pair.
 
-    The number of pairs comes from the list sizes; only interacting partners are joined, never all pairs.
+    The number of pairs comes from the list sizes.  A sample of up to `LIST_ROWS` rows is one row that lists its own pairs; in a longer
+    one only interacting partners are joined, never all pairs.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("all"))
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    counts = rows.groupBy(key, F.col(drug).alias("a")).agg(F.count(F.lit(1)).alias("na"))
-    partner = counts.join(both, "a").select(key, "na", "a", F.col("b"))
-    hits = large(partner).join(large(counts.select(key, F.col("a").alias("b"), F.col("na").alias("nb"))), [key, "b"])
-    same = F.when(F.col("a") == F.col("b"), F.col("na") * (F.col("na") - 1)).otherwise(F.col("na") * F.col("nb"))
-    found = hits.agg(F.coalesce(F.sum(same) / 2, F.lit(0.0)).alias("hit"))
-    return side_by_side(sizes, found).select(_div(F.col("hit"), F.coalesce(F.col("all"), F.lit(0.0))).alias("ddi_rate"))
+    known = F.col("a").isNotNull() & F.col("b").isNotNull()
+    apart = cut_lineage(pairs.where(known).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    few = apart.count() <= SENT_PAIRS
+    sized = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    size = sized.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("all"), F.max("n").alias("longest")).first()
+    named = rows.where(F.col(key).isNotNull() & F.col(drug).isNotNull()).select(key, F.col(drug).alias("a"))
+    crowded = (size["longest"] or 0) > LIST_ROWS
+    long = sized.where(F.col("n") > LIST_ROWS).select(key)
+    short = named.join(long, key, "left_anti") if crowded else named
+    lists = short.groupBy(key).agg(F.sort_array(F.collect_list("a")).alias("x")).where(F.size("x") > 1)
+    own = lists.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("b"))
+    if few:
+        listed = own.join(F.broadcast(apart), ["a", "b"]).agg(F.count(F.lit(1)).cast("double").alias("hit"))
+    else:
+        listed = large(own.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))).join(large(apart), ["a", "b"]).agg(F.coalesce(F.sum("w"), F.lit(0)).cast("double").alias("hit"))
+    if crowded:
+        both = apart.union(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        counts = named.join(long, key, "left_semi").groupBy(key, "a").agg(F.count(F.lit(1)).alias("na"))
+        partner = counts.join(both, "a").select(key, "na", "a", F.col("b"))
+        hits = large(partner).join(large(counts.select(key, F.col("a").alias("b"), F.col("na").alias("nb"))), [key, "b"])
+        same = F.when(F.col("a") == F.col("b"), F.col("na") * (F.col("na") - 1)).otherwise(F.col("na") * F.col("nb"))
+        listed = listed.union(hits.agg(F.coalesce(F.sum(same) / 2, F.lit(0.0)).alias("hit")))
+    return listed.agg(F.sum("hit").alias("hit")).select(_div(F.col("hit"), F.lit(float(size["all"] or 0.0))).alias("ddi_rate"))
 
 
 def retrieval_scores(results: DataFrame, qrels: DataFrame, ks: Sequence[int], query: str = "query_id", doc: str = "doc_id") -> DataFrame:
