@@ -329,3 +329,16 @@ def test_interaction_rate_lists_short_samples_and_joins_long_ones(spark, monkeyp
         monkeypatch.setattr(metrics, "LIST_ROWS", listed)
         monkeypatch.setattr(metrics, "SENT_PAIRS", sent)
         assert abs(metrics.interaction_rate(rows, pairs).first()[0] - want) < 1e-12
+
+
+def test_tokens_are_looked_up_without_a_shuffle_of_words(spark, monkeypatch):
+    table = en.token_table(spark, ["x", "y"])
+    df = spark.createDataFrame([(1, "p", ["x", "q", None, "y"]), (2, "p", []), (3, "p", None), (4, "r", ["y"])], "id long, b string, w array<string>")
+    want = {1: ([2, 1, 1, 3], ["x", "<unk>", "<unk>", "y"]), 2: ([0] * 4, []), 3: ([0] * 4, []), 4: ([3], ["y"])}
+    for sent in (200_000, 1):
+        monkeypatch.setattr(en, "SENT_TOKENS", sent)
+        enc = en.encode_tokens(df, "id", "w", table, "b", 10)
+        back = {r["id"]: r["w"] for r in en.decode_tokens(enc, "id", "w", table).collect()}
+        assert {r["id"]: (r["w"], back[r["id"]]) for r in enc.collect()} == want
+        plan = en.decode_tokens(enc, "id", "w", table)._jdf.queryExecution().executedPlan().toString()
+        assert ("Generate" in plan) == (sent == 1)

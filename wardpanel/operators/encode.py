@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,13 +258,52 @@ def pad_batch(df: DataFrame, col: str, batch: str, fill: Column) -> DataFrame:
     return df.join(batch_length(df, [batch], F.size(col)), batch).withColumn(col, pad(F.col(col), F.col("__len"), fill)).drop("__len")
 
 
+#: Tokens of a table, and batches, that are sent to all tasks; larger ones are joined.
+SENT_TOKENS, SENT_BATCHES = 200_000, 100_000
+
+
+def _look_up(keys: Sequence, values: Sequence, kind: pa.DataType, other, type_name: str):
+    """Column function: each element of an array replaced by its value; other elements become `other`, or are left out if that is None."""
+    places, found = pa.array(keys, type=pa.string() if kind == pa.int64() else pa.int64()), pa.array(values, type=kind)
+
+    def swap(column: pa.Array) -> pa.Array:
+        flat = column.flatten()
+        at = pc.index_in(flat, value_set=places)
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        out = found.take(at)
+        if other is not None:
+            out = out.fill_null(other)
+        else:
+            held = pc.is_valid(at)
+            ends = np.concatenate([[0], np.cumsum(held.to_numpy(zero_copy_only=False))])
+            sizes, out = np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])]), out.filter(held)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32()), out)
+
+    swap.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(swap, type_name).asNondeterministic()  # one evaluation per row
+
+
+def _sent(table: DataFrame) -> list | None:
+    """The rows (token, id), or None when there are too many to send."""
+    rows = table.select("token", "id").limit(SENT_TOKENS + 1).collect()
+    return rows if len(rows) <= SENT_TOKENS else None
+
+
 def encode_tokens(df: DataFrame, key: str, col: str, table: DataFrame, batch: str, max_length: int = 512) -> DataFrame:
     """Token arrays to ids: the last `max_length` tokens, padded to the longest of the batch; needs <pad> and <unk> in the table."""
     cut = df.withColumn(col, keep_last(F.col(col), max_length))
     ids = {r["token"]: r["id"] for r in table.where(F.col("token").isin(*SPECIALS)).collect()}
-    leaves = explode_levels(cut, [key], col, 1, outer=True).join(_codes(table), "token", "left")
-    coded = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", F.coalesce("__id", F.lit(ids["<unk>"])).alias("__id"))))), lambda r: r["__id"]).alias("__ids"))
-    return pad_batch(cut.drop(col).join(large(coded.withColumnRenamed("__ids", col)), key), col, batch, F.lit(ids["<pad>"]).cast("bigint"))
+    known = _sent(table)
+    if known is None:
+        leaves = explode_levels(cut, [key], col, 1, outer=True).join(_codes(table), "token", "left")
+        coded = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i1").isNotNull(), F.struct("i1", F.coalesce("__id", F.lit(ids["<unk>"])).alias("__id"))))), lambda r: r["__id"]).alias("__ids"))
+        return pad_batch(cut.drop(col).join(large(coded.withColumnRenamed("__ids", col)), key), col, batch, F.lit(ids["<pad>"]).cast("bigint"))
+    lengths = batch_length(cut, [batch], F.coalesce(F.size(col), F.lit(0)))
+    few = lengths.limit(SENT_BATCHES + 1).collect()
+    lengths = F.broadcast(df.sparkSession.createDataFrame(few, lengths.schema)) if len(few) <= SENT_BATCHES else lengths
+    code = _look_up([r["token"] for r in known], [r["id"] for r in known], pa.int64(), ids["<unk>"], "array<bigint>")
+    coded = cut.join(lengths, batch).withColumn(col, code(F.col(col)))
+    return coded.withColumn(col, pad(F.col(col), F.col("__len"), F.lit(ids["<pad>"]).cast("bigint"))).drop("__len")
 
 
 def encode_tokens_nested(df: DataFrame, key: str, col: str, table: DataFrame, batch: str, max_outer: int = 10, max_inner: int = 512) -> DataFrame:
@@ -281,9 +323,17 @@ def encode_tokens_nested(df: DataFrame, key: str, col: str, table: DataFrame, ba
 
 def decode_tokens(df: DataFrame, key: str, col: str, table: DataFrame) -> DataFrame:
     """Ids back to tokens, padding removed."""
-    leaves = explode_levels(df, [key], col, 1).withColumnRenamed("token", "__id").join(_codes(table), "__id").where(F.col("token") != "<pad>")
-    out = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i1", "token"))), lambda r: r["token"]).alias(col))
-    return df.drop(col).join(large(out), key, "left").withColumn(col, F.coalesce(col, F.array().cast("array<string>")))
+    known = _sent(table)
+    if known is None:
+        leaves = explode_levels(df, [key], col, 1).withColumnRenamed("token", "__id").join(_codes(table), "__id").where(F.col("token") != "<pad>")
+        out = leaves.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i1", "token"))), lambda r: r["token"]).alias(col))
+        return df.drop(col).join(large(out), key, "left").withColumn(col, F.coalesce(col, F.array().cast("array<string>")))
+    bare = F.coalesce(F.col(col), F.array().cast("array<bigint>"))
+    for r in known:  # the padding goes before the ids leave Spark
+        bare = F.array_remove(bare, F.lit(r["id"]).cast("bigint")) if r["token"] == "<pad>" else bare
+    kept = [r for r in known if r["token"] != "<pad>"]
+    back = _look_up([r["id"] for r in kept], [r["token"] for r in kept], pa.string(), None, "array<string>")
+    return df.withColumn(col, back(bare))
 
 
 def record_index(samples: DataFrame, by: str, position: str) -> DataFrame:
