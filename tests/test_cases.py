@@ -342,3 +342,16 @@ def test_tokens_are_looked_up_without_a_shuffle_of_words(spark, monkeypatch):
         assert {r["id"]: (r["w"], back[r["id"]]) for r in enc.collect()} == want
         plan = en.decode_tokens(enc, "id", "w", table)._jdf.queryExecution().executedPlan().toString()
         assert ("Generate" in plan) == (sent == 1)
+
+
+def test_privacy_labels_are_packed_note_by_note():
+    import pyarrow as pa
+
+    from wardpanel.operators import retrieve
+
+    notes = [f"note {i} to me@x.org" if i % 3 else None for i in range(2 * retrieve.TAG_NOTES + 5)]
+    tagged = [n and n.replace("me@x.org", "[**Email**]") for n in notes]
+    out = retrieve._tag_notes(pa.array(notes), pa.array(tagged))
+    assert isinstance(out, pa.Array) and len(out) == len(notes)
+    assert [len(w) for w in out.to_pylist()] == [4 if n else 0 for n in notes]
+    assert out[1].as_py()[3] == {"word": "me@x.org", "label": "B-CONTACT"}
