@@ -355,3 +355,9 @@ def test_privacy_labels_are_packed_note_by_note():
     assert isinstance(out, pa.Array) and len(out) == len(notes)
     assert [len(w) for w in out.to_pylist()] == [4 if n else 0 for n in notes]
     assert out[1].as_py()[3] == {"word": "me@x.org", "label": "B-CONTACT"}
+
+
+def test_kernel_sums_copy_rows_a_fixed_number_of_times(spark):
+    from wardpanel.operators import blocks
+
+    assert blocks._count_blocks(spark.range(20_000), 1) <= 8

@@ -1,27 +1,26 @@
 """All-against-all numeric work (kernel sums) in bounded blocks.
 
-Both sides are cut into blocks by id hash; one task sees one block of each and returns only partial
-results per point (its best k, or sums).  No pair rows are produced and nothing passes through the driver.
+Both sides are cut into blocks of an eighth of their rows by id hash, so each row is copied a fixed number of times; one task sees
+one block of each, in tiles, and returns only partial results per point (its best k, or sums).  No pair rows are produced and nothing
+passes through the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardpanel.operators.neighbours import nearest
-
-BLOCK_ROWS = 2048
+from wardpanel.operators.neighbours import TILE_CELLS, block_rows, nearest
 
 
 def _count_blocks(df: DataFrame, least: int) -> int:
     n = df.count()
-    return max(1, math.ceil(n / BLOCK_ROWS), min(least, n // 64))
+    return max(1, math.ceil(n / block_rows(n)), min(least, n // 64))
 
 
 def block_map(points: DataFrame, reference: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, key: str = "id", ref_key: str = "ref_id") -> DataFrame:
@@ -49,6 +48,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def _tiles(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of x in stretches whose table against y has at most `TILE_CELLS` cells."""
+    step = max(1, TILE_CELLS // max(1, len(y)))
+    return (x[i : i + step] for i in range(0, len(x), step))
+
+
 def similar_above(points: DataFrame, reference: DataFrame, k: int, threshold: float, strict: bool = True) -> DataFrame:
     """Top k by cosine among those above (or at) the threshold."""
     best = nearest(points, reference, k)
@@ -60,8 +65,8 @@ def kernel_density(points: DataFrame, reference: DataFrame, bandwidth: float) ->
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         x, y = _matrix(a["vector"]), _matrix(b["vector"])
-        k = np.exp(-_distances(x, y) / (x.shape[1] * bandwidth))
-        return pd.DataFrame({"id": a["id"].to_numpy(), "s": k.sum(1), "n": np.full(len(x), len(y))})
+        s = np.concatenate([np.exp(-_distances(t, y) / (x.shape[1] * bandwidth)).sum(1) for t in _tiles(x, y)])
+        return pd.DataFrame({"id": a["id"].to_numpy(), "s": s, "n": np.full(len(x), len(y))})
 
     part = block_map(points.select("id", "vector"), reference.select("ref_id", "vector"), sums, "id bigint, s double, n bigint")
     return part.groupBy("id").agg((F.sum("s") / F.sum("n")).alias("density"))
@@ -72,11 +77,13 @@ def kernel_vote(points: DataFrame, reference: DataFrame, classes: int, bandwidth
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         x, y = _matrix(a["vector"]), _matrix(b["vector"])
-        k = np.exp(-_distances(x, y) / (x.shape[1] * bandwidth))
-        if drop_self:
-            k = np.where(k < 1.0 - eps, k, 0.0)
         hot = np.eye(classes)[b["y"].to_numpy().astype(int)]
-        votes = k @ hot
+
+        def vote(t: np.ndarray) -> np.ndarray:
+            k = np.exp(-_distances(t, y) / (x.shape[1] * bandwidth))
+            return (np.where(k < 1.0 - eps, k, 0.0) if drop_self else k) @ hot
+
+        votes = np.concatenate([vote(t) for t in _tiles(x, y)])
         return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), classes), "k": np.tile(np.arange(classes), len(x)), "v": votes.ravel()})
 
     part = block_map(points.select("id", "vector"), reference.select("ref_id", "vector", "y"), sums, "id bigint, k int, v double")
