@@ -361,3 +361,17 @@ def test_kernel_sums_copy_rows_a_fixed_number_of_times(spark):
     from wardpanel.operators import blocks
 
     assert blocks._count_blocks(spark.range(20_000), 1) <= 8
+
+
+def test_grams_are_counted_inside_the_row(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(rt, "GRAM_PAIRS", 3)
+    texts = [("a b a b c", "a b c a b"), ("", "a"), ("x", "x"), (None, "a b"), ("a a a a", "a a"), ("a b", None), ("c d e f", "f e d c"), ("p q r s t", "q r s t")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(texts)], "id long, a string, b string").coalesce(1)
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    out = rt.gram_overlaps(df, "id", words(F.col("a")), words(F.col("b")), range(1, 5))
+    got = {(r["id"], r["n"]): (r["overlap"], r["in_a"], r["in_b"]) for r in out.collect()}
+    grams = lambda t, n: Counter(tuple(w[i : i + n]) for w in [(t or "").split()] for i in range(len(w) - n + 1))
+    want = {(i, n): ((x & y).total(), x.total(), y.total()) for i, (a, b) in enumerate(texts) for n in range(1, 5) for x, y in [(grams(a, n), grams(b, n))]}
+    assert got == want
