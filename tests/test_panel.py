@@ -132,3 +132,25 @@ def test_weighted_means_over_a_long_gap(spark):
     span = lambda n: x.ewm(span=n, min_periods=1).mean()
     for name, want in {"e": span(5), "s": x.ewm(alpha=2 / 7).mean(), "m": span(12) - span(26)}.items():
         np.testing.assert_allclose(got[name].to_numpy(float), want.to_numpy(), rtol=1e-9, atol=1e-12)
+
+
+def test_wide_sets_sort_the_series_once(spark):
+    """All windows and statistics of a set share one shuffle, and rows that only later steps need do not travel."""
+    from wardpanel.operators import catalogue
+
+    columns = "instrument long, datetime date, open double, high double, low double, close double, volume double, vwap double"
+    panel = spark.createDataFrame([(i, pd.Timestamp("2024-01-01").date(), 1.0, 2.0, 0.5, 1.5, 9.0, 1.2) for i in range(3)], columns)
+    for factors in (catalogue.set_158(), catalogue.set_multi(), catalogue.set_20()):
+        plan = p.evaluate(panel, factors)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(instrument") == 1 and plan.count("Exchange ") == 1
+
+
+def test_statistics_of_statistics_keep_what_is_shown(spark, frame, data):
+    """A statistic that others are built on stays when it is a factor itself, and goes when it is not."""
+    first = p.ts_median("y", 4)
+    got = p.evaluate(frame, {"m": first, "mm": p.ts_median(first, 3), "q": p.ts_mean(p.ts_median("y", 5), 3)}).toPandas().sort_values(["instrument", "datetime"])
+    m = roll(data, lambda s: s.rolling(4, min_periods=1).median(), "y")
+    mm = roll(data.assign(z=m), lambda s: s.rolling(3, min_periods=1).median(), "z")
+    q = roll(data.assign(z=roll(data, lambda s: s.rolling(5, min_periods=1).median(), "y")), lambda s: s.rolling(3, min_periods=1).mean(), "z")
+    for name, want in (("m", m), ("mm", mm), ("q", q)):
+        np.testing.assert_allclose(got[name].to_numpy(), want.to_numpy(), rtol=1e-12)
