@@ -99,3 +99,25 @@ def test_scores_classes_and_missing_values(spark):
         bo.fit_trees(named.where("y = 'low'"), ["a"], "y")
     with pytest.raises(ValueError):
         bo.fit_trees(df.limit(0), ["a"], "y", "regression")
+
+
+def test_leaves_by_bit_sets_are_those_of_the_walk():
+    rng = np.random.default_rng(3)
+    for splits in (0, 1, 30, 63, 90):
+        tree = bo.Tree()
+        for _ in range(splits):
+            ends = [n for n, f in enumerate(tree.feature) if f < 0]
+            tree.split(int(rng.choice(ends)), int(rng.integers(4)), int(rng.integers(1, 256)), bool(rng.integers(2)))
+        bins = rng.integers(0, 256, (5_000, 4)).astype(np.uint8)
+        np.testing.assert_array_equal(tree.leaves(bins), tree.walk(bins))
+
+
+def test_state_is_kept_in_blocks(spark, monkeypatch):
+    _, _, df = table(spark, "multi", 900, 5)
+    sizes, cut = [], bo.cut_lineage
+    monkeypatch.setattr(bo, "cut_lineage", lambda d: sizes.append((out := cut(d)).count()) or out)
+    one = bo.fit_trees(df.repartition(3), ["a", "b", "c"], "y", rounds=12, leaves=6)
+    assert sizes == [3, 3]
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 1)
+    two = bo.fit_trees(df.repartition(7), ["a", "b", "c"], "y", rounds=12, leaves=6)
+    assert one.losses == two.losses and one.trees == two.trees

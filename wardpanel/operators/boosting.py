@@ -5,7 +5,8 @@ Features are cut into at most 255 bins, bin 0 for missing values.  A task adds t
 leaves x features x classes rows at a time.  The leaf with the largest gain is split first.  Its children are needed before the
 next choice, so a pass over the rows also prepares the children of the other leaves that can still be split: a tree takes about as
 many passes as it is deep, and is the same as if grown one split at a time.  Gradients are added as whole numbers of a fixed unit,
-so a model does not depend on the partitioning of the rows.
+so a model does not depend on the partitioning of the rows.  The state of the rows is kept in blocks of arrays, feature after feature,
+and the leaf of a row is found by bit sets, one look-up per feature, so a pass makes no object per row and follows no branches.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ MAX_CLASSES = 200
 UNIT = float(1 << 24)
 #: Scores of the rows are written again after this many rounds; the trees since then are applied while reading.
 KEEP_ROUNDS = 10
+#: Rows of a block of the state.
+BLOCK_ROWS = 1 << 16
 
 
 @dataclass
@@ -48,7 +51,42 @@ class Tree:
         self.left[node], self.right[node] = pair
         return pair
 
+    def bit_sets(self) -> tuple[list[int], dict[int, np.ndarray]]:
+        """The leaves from left to right, and per feature and bin the set of the leaves (bits) that a row with this bin can reach."""
+        ends: list[int] = []
+        sets: dict[int, np.ndarray] = {}
+
+        def below(node: int) -> int:
+            f = self.feature[node]
+            if f < 0:
+                ends.append(node)
+                return 1 << (len(ends) - 1)
+            left, right = below(self.left[node]), below(self.right[node])
+            to_left = np.arange(BINS) <= self.bin[node]
+            to_left[0] = self.missing_left[node]
+            sets[f] = sets.get(f, np.full(BINS, (1 << 64) - 1, dtype=np.uint64)) & ~np.where(to_left, np.uint64(right), np.uint64(left))
+            return left | right
+
+        below(0)
+        return ends, sets
+
     def leaves(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of each row: the only one that no split on the row's bins rules out."""
+        if self.feature.count(-1) > 64:
+            return self.walk(bins)
+        ends, sets = self.bit_sets()
+        if len(ends) == 1:
+            return np.zeros(len(bins), dtype=np.int64)
+        left = None
+        for f, reach in sets.items():
+            part = reach.take(bins[:, f])
+            left = part if left is None else np.bitwise_and(left, part, out=left)
+        if len(ends) < 64:
+            left &= np.uint64((1 << len(ends)) - 1)
+        return np.array(ends)[np.bitwise_count(left - np.uint64(1))]
+
+    def walk(self, bins: np.ndarray) -> np.ndarray:
+        """As `leaves`, from split to split; for trees of any size."""
         feature, cut, lost = np.array(self.feature), np.array(self.bin), np.array(self.missing_left)
         left, right = np.array(self.left), np.array(self.right)
         at, rows = np.zeros(len(bins), dtype=np.int64), np.arange(len(bins))
@@ -147,6 +185,15 @@ def _best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, least: int, penalty
     return best
 
 
+#: A block of rows: bins of one feature after the other, targets, weights, marks of the held-out rows, and the scores row after row.
+STATE = "b binary, y binary, w binary, v binary, f binary"
+
+
+def _arrays(block, width: int, scores: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    bins = np.frombuffer(block.b, dtype=np.uint8).reshape(width, -1).T
+    return bins, np.frombuffer(block.y), np.frombuffer(block.w), np.frombuffer(block.v, dtype=bool), np.frombuffer(block.f).reshape(-1, scores)
+
+
 SPLITS = "tree int, node int, feature int, gain double, bin int, missing_left boolean, left array<double>, right array<double>, total array<double>"
 
 
@@ -159,26 +206,24 @@ def _pass(state: DataFrame, model: BoostedModel, pending: list[list[Tree]], tree
         sums = {k: np.zeros((len(nodes), width, 3, BINS), dtype=np.int64) for k, nodes in slot.items() if nodes}
         held = np.zeros(3, dtype=np.int64)
         for frame in batches:
-            if not len(frame):
-                continue
-            bins = np.frombuffer(b"".join(frame["b"]), dtype=np.uint8).reshape(-1, width)
-            raw = model.raw(bins, pending, np.frombuffer(b"".join(frame["f"]), dtype=np.float64).reshape(-1, scores))
-            y, w, out = frame["y"].to_numpy(), frame["w"].to_numpy(), frame["v"].to_numpy(dtype=bool)
-            g, h, loss = _gradients(kind, raw, y, w)
-            held += np.array([np.rint(loss[out] * UNIT).sum(), np.rint(w[out] * UNIT).sum(), out.sum()], dtype=np.int64)
-            learn = ~out
-            for k, total in sums.items():
-                place = np.full(len(trees[k].feature), -1)
-                for node, i in slot[k].items():
-                    place[node] = i
-                at = place[trees[k].leaves(bins)]
-                used = learn & (at >= 0)
-                at, own = at[used], bins[used]
-                parts = np.rint(g[used, k] / units[0]), np.rint(h[used, k] / units[1]), None
-                for f in range(width):
-                    cell = at * BINS + own[:, f]
-                    for j, part in enumerate(parts):
-                        total[:, f, j] += np.bincount(cell, part, minlength=len(slot[k]) * BINS).astype(np.int64).reshape(-1, BINS)
+            for block in frame.itertuples(index=False):
+                bins, y, w, out, raw = _arrays(block, width, scores)
+                raw = model.raw(bins, pending, raw)
+                g, h, loss = _gradients(kind, raw, y, w)
+                held += np.array([np.rint(loss[out] * UNIT).sum(), np.rint(w[out] * UNIT).sum(), out.sum()], dtype=np.int64)
+                learn = ~out
+                for k, total in sums.items():
+                    place = np.full(len(trees[k].feature), -1)
+                    for node, i in slot[k].items():
+                        place[node] = i
+                    at = place[trees[k].leaves(bins)]
+                    used = np.flatnonzero(learn & (at >= 0))
+                    first = at[used] * BINS
+                    parts = np.rint(g[used, k] / units[0]), np.rint(h[used, k] / units[1]), None
+                    for f in range(width):
+                        cell = first + bins[:, f].take(used)
+                        for j, part in enumerate(parts):
+                            total[:, f, j] += np.bincount(cell, part, minlength=len(slot[k]) * BINS).astype(np.int64).reshape(-1, BINS)
         rows = [(k, node, f, total[i, f].tobytes()) for k, total in sums.items() for node, i in slot[k].items() for f in range(width)]
         yield pd.DataFrame([*rows, (-1, 0, 0, held.tobytes())], columns=["tree", "node", "feature", "sums"])
 
@@ -302,13 +347,24 @@ def fit_trees(
     units, width = (top[0] / UNIT, top[1] / UNIT), len(features)
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = base.astype(np.float64).tobytes()
-        for frame in batches:
-            x = frame[[f"x{i}" for i in range(width)]].to_numpy(dtype=np.float64)
-            yield pd.DataFrame({"b": [r.tobytes() for r in model.bin(x)], "f": [first] * len(x), "y": frame["t"], "w": frame["w"], "v": frame["v"]})
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def block() -> pd.DataFrame:
+            bins, y, w, v = (np.concatenate(part) for part in zip(*held))
+            held.clear()
+            start = np.tile(base.astype(np.float64), (len(y), 1))
+            return pd.DataFrame({"b": [np.ascontiguousarray(bins.T).tobytes()], "y": [y.tobytes()], "w": [w.tobytes()], "v": [v.tobytes()], "f": [start.tobytes()]})
 
-    shape = "b binary, f binary, y double, w double, v boolean"
-    state = cut_lineage(rows.select(*[f"x{i}" for i in range(width)], target.alias("t"), weight.alias("w"), out.alias("v")).mapInPandas(binned, shape))
+        for frame in batches:
+            if len(frame):
+                x = frame[[f"x{i}" for i in range(width)]].to_numpy(dtype=np.float64)
+                held.append((model.bin(x), frame["t"].to_numpy(dtype=np.float64), frame["w"].to_numpy(dtype=np.float64), frame["v"].to_numpy(dtype=bool)))
+                if sum(len(part[1]) for part in held) >= BLOCK_ROWS:
+                    yield block()
+        if held:
+            yield block()
+
+    state = cut_lineage(rows.select(*[f"x{i}" for i in range(width)], target.alias("t"), weight.alias("w"), out.alias("v")).mapInPandas(binned, STATE))
     pending: list[list[Tree]] = []
     while len(model.trees) < rounds:
         growing = [_Growth(leaves, least) for _ in base]
@@ -330,7 +386,7 @@ def fit_trees(
         model.trees.append(made)
         pending.append(made)
         if len(pending) == KEEP_ROUNDS and len(model.trees) < rounds:
-            state = cut_lineage(state.mapInPandas(_rescore(model, list(pending)), shape))
+            state = cut_lineage(state.mapInPandas(_rescore(model, list(pending)), STATE))
             pending = []
     return model
 
@@ -341,9 +397,7 @@ def _rescore(model: BoostedModel, rounds: list[list[Tree]]):
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            if len(frame):
-                bins = np.frombuffer(b"".join(frame["b"]), dtype=np.uint8).reshape(-1, width)
-                raw = model.raw(bins, rounds, np.frombuffer(b"".join(frame["f"]), dtype=np.float64).reshape(-1, scores))
-                yield frame.assign(f=[r.tobytes() for r in raw])
+            blocks = (_arrays(block, width, scores) for block in frame.itertuples(index=False))
+            yield frame.assign(f=[model.raw(bins, rounds, raw).tobytes() for bins, _, _, _, raw in blocks])
 
     return step
