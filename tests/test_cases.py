@@ -375,3 +375,18 @@ def test_grams_are_counted_inside_the_row(spark, monkeypatch):
     grams = lambda t, n: Counter(tuple(w[i : i + n]) for w in [(t or "").split()] for i in range(len(w) - n + 1))
     want = {(i, n): ((x & y).total(), x.total(), y.total()) for i, (a, b) in enumerate(texts) for n in range(1, 5) for x, y in [(grams(a, n), grams(b, n))]}
     assert got == want
+
+
+def test_floats_are_filled_inside_the_row(spark):
+    rows = [(1, [["1", None, "x"], [], ["nan", "5"]]), (2, [[], None, [None, "2"]]), (3, None), (4, []), (5, [["9", "8", "7", "6"]])]
+    flat = spark.createDataFrame(rows, "id int, x array<array<string>>")
+    got = en.encode_floats(flat, "id", "x", [3])
+    nan = float("nan")
+    want = {1: [[1, 1, 1], [1, 1, 1], [1, 5, 5]], 2: [[0, 0, 0], [0, 0, 0], [0, 2, 0]], 3: [[nan] * 3], 4: [[nan] * 3], 5: [[9, 8, 7]]}
+    assert str({r["id"]: r["x"] for r in got.collect()}) == str({k: [[float(v) for v in a] for a in rows] for k, rows in want.items()})
+    deep = spark.createDataFrame([(1, [[[1.0], None], None, [], [[None, 4.0], [2.0], [3.0]]]), (2, [[]]), (3, None)], "id int, x array<array<array<double>>>")
+    out = en.encode_floats(deep, "id", "x", [2, 2])
+    want = {1: [[[1, 1], [1, 1]], [[0, 4], [2, 4]]], 2: [[[nan, nan]]], 3: [[[nan, nan]]]}
+    assert str({r["id"]: r["x"] for r in out.collect()}) == str({k: [[[float(v) for v in a] for a in m] for m in rows] for k, rows in want.items()})
+    for made in (got, out):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()

@@ -133,38 +133,85 @@ def _fill(rows: DataFrame, by: Sequence[str], order: str, value: str) -> Column:
     return F.last(value, ignorenulls=True).over(w)
 
 
+#: Cells of the grid that one task fills at a time.
+GRID_CELLS = 1 << 20
+
+
+def _grid(column: pa.Array, width: int, forward_fill: bool) -> pa.Array:
+    """Lists of lists of doubles: each inner list cut or padded to the width, missing cells filled within the outer list."""
+    per_list, inner = _sizes(column), column.flatten()
+    lengths, cells = _sizes(inner), inner.flatten().to_numpy(zero_copy_only=False)
+    n = len(inner)
+    rows, spot = np.repeat(np.arange(n), lengths), np.arange(len(cells)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    grid = np.full((n, width), np.nan)
+    grid[rows[spot < width], spot[spot < width]] = cells[spot < width]
+    if forward_fill:
+        at, start = np.arange(n), np.repeat(np.cumsum(per_list) - per_list, per_list)
+        unseen = np.maximum.accumulate(np.where(lengths > 0, at, -1)) < start
+        grid[unseen & (lengths == 0)] = 0.0
+        above = np.maximum.accumulate(np.where(np.isnan(grid), -1, at[:, None]), axis=0)
+        grid = np.where(above >= start[:, None], np.take_along_axis(grid, np.maximum(above, 0), axis=0), np.nan)
+        before = np.maximum.accumulate(np.where(np.isnan(grid), 0, np.arange(width)), axis=1)
+        grid = np.take_along_axis(grid, before, axis=1)
+    grid = np.nan_to_num(grid, nan=0.0, posinf=np.inf, neginf=-np.inf)
+    filled = pa.ListArray.from_arrays(_ends(np.full(n, width)), pa.array(grid.ravel()))
+    return pa.ListArray.from_arrays(_ends(per_list), filled)
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ends(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32())
+
+
+def _filled(lengths: Sequence[int], forward_fill: bool):
+    """Column function of `_grid`; of three levels each middle list is padded and filled by itself, and empty middle lists are left out."""
+    deep, width = len(lengths) == 2, lengths[-1]
+
+    def fill(column: pa.Array) -> pa.Array:
+        lists = column
+        if deep:
+            middle = column.flatten()
+            sizes = _sizes(middle)
+            owner = np.repeat(np.arange(len(column)), _sizes(column))[sizes > 0]
+            starts, sizes = (np.cumsum(sizes) - sizes)[sizes > 0], sizes[sizes > 0]
+            spot = np.arange(lengths[0])
+            rows = middle.flatten().take(pa.array((starts[:, None] + spot).ravel(), mask=(spot >= sizes[:, None]).ravel()))
+            lists = pa.ListArray.from_arrays(_ends(np.full(len(sizes), lengths[0])), rows)
+        ends = np.cumsum(_sizes(lists)) * width
+        cuts = [0]  # parts of about GRID_CELLS cells, one list at least
+        while cuts[-1] < len(lists):
+            reached = ends[cuts[-1] - 1] if cuts[-1] else 0
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, reached + GRID_CELLS, side="right"))))
+        parts = [_grid(lists.slice(i, j - i), width, forward_fill) for i, j in zip(cuts, cuts[1:])]
+        out = pa.concat_arrays(parts) if parts else _grid(lists, width, forward_fill)
+        return pa.ListArray.from_arrays(_ends(np.bincount(owner, minlength=len(column))), out) if deep else out
+
+    fill.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    levels = len(lengths) + 1
+    return F.arrow_udf(fill, "array<" * levels + "double" + ">" * levels).asNondeterministic()  # one evaluation per row
+
+
+def to_doubles(col: Column, depth: int) -> Column:
+    """Numbers of nested arrays as doubles; bad text is missing."""
+    return F.transform(col, lambda x: to_doubles(x, depth - 1)) if depth else col.cast("string").try_cast("double")
+
+
 def encode_floats(df: DataFrame, key: str, col: str, lengths: Sequence[int], forward_fill: bool = True) -> DataFrame:
-    """Arrays of float arrays (2 or 3 levels) to padded, filled arrays.
+    """Arrays of float arrays (2 or 3 levels) to padded, filled arrays, row by row.
 
     With filling: an empty list repeats the previous one (zeros when there is none), a missing cell takes the last value of its
     position, then of its row, then 0.  Without: missing is 0.  Bad text counts as missing.
     """
-    depth = _depth(df, col)
-    width, group = lengths[-1], [key] if depth == 2 else [key, "i1"]
-    row = f"i{depth - 1}"
-    base = explode_levels(df, [key], col, depth - 1, outer=True).where(F.col(row).isNotNull())
-    if depth == 3:
-        sizes = base.select(key, "i1").distinct().withColumn("i2", F.explode(F.sequence(F.lit(0), F.lit(lengths[0] - 1))))
-        base = sizes.join(large(base), [key, "i1", "i2"], "left")
-    empty = F.coalesce(F.size("token"), F.lit(0)) <= 0
-    spot = [*group, row]
-    cells = base.select(*spot, empty.alias("__empty"), F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.get("token", j).cast("string").try_cast("double"))).alias("j", "v"))
-    cells = cells.withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
-    if forward_fill:
-        w = Window.partitionBy(*group, "j").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-        seen = F.max(F.when(~F.col("__empty"), 1)).over(w)
-        cells = cells.withColumn("v", F.when(F.col("__empty") & seen.isNull(), F.lit(0.0)).otherwise(F.col("v")))
-        cells = cells.withColumn("v", _fill(cells, [*group, "j"], row, "v"))
-        cells = cells.withColumn("v", _fill(cells, spot, "j", "v"))
-    cells = cells.withColumn("v", F.coalesce("v", F.lit(0.0)))
-    level = cells.groupBy(*spot).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda r: r["v"]).alias("__row"))
-    for d in range(depth - 1, 0, -1):
-        keys = [key, *[f"i{k}" for k in range(1, d)]]
-        level = level.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(f"i{d}", "__row"))), lambda r: r["__row"]).alias("__row"))
+    depth, width = _depth(df, col), lengths[-1]
+    lists = to_doubles(F.col(col), depth)
     blank = F.array_repeat(F.lit(float("nan") if forward_fill else 0.0), width)
     blank = F.array(blank) if depth == 2 else F.array(F.array(blank))
-    return df.drop(col).join(large(level), key, "left").withColumn(col, F.coalesce("__row", blank)).drop("__row")
+    out = df.withColumn("__row", _filled(lengths[-depth + 1 :], forward_fill)(lists))
+    rest = [c for c in df.columns if c not in (key, col)]
+    return out.select(key, *rest, F.when(F.size("__row") > 0, F.col("__row")).otherwise(blank).alias(col))
 
 
 def fill_steps(df: DataFrame, key: str, col: str) -> DataFrame:
