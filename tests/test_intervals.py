@@ -35,3 +35,17 @@ def test_events_of_short_and_long_visits(spark):
     want = sorted((p, v, e) for p, v, s, t in visits if s for q, e, x in events if x and p == q and s <= x <= t)
     assert sorted((r.patient_id, r.visit_id, r.event) for r in got.collect()) == want
     assert len(want) > 500
+
+
+def test_few_visits_are_sent_as_a_list_and_many_by_cells(spark, monkeypatch):
+    from wardpanel.plans import jobs
+
+    at = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
+    visits = spark.createDataFrame([(p, v, at(v * 3), at(v * 3 + 4 + 40 * (v % 2))) for p in (1, 2) for v in range(9)], "patient_id long, visit_id long, start timestamp, end timestamp")
+    events = spark.createDataFrame([(p, e, at(e, 5 * (e % 3))) for p in (1, 2, 3) for e in range(70)], "patient_id long, event long, time timestamp")
+    listed = events_in_visits(visits, events)
+    assert "__level" not in listed._jdf.queryExecution().toString()
+    monkeypatch.setattr(jobs, "FEW_VISITS", 5)
+    cells = events_in_visits(visits, events)
+    assert "__level" in cells._jdf.queryExecution().toString() and listed.columns == cells.columns
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, cells.collect())) and listed.count() > 100

@@ -8,13 +8,15 @@ stored, item, value, seq.   The frames come from `cohort` for the shipped datase
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardpanel.functions import codes as cd
-from wardpanel.operators.order import neighbour
+from wardpanel.operators.order import group_rows, large, largest_group, neighbour
 from wardpanel.operators.stay import los_category
+from wardpanel.session import cut_lineage
 
 KINDS = ("conditions", "procedures", "drugs")
 VISIT_ORDER = ["start", "visit_id"]
@@ -113,6 +115,8 @@ def mortality_next(visits: DataFrame, codes: DataFrame, order: Sequence[str] = V
 
 #: Days per cell grow by this factor from one level to the next.
 GRAIN, LEVELS = 16, 4
+#: Visits of a patient that are sent as one list to the patient's events.
+FEW_VISITS = 256
 
 
 def cover_cells(first: Column, last: Column) -> Column:
@@ -139,13 +143,21 @@ def cover_cells(first: Column, last: Column) -> Column:
 def events_in_visits(visits: DataFrame, events: DataFrame, start: Column | str = "start", end: Column | str = "end", time: str = "time") -> DataFrame:
     """Events with start <= time <= end in the same patient.
 
-    A visit is covered by calendar cells of several grains, few whatever its length, and an event lies in one cell of each grain that
+    Where no patient has more than `FEW_VISITS` visits or very many events, each event meets the list of the patient's visits: events are
+    shuffled once, by patient, and the work that follows on a patient needs no other shuffle.  Otherwise a visit is covered by calendar cells of several grains, few whatever its length, and an event lies in one cell of each grain that
     occurs among the visits.  The join key is (patient, grain, cell), so a patient with very many events does not meet all of the
     patient's visits.
     """
     s, e = (F.col(c) if isinstance(c, str) else c for c in (start, end))
     day = lambda c: F.floor(micros(c) / 86400000000)
     spans = visits.withColumns({"__s": s, "__e": e}).where(F.col("__s") <= F.col("__e"))
+    if largest_group(spans, ["patient_id"]) <= FEW_VISITS and largest_group(events, ["patient_id"]) <= group_rows(events):
+        own = [c for c in visits.columns if c != "patient_id"]
+        lists = spans.groupBy("patient_id").agg(F.collect_list(F.struct("__s", "__e", *own)).alias("__v"))
+        met = events.drop(*own).join(large(lists), "patient_id")
+        rest = [c for c in events.columns if c not in visits.columns]
+        around = F.filter("__v", lambda v: (F.col(time) >= v["__s"]) & (F.col(time) <= v["__e"]))
+        return met.select("patient_id", *rest, F.explode(around).alias("__v")).select("patient_id", *[F.col(f"__v.{c}").alias(c) for c in own], *rest)
     spans = spans.withColumn("__at", F.explode(cover_cells(day(F.col("__s")), day(F.col("__e"))))).withColumns({"__level": F.col("__at.level"), "__cell": F.col("__at.cell")}).drop("__at")
     levels = spans.agg(F.collect_set("__level").alias("l")).scalar()  # at most LEVELS values
     cell = lambda n: F.floor(day(F.col(time)) / F.pow(F.lit(float(GRAIN)), n)).cast("bigint")
@@ -223,9 +235,12 @@ def lab_pivot(labs: DataFrame, by: Sequence[str], items: Sequence[str] = cd.LAB_
 
 def lab_vector_first(labs: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per (group, time): per category the value of the most preferred item present at that time."""
-    rows = labs.where(F.col("item").isin(cd.LAB_ITEMS)).withColumns({"__cat": _category_of(F.col("item"), "category"), "__pref": _category_of(F.col("item"), "pref")})
-    best = lambda c: F.min_by(F.struct("value"), F.when(F.col("__cat") == c, F.struct("__pref", "seq"))).getField("value")
-    return rows.groupBy(*by, "time").agg(F.array(*[best(c) for c in cd.LAB_CATEGORIES]).alias("values"))
+    spot = F.array_position(F.array(*[F.lit(i) for i in cd.LAB_ITEMS]), F.col("item")).cast("int") - 1  # items of a category lie together, preferred first
+    rows = labs.where(F.col("item").isin(cd.LAB_ITEMS)).groupBy(*by, "time").agg(F.sort_array(F.collect_list(F.struct(spot.alias("k"), "seq", "value"))).alias("__r"))
+    ends = [0, *accumulate(len(items) for items in cd.LAB_CATEGORIES.values())]
+    best = lambda c: F.get(F.filter("__r", lambda r: (r["k"] >= c["low"]) & (r["k"] < c["high"])), 0)["value"]
+    spans = F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in zip(ends, ends[1:])])
+    return rows.select(*by, "time", F.transform(spans, best).alias("values"))
 
 
 def lab_vector_mean(labs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -248,7 +263,8 @@ def in_hospital_mortality(visits: DataFrame, labs: DataFrame, hours: int = 48) -
 
 def _sequence(visits: DataFrame, codes: DataFrame) -> DataFrame:
     """Visits with hours since the previous one and the diagnosis + procedure codes."""
-    lists = code_lists(codes, kinds=("conditions", "procedures")).select("visit_id", F.concat("conditions", "procedures").alias("codes"))
+    kinds = ("conditions", "procedures")
+    lists = code_lists(codes.where(F.col("kind").isin(*kinds)), kinds=kinds).select("visit_id", F.concat("conditions", "procedures").alias("codes"))
     prev = neighbour(visits, ["patient_id"], VISIT_ORDER, {"__prev": F.col("start")}, -1)
     gap = F.coalesce(hours_between(F.col("__prev"), F.col("start")), F.lit(0.0))
     return prev.withColumn("gap_hours", gap).drop("__prev").join(lists, "visit_id", "left")
@@ -267,7 +283,11 @@ def patient_sequences(visits: DataFrame, codes: DataFrame, labs: DataFrame, adul
     Both parts must be present.  Ages that are not numbers drop the patient.
     """
     ok = visits if adult is None else visits.where(F.coalesce(adult, F.lit(False)))
-    ok = ok.where(F.col("end") >= F.col("start"))
+    ok = cut_lineage(ok.where(F.col("end") >= F.col("start")).select("patient_id", "visit_id", "start", "end", "died"))
+    return _patient_sequences(ok, codes, labs)
+
+
+def _patient_sequences(ok: DataFrame, codes: DataFrame, labs: DataFrame) -> DataFrame:
     seq = _sequence(ok, codes).where(F.size("codes") > 0)
     icd = _collect(seq, VISIT_ORDER, "codes", "gap_hours", "icd_codes")
     timed = labs.where(F.col("item").isin(cd.LAB_ITEMS)).drop("visit_id")
@@ -281,9 +301,10 @@ def patient_sequences(visits: DataFrame, codes: DataFrame, labs: DataFrame, adul
 
 def length_of_stay_sequences(visits: DataFrame, codes: DataFrame, labs: DataFrame, adult: Column | None = None) -> DataFrame:
     """As `patient_sequences`, with the stay category of the last visit as target."""
-    rows = patient_sequences(visits, codes, labs, adult).drop("mortality")
     ok = visits if adult is None else visits.where(F.coalesce(adult, F.lit(False)))
-    last = ok.where(F.col("end") >= F.col("start")).groupBy("patient_id").agg(F.max_by(F.struct("start", "end"), F.struct(*VISIT_ORDER)).alias("v"))
+    ok = cut_lineage(ok.where(F.col("end") >= F.col("start")).select("patient_id", "visit_id", "start", "end", "died"))
+    rows = _patient_sequences(ok, codes, labs).drop("mortality")
+    last = ok.groupBy("patient_id").agg(F.max_by(F.struct("start", "end"), F.struct(*VISIT_ORDER)).alias("v"))
     return rows.join(last.select("patient_id", los_category(whole_days(F.col("v.start"), F.col("v.end"))).alias("los")), "patient_id")
 
 
@@ -300,10 +321,11 @@ def visits_before_death(visits: DataFrame) -> DataFrame:
 
 def positive_findings(rows: DataFrame, findings: Sequence[str], by: Sequence[str], order: str) -> DataFrame:
     """Names of findings above zero, distinct, in order of first appearance."""
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("name"), F.col(f"`{f}`").cast("string").try_cast("double").alias("v")) for i, f in enumerate(findings)])
-    long = rows.select(*by, F.col(order).alias("__o"), F.explode(cells).alias("c")).where("c.v > 0")
-    first = long.groupBy(*by, "c.name").agg(F.min(F.struct("__o", "c.i")).alias("__first"))
-    return first.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("__first", "name"))), lambda r: r["name"]).alias("findings"))
+    above = lambda f: F.col(f"`{f}`").cast("string").try_cast("double") > 0
+    firsts = [F.min(F.when(above(f), F.struct(F.col(order).alias("__o"), F.lit(i).alias("i"), F.lit(f).alias("name")))).alias(f"__f{i}") for i, f in enumerate(findings)]
+    names = F.sort_array(F.array_compact(F.array(*[f"__f{i}" for i in range(len(firsts))])))
+    found = rows.groupBy(*by).agg(*firsts).select(*by, F.array_distinct(F.transform(names, lambda r: r["name"])).alias("findings"))
+    return found.where(F.size("findings") > 0)
 
 
 def multimodal_mortality(visits: DataFrame, codes: DataFrame, notes: DataFrame, labs: DataFrame, images: DataFrame, findings: DataFrame) -> DataFrame:
@@ -311,7 +333,8 @@ def multimodal_mortality(visits: DataFrame, codes: DataFrame, notes: DataFrame,
 
     notes carry kind discharge / radiology; images: patient_id, path, seq; findings: patient_id, findings.
     """
-    kept = visits_before_death(visits).where(F.col("end") >= F.col("start"))
+    visits = cut_lineage(visits.select("patient_id", "visit_id", "start", "end", "died"))
+    kept = cut_lineage(visits_before_death(visits).where(F.col("end") >= F.col("start")).drop("died"))
     lists = kept.select("patient_id", "visit_id", "start").join(code_lists(codes), "visit_id", "left")
     empty = F.array().cast("array<string>")
     per_visit = lists.groupBy("patient_id").agg(
