@@ -72,3 +72,29 @@ def test_default_penalty(spark):
     model = md.fit_logistic(df, ["a", "b", "c"], "y").stages[-1]
     want = newton(scaled(x, 1), y, balanced(y), 1 / len(y))
     np.testing.assert_allclose(np.append(model.coefficients.toArray(), model.intercept), want, rtol=1e-3, atol=1e-3)
+
+
+def test_ranking_areas_and_splits_read_their_input_few_times(spark):
+    from wardpanel.operators import metrics as mt
+    from wardpanel.operators import split as sp
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(600).selectExpr("id", "cast(id % 7 as double) / 7 + id as prob", "cast(id % 3 = 0 as int) as y", "id % 90 as who")
+    watched = rows.mapInPandas(count, rows.schema)
+    spark.conf.set("wardpanel.group.rows", "50")
+    try:
+        got = mt.ranking_areas(watched.select("y", "prob")).first()
+        assert seen.value == 600 and got["positives"] == 200
+        parts = sp.split_by_patient(watched, "who", (0.7, 0.3), 1).groupBy("split").agg({"who": "count"}).collect()
+        assert seen.value == 3 * 600 and len(parts) == 2
+        both = mt.shuffled_columns(rows, "id", ["prob", "y"], 4).orderBy("id").collect()
+        one = mt.shuffled_column(rows, "id", "prob", 4).orderBy("id").collect()
+        assert [r["prob__shuffled"] for r in both] == [r["prob"] for r in one] and sorted(r["y__shuffled"] for r in both) == sorted(r["y"] for r in both)
+    finally:
+        spark.conf.unset("wardpanel.group.rows")

@@ -56,6 +56,7 @@ def ranking_areas(df: DataFrame, by: Sequence[str] = (), y: str = "y", prob: str
     by = list(by)
     pos = F.col(y) == 1
     counts = df.groupBy(*by, (-F.col(prob)).alias("__s")).agg(F.sum(F.when(pos, 1).otherwise(0)).alias("__p"), F.sum(F.when(pos, 0).otherwise(1)).alias("__q"))
+    counts = cut_lineage(counts)  # the running totals read them several times
     run = running_totals(counts, ["__s"], {"__tp": F.col("__p"), "__fp": F.col("__q")}, by)
     tp, seen = F.col("__tp") + F.col("__p"), F.col("__tp") + F.col("__p") + F.col("__fp") + F.col("__q")
     step = run.withColumns({"__area": F.col("__q") * (F.col("__tp") + F.col("__p") / 2), "__ap": F.col("__p") * (tp / seen)})
@@ -382,7 +383,14 @@ def best_by_direction(scores: DataFrame, group: str, bigger_is_better: Column) -
 
 def shuffled_column(df: DataFrame, key: str, column: str, seed: int = 0) -> DataFrame:
     """The column permuted over the rows in hash order (for permutation importance)."""
-    h = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
-    left = positions(df.drop(column).withColumn("__k", F.col(key)), ["__k"], name="__a")
-    right = positions(df.select(h.alias("__h"), F.col(key).alias("__k2"), column), ["__h", "__k2"], name="__b")
+    out = shuffled_columns(df, key, [column], seed)
+    return out.drop(column).withColumnRenamed(f"{column}__shuffled", column)
+
+
+def shuffled_columns(df: DataFrame, key: str, columns: Sequence[str], seed: int = 0) -> DataFrame:
+    """As `shuffled_column` for several columns by one order, each beside the original as `<column>__shuffled`."""
+    h, n = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), df.count()
+    left = positions(df.withColumn("__k", F.col(key)), ["__k"], name="__a", largest=n)
+    moved = [F.col(c).alias(f"{c}__shuffled") for c in columns]
+    right = positions(df.select(h.alias("__h"), F.col(key).alias("__k2"), *moved), ["__h", "__k2"], name="__b", largest=n)
     return left.join(right, F.col("__a") == F.col("__b")).drop("__a", "__b", "__h", "__k", "__k2")

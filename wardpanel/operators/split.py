@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardpanel.operators.order import positions
+from wardpanel.session import cut_lineage
 
 NAMES = {2: ("train", "val"), 3: ("train", "val", "test"), 4: ("train", "val", "cal", "test")}
 
 
-def shuffled(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), name: str = "pos") -> DataFrame:
+def shuffled(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), name: str = "pos", **kw) -> DataFrame:
     """Rows of distinct keys with their position in hash order (inside each `by` group)."""
     h = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
-    return positions(df.withColumn("__h", h), ["__h", key], by, name).drop("__h")
+    return positions(df.withColumn("__h", h), ["__h", key], by, name, **kw).drop("__h")
 
 
 def _cut(pos: Column, n: Column, ratios: Sequence[float], names: Sequence[str]) -> Column:
@@ -34,7 +35,7 @@ def split_keys(keys: DataFrame, key: str, ratios: Sequence[float], seed: int = 0
         raise ValueError("ratios must sum to 1")
     names = names or NAMES[len(ratios)]
     total = keys.count()
-    ranked = shuffled(keys.select(key), key, seed)
+    ranked = shuffled(keys.select(key), key, seed, largest=total)
     return ranked.select(key, _cut(F.col("pos"), F.lit(total), ratios, names).alias("split"))
 
 
@@ -43,8 +44,9 @@ def split_by_sample(samples: DataFrame, key: str, ratios: Sequence[float], seed:
 
 
 def split_by_patient(samples: DataFrame, patient: str, ratios: Sequence[float], seed: int = 0) -> DataFrame:
-    """All samples of a patient fall into the same part."""
-    return samples.join(split_keys(samples.select(patient).distinct(), patient, ratios, seed), patient)
+    """All samples of a patient fall into the same part.  The patients are written once: their order takes several passes."""
+    patients = cut_lineage(samples.select(patient).distinct())
+    return samples.join(split_keys(patients, patient, ratios, seed), patient)
 
 
 def split_fixed_test(samples: DataFrame, key: str, part: str, ratios: Sequence[float], seed: int = 0, train: str = "train", by_patient: str | None = None) -> DataFrame:
