@@ -390,3 +390,22 @@ def test_floats_are_filled_inside_the_row(spark):
     assert str({r["id"]: r["x"] for r in out.collect()}) == str({k: [[[float(v) for v in a] for a in m] for m in rows] for k, rows in want.items()})
     for made in (got, out):
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_walk_sends_small_levels_to_the_edges(spark, monkeypatch):
+    from wardpanel.operators import graph as gr
+
+    edges = spark.createDataFrame([("s1", "p1"), ("s1", "p1"), ("s1", "p2"), ("s2", "p2"), ("s1", "n1"), ("s2", "n2"), ("c1", "n1")], "head string, tail string")
+    adj = gr.undirected(edges, distinct=False)
+    labels = gr.entities(edges).select(F.col("entity").alias("node"), F.substring("entity", 1, 1).alias("label"))
+    seeds = spark.createDataFrame([("n1", "n1"), ("n2", "n2"), ("zz", "zz")], "group string, node string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = gr.nodes_within_steps(adj, labels, seeds, 2, ["s", "p"], block=True)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        want = {("n1", "s1"), ("n1", "p1"), ("n1", "p2"), ("n2", "s2"), ("n2", "p2")}
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        monkeypatch.setattr(gr, "SENT_LEVEL", 0)
+        assert sorted(map(tuple, gr.nodes_within_steps(adj, labels, seeds, 2, ["s", "p"], block=True).collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

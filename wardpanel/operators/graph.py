@@ -75,10 +75,13 @@ def interaction_pairs(pairs: DataFrame, allowed: DataFrame | None = None) -> Dat
 # ---- knowledge graphs ----------------------------------------------------------------------------
 
 
+def entities(triples: DataFrame) -> DataFrame:
+    return triples.select(F.col("head").alias("entity")).union(triples.select("tail")).distinct()
+
+
 def entity_ids(triples: DataFrame) -> DataFrame:
     """(entity, id): rank in sorted names over heads and tails."""
-    names = triples.select(F.col("head").alias("entity")).union(triples.select("tail")).distinct()
-    return positions(names, ["entity"], name="id")
+    return positions(entities(triples), ["entity"], name="id")
 
 
 def relation_ids(triples: DataFrame) -> DataFrame:
@@ -91,8 +94,9 @@ def graph_counts(triples: DataFrame) -> DataFrame:
     return ends.select("*", *[rest.select(c).scalar().alias(c) for c in rest.columns])
 
 
-def undirected(edges: DataFrame, a: str = "head", b: str = "tail") -> DataFrame:
-    return edges.select(F.col(a).alias("node"), F.col(b).alias("to")).union(edges.select(F.col(b), F.col(a))).distinct()
+def undirected(edges: DataFrame, a: str = "head", b: str = "tail", distinct: bool = True) -> DataFrame:
+    both = edges.select(F.col(a).alias("node"), F.col(b).alias("to")).union(edges.select(F.col(b), F.col(a)))
+    return both.distinct() if distinct else both
 
 
 def incoming(edges: DataFrame) -> DataFrame:
@@ -100,20 +104,30 @@ def incoming(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("tail").alias("node"), F.col("head").alias("to")).distinct()
 
 
-def within_hops(adjacency: DataFrame, seeds: DataFrame, hops: int, allowed: Column | None = None) -> DataFrame:
+#: Rows of a level that are sent to the tasks that hold the edges; a larger level is joined.
+SENT_LEVEL = 500_000
+
+
+def within_hops(adjacency: DataFrame, seeds: DataFrame, hops: int, allowed: DataFrame | None = None, keep_last: bool = True) -> DataFrame:
     """(group, node, hops): nodes within the number of hops of any seed of the group; unknown seeds are skipped.
 
-    adjacency: node, to (+ label of `to`); seeds: group, node.  `allowed` limits which neighbours are walked.
+    adjacency: node, to, repeated rows do no harm; seeds: group, node.  `allowed` (node) limits which neighbours are walked to.  A level
+    is written before the next one; without `keep_last` the last one is not, for callers that read the result once.
     """
-    known = adjacency.select("node").union(adjacency.select(F.col("to"))).distinct()
-    walk = adjacency if allowed is None else adjacency.where(allowed)
-    walk = walk.select("node", "to").distinct()
-    level = cut_lineage(seeds.select("group", "node").distinct().join(known, "node", "left_semi").withColumn("hops", F.lit(0)))
+    def sent(few: DataFrame) -> DataFrame:
+        return F.broadcast(few) if few.limit(SENT_LEVEL + 1).count() <= SENT_LEVEL else few
+
+    start = seeds.select("group", "node").distinct()
+    ends = adjacency.select("node").union(adjacency.select(F.col("to")))
+    known = ends.join(sent(start.select("node").distinct()), "node", "left_semi").distinct()
+    level = cut_lineage(start.join(known, "node", "left_semi").withColumn("hops", F.lit(0)))
     seen = level
     for h in range(1, hops + 1):
-        nxt = level.select("group", "node").join(walk, "node").select("group", F.col("to").alias("node")).distinct()
-        nxt = nxt.join(seen.select("group", "node"), ["group", "node"], "left_anti")
-        level = cut_lineage(nxt.withColumn("hops", F.lit(h)))
+        nxt = adjacency.select("node", "to").join(sent(level.select("group", "node")), "node").select("group", F.col("to").alias("node")).distinct()
+        if allowed is not None:
+            nxt = nxt.join(allowed.select("node"), "node", "left_semi").select("group", "node")
+        nxt = nxt.join(seen.select("group", "node"), ["group", "node"], "left_anti").withColumn("hops", F.lit(h))
+        level = cut_lineage(nxt) if keep_last or h < hops else nxt
         seen = seen.unionByName(level)
     return seen
 
@@ -143,10 +157,9 @@ def pruned_nodes(nodes: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
 
 def nodes_within_steps(adjacency: DataFrame, labels: DataFrame, seeds: DataFrame, steps: int, wanted: Sequence[str] = (), block: bool = False) -> DataFrame:
     """(group, node): nodes within the steps, with a wanted label; with `block` the walk only passes wanted labels."""
-    tagged = adjacency.join(labels.select(F.col("node").alias("to"), F.col("label").alias("to_label")), "to", "left")
-    allowed = F.col("to_label").isin(list(wanted)) if block and wanted else None
-    found = within_hops(tagged, seeds, steps, allowed).where("hops > 0").select("group", "node")
-    return filter_label(found, labels, wanted) if wanted else found
+    keep = labels.where(F.col("label").isin(list(wanted))).select("node") if block and wanted else None
+    found = within_hops(adjacency, seeds, steps, keep, keep_last=False).where("hops > 0").select("group", "node")
+    return filter_label(found, labels, wanted) if wanted and not block else found
 
 
 def nodes_for_all_seeds(found: DataFrame, seeds: DataFrame) -> DataFrame:
