@@ -409,3 +409,21 @@ def test_walk_sends_small_levels_to_the_edges(spark, monkeypatch):
         assert sorted(map(tuple, gr.nodes_within_steps(adj, labels, seeds, 2, ["s", "p"], block=True).collect())) == sorted(want)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_results_of_patients_leave_together(spark):
+    import pandas as pd
+
+    class Rows:
+        def __getattr__(self, name):
+            return (lambda run, schema: run) if name == "mapInPandas" else (lambda *a: self)
+
+    def task(pid, chunks):
+        yield pd.DataFrame({"patient_id": [pid], "n": [sum(len(c) for c in chunks)]})
+
+    run = tb.by_patient(Rows(), task, "patient_id string, n bigint")
+    frames = [pd.DataFrame({"patient_id": ["a", "a", "b"]}), pd.DataFrame({"patient_id": ["b", "c"]}), pd.DataFrame({"patient_id": []})]
+    out = list(run(iter(frames)))
+    assert len(out) == 1 and out[0].values.tolist() == [["a", 2], ["b", 2], ["c", 1]]
+    many = list(run(iter([pd.DataFrame({"patient_id": [str(i) for i in range(2_500)]})])))
+    assert [len(f) for f in many] == [1_000, 1_000, 500]

@@ -228,6 +228,10 @@ def event_stats_by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("patient_id").alias("patients"))
 
 
+#: Rows of small results of a user function that are put together before they leave Python.
+OUT_ROWS = 1_000
+
+
 def by_patient(events: DataFrame, task: Callable, schema: T.StructType | str, order: Sequence[str] = ("timestamp",)) -> DataFrame:
     """User function over the events of each patient, in time order.
 
@@ -237,17 +241,29 @@ def by_patient(events: DataFrame, task: Callable, schema: T.StructType | str, or
     def run(batches):
         import itertools
 
+        import numpy as np
+        import pandas as pd
+
         def pieces():
             for pdf in batches:
-                cut = (pdf["patient_id"] != pdf["patient_id"].shift()).cumsum()
-                for _, part in pdf.groupby(cut, sort=False):
-                    yield part["patient_id"].iloc[0], part
+                ids = pdf["patient_id"].to_numpy()
+                starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
+                for a, b in zip(starts, [*starts[1:], len(ids)]):
+                    yield ids[a], pdf.iloc[a:b]
 
+        held, rows = [], 0
         for pid, parts in itertools.groupby(pieces(), key=lambda p: p[0]):
             chunks = (part for _, part in parts)
-            yield from task(pid, chunks)
+            for out in task(pid, chunks):
+                held.append(out)
+                rows += len(out)
+                if rows >= OUT_ROWS or len(held) >= OUT_ROWS:
+                    yield pd.concat(held) if len(held) > 1 else held[0]
+                    held, rows = [], 0
             for _ in chunks:
                 pass
+        if held:
+            yield pd.concat(held) if len(held) > 1 else held[0]
 
     together = events.where(F.col("patient_id").isNotNull()).repartition("patient_id").sortWithinPartitions("patient_id", *order)
     return together.mapInPandas(run, schema)
