@@ -427,3 +427,15 @@ def test_small_results_of_patients_leave_together(spark):
     assert len(out) == 1 and out[0].values.tolist() == [["a", 2], ["b", 2], ["c", 1]]
     many = list(run(iter([pd.DataFrame({"patient_id": [str(i) for i in range(2_500)]})])))
     assert [len(f) for f in many] == [1_000, 1_000, 500]
+
+
+def test_sequences_are_encoded_inside_the_row(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["a", None, "b", "zz"]), (2, []), (3, None), (4, ["c", "a"])], "id int, x array<string>")
+    mapping = spark.createDataFrame([("a", "t2", 2), ("a", "t1", 1), ("b", None, None)], "source string, target string, rank int")
+    vocab = en.fit_vocabulary(df, ["id"], "x", mapping).where("token <> 'zz'")
+    made = en.encode_sequence(df, "id", "x", vocab, mapping)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["x"] for r in made.collect()}
+    assert got == {1: [2, 3, 4, 1], 2: [], 3: [], 4: [6, 2, 3]}
+    monkeypatch.setattr(en, "SENT_TOKENS", 0)
+    assert {r["id"]: r["x"] for r in en.encode_sequence(df, "id", "x", vocab, mapping).collect()} == got

@@ -60,8 +60,42 @@ def _codes(vocab: DataFrame) -> DataFrame:
     return vocab.withColumnRenamed("id", "__id")
 
 
+def _id_lists(vocab: DataFrame, mapping: DataFrame | None) -> list | None:
+    """(token, ids) of each known or mapped token, or None when there are too many to send."""
+    ids = _codes(vocab.select("token", "id"))
+    table = ids.select("token", F.array("__id").alias("ids"))
+    if mapping is not None:
+        m = mapping.select("source", F.coalesce("target", "source").alias("token"), F.coalesce("rank", F.lit(0)).alias("rank")).where(F.col("source").isNotNull())
+        row = F.struct("rank", F.coalesce("__id", F.lit(UNK).cast("bigint")).alias("__id"))
+        mapped = m.join(ids, "token", "left").groupBy(F.col("source").alias("token")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["__id"]).alias("ids"))
+        table = table.join(mapped.select("token"), "token", "left_anti").unionByName(mapped)
+    rows = table.limit(SENT_TOKENS + 1).collect()
+    return rows if sum(len(r["ids"]) for r in rows) <= SENT_TOKENS else None
+
+
+def _swap_lists(known: list):
+    """Column function: each token of an array replaced by its ids, an unknown one by the unknown id; nulls are dropped."""
+    places = pa.array([r["token"] for r in known], type=pa.string())
+    lists = pa.array([*[r["ids"] for r in known], [UNK]], type=pa.list_(pa.int64()))
+    lengths = np.array([*[len(r["ids"]) for r in known], 1])
+
+    def swap(column: pa.Array) -> pa.Array:
+        flat = column.flatten()
+        valid = pc.is_valid(flat).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(pc.index_in(flat, value_set=places), len(known)).to_numpy(zero_copy_only=False)
+        done = np.concatenate([[0], np.cumsum(np.where(valid, lengths[at], 0))])
+        ends = done[np.concatenate([[0], np.cumsum(_sizes(column))])]
+        return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), lists.take(pa.array(at[valid])).flatten())
+
+    swap.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(swap, "array<bigint>").asNondeterministic()  # one evaluation per row
+
+
 def encode_sequence(df: DataFrame, key: str, col: str, vocab: DataFrame, mapping: DataFrame | None = None, name: str | None = None) -> DataFrame:
     """Flat token array to id array; unknown tokens get the unknown id, nulls are dropped."""
+    known = _id_lists(vocab, mapping)
+    if known is not None:
+        return df.withColumn(name or col, _swap_lists(known)(F.col(col))).select(key, *[c for c in dict.fromkeys([*df.columns, name or col]) if c != key])
     leaves = explode_levels(df, [key], col, 1).where(F.col("token").isNotNull())
     spots = ["i1"]
     if mapping is not None:
