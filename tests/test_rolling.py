@@ -162,3 +162,36 @@ def test_batches_end_between_series(spark, monkeypatch):
     got = p.evaluate(frame, {"q": p.ts_median("x", 4)}).toPandas().sort_values(["instrument", "datetime"])
     want = pd.DataFrame(rows, columns=["i", "t", "x"]).sort_values(["i", "t"]).groupby("i").x.rolling(4, min_periods=1).median()
     np.testing.assert_allclose(got.q.to_numpy(), want.to_numpy())
+
+
+def test_windows_join_the_pass_of_statistics(long):
+    """Beside a statistic no frame of Spark is left over plain columns, and the values are those of pandas."""
+    pdf, frame = long
+    factors = {"q": p.ts_quantile("x", 9, 0.5), "m": p.ts_mean("x", 7), "s": p.ts_std("x", 6), "hi": p.ts_max("x", 120), "lo": p.ts_min("x", 12), "n": p.ts_max("n", 5)}
+    out = p.evaluate(frame, factors)
+    assert [f.dataType.simpleString() for f in out.select("n", "hi").schema] == ["bigint", "double"]
+    assert "max(x" not in out._jdf.queryExecution().analyzed().toString() and "avg(x" not in out._jdf.queryExecution().analyzed().toString()
+    got = out.toPandas().sort_values(["instrument", "datetime"]).reset_index(drop=True)
+    groups = pdf.groupby("instrument")
+    flat = lambda s: s.reset_index(level=0, drop=True).to_numpy()
+    want = {"m": flat(groups.x.rolling(7, min_periods=1).mean()), "s": flat(groups.x.rolling(6, min_periods=2).std()), "hi": flat(groups.x.rolling(120, min_periods=1).max()),
+            "lo": flat(groups.x.rolling(12, min_periods=1).min()), "n": flat(groups.n.rolling(5, min_periods=1).max())}
+    for name, values in want.items():
+        np.testing.assert_allclose(got[name].to_numpy(float), values, rtol=1e-9, atol=1e-12, err_msg=name)
+
+
+def test_infinite_values_as_in_spark():
+    column = Indexed.of(pa.array([1.0, math.inf, math.inf, math.nan, 5.0, 2.0]))
+    ask = lambda kind, n: answer(Ask(kind, (), ("x",), n), column, None, Series(np.zeros(6, dtype=np.int64)))[0]
+    np.testing.assert_array_equal(ask("mean", 2), [1, math.inf, math.inf, math.nan, math.nan, 3.5])
+    np.testing.assert_array_equal(ask("max", 2), [1, math.inf, math.inf, math.nan, math.nan, 5])
+    np.testing.assert_array_equal(ask("min", 2), [1, 1, math.inf, math.inf, 5, 2])
+    assert np.isnan(ask("spread", 2)[[1, 2, 3, 4]]).all()
+
+
+def test_large_sets_are_shown_by_one_function(spark):
+    """Rounding and logarithm stand once in the plan of a factor set, not once per factor."""
+    from wardpanel.queries import load_all
+
+    plan = load_all()[0]["panel_set_multi"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LOG(") + plan.count("ln(") < 10 and plan.count("rint(") == 1
