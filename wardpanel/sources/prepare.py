@@ -156,17 +156,25 @@ def image_path(root: str, subject: Column, study: Column, image: Column) -> Colu
 RECORD = r"START_OF_RECORD=(\d+)\|\|\|\|(\d+)\|\|\|\|([\s\S]*?)(?=\|\|\|\|END_OF_RECORD|START_OF_RECORD=|$)"
 
 
+#: What stands before and after each record of the privacy corpus.
+RECORD_START, RECORD_END = "START_OF_RECORD=", "||||END_OF_RECORD"
+
+
 def split_records(texts: DataFrame, column: str = "value", pattern: str = RECORD) -> DataFrame:
-    """Marked text to (patient_id, note_id, text)."""
+    """Marked text to (patient_id, note_id, text).
+
+    The standard markers are found by cutting at them; another pattern is searched for as it is.
+    """
+    if pattern == RECORD:
+        pieces = texts.select(F.posexplode(F.split(column, RECORD_START)).alias("pos", "record")).where("pos > 0")
+        parts = pieces.select(F.split("record", r"\|\|\|\|", 3).alias("p")).select(*[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("patient_id", "note_id", "rest"))])
+        marked = parts.where(F.col("rest").isNotNull() & F.col("patient_id").rlike(r"\A\d+\z") & F.col("note_id").rlike(r"\A\d+\z"))
+        return marked.select("patient_id", "note_id", F.trim(F.substring_index("rest", RECORD_END, 1), F.lit(" \n\t\r")).alias("text"))
     rows = texts.select(F.posexplode(F.regexp_extract_all(column, F.lit(pattern), 0)).alias("pos", "record"))
     part = lambda i: F.regexp_extract("record", pattern, i)
     return rows.select(part(1).alias("patient_id"), part(2).alias("note_id"), F.trim(part(3), F.lit(" \n\t\r")).alias("text"))
 
 
-#: What stands after each record of the privacy corpus.
-RECORD_END = "||||END_OF_RECORD"
-
-
 def records_source(spark: SparkSession, path: str) -> DataFrame:
     """Files of marked records as (patient_id, note_id, text); files are cut at record ends, so one file may hold any share of the rows."""
     return split_records(spark.read.option("lineSep", RECORD_END).text(path))
