@@ -24,5 +24,5 @@ def test_no_pattern_is_searched_through_the_text(spark):
 
 
 def test_line_ends_other_than_those_trimmed_stay(spark):
-    frame = spark.createDataFrame([("START_OF_RECORD=1||||2||||a ",)], "value string")
-    assert split_records(frame).first().text == "a "
+    frame = spark.createDataFrame([("START_OF_RECORD=1||||2||||a\u2028",)], "value string")
+    assert split_records(frame).first().text == "a\u2028"
