@@ -439,3 +439,14 @@ def test_sequences_are_encoded_inside_the_row(spark, monkeypatch):
     assert got == {1: [2, 3, 4, 1], 2: [], 3: [], 4: [6, 2, 3]}
     monkeypatch.setattr(en, "SENT_TOKENS", 0)
     assert {r["id"]: r["x"] for r in en.encode_sequence(df, "id", "x", vocab, mapping).collect()} == got
+
+
+def test_vocabulary_reads_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: read.add(1) or t, "array<string>").asNondeterministic()
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", None, "a"])], "id int, x array<string>").repartition(2).withColumn("x", seen("x"))
+    vocab = en.fit_vocabulary(df, ["id"], "x")
+    kept = en.keep_tokens(vocab, spark.createDataFrame([("c",), ("a",)], "token string"))
+    out = en.add_tokens(kept, spark.createDataFrame([("z",), ("c",)], "token string"))
+    assert sorted(map(tuple, out.collect())) == [("a", 2), ("c", 3), ("z", 4)]
+    assert read.value == 2

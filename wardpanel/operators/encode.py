@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardpanel.operators.order import large, positions, running_last
+from wardpanel.session import cut_lineage
 
 PAD, UNK = 0, 1
 SPECIALS = ("<pad>", "<unk>")
@@ -37,7 +38,8 @@ def explode_levels(df: DataFrame, keys: Sequence[str], col: str, depth: int, out
 def fit_vocabulary(df: DataFrame, order: Sequence[str], col: str, mapping: DataFrame | None = None, start: int = len(SPECIALS)) -> DataFrame:
     """(token, id): ids by first appearance over (order, position); null tokens skipped.
 
-    `mapping` (source, target, rank) may expand a token into several; unmapped tokens stay.
+    `mapping` (source, target, rank) may expand a token into several; unmapped tokens stay.  The first places, one row per token, are
+    kept, so `df` is gone through once however often the vocabulary is read.
     """
     depth = _depth(df, col)
     leaves = explode_levels(df, order, col, depth).where(F.col("token").isNotNull())
@@ -45,7 +47,7 @@ def fit_vocabulary(df: DataFrame, order: Sequence[str], col: str, mapping: DataF
     if mapping is not None:
         leaves = map_tokens(leaves, mapping)
         spots.append("rank")
-    first = leaves.groupBy("token").agg(F.min(F.struct(*spots)).alias("first")).select("token", "first.*")
+    first = cut_lineage(leaves.groupBy("token").agg(F.min(F.struct(*spots)).alias("first")).select("token", "first.*"))
     return positions(first, spots, name="id").select("token", (F.col("id") + start).alias("id"))
 
 
