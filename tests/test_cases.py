@@ -450,3 +450,36 @@ def test_vocabulary_reads_its_input_once(spark):
     out = en.add_tokens(kept, spark.createDataFrame([("z",), ("c",)], "token string"))
     assert sorted(map(tuple, out.collect())) == [("a", 2), ("c", 3), ("z", 4)]
     assert read.value == 2
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_nested_encoding_moves_no_rows(spark):
+    rows = [(1, [[["a", None], None], []]), (2, []), (3, None), (4, [None, [[], ["zz"], ["b", "a", "a"]]]), (None, [[["a"]]])]
+    df = spark.createDataFrame(rows, "id int, x array<array<array<string>>>")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "token string, id long")
+    out = en.encode_nested(df, "id", "x", vocab, [2, 2])
+    none = [0, 0]
+    assert {r["id"]: r["x"] for r in out.collect()} == {
+        1: [[[2, 1], none], [none, none]], 2: [[none, none]], 3: [[none, none]], 4: [[none, none], [none, [1, 0], [3, 2, 2]]]}
+    assert exchanges(out) == 0
+
+
+def test_wide_vocabulary_is_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [["a", None], []]), (2, []), (3, [None, ["zz", "b", "a"]])], "id int, x array<array<string>>")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "token string, id long")
+    told = lambda: {r["id"]: r["x"] for r in en.encode_nested(df, "id", "x", vocab, [2]).collect()}
+    sent = told()
+    monkeypatch.setattr(en, "SENT_TOKENS", 1)
+    assert told() == sent == {1: [[2, 1], [0, 0]], 2: [[0, 0]], 3: [[0, 0], [1, 3, 2]]}
+
+
+@pytest.mark.parametrize("most", [1, 10])
+def test_names_come_back_from_numbers(spark, monkeypatch, most):
+    monkeypatch.setattr(en, "SENT_TOKENS", most)
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (4, "x")], "k int, name string")
+    moved, back = en.numbered(df, "name")
+    lists = moved.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda r: r["name"]).alias("l"))
+    assert lists.select(back(F.array("l", F.array().cast(lists.schema["l"].dataType)), 2)).first()[0] == [["x", None, "y", "x"], []]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wardpanel.operators.order import large, positions, running_last
 from wardpanel.session import cut_lineage
@@ -129,6 +130,9 @@ def encode_nested(df: DataFrame, key: str, col: str, vocab: DataFrame, lengths:
     Every inner (and middle) array is padded to the fitted length; an empty list is all padding; an empty input is one padded row.
     """
     depth = _depth(df, col)
+    known = _sent(vocab) if _leaf(df, col) == vocab.schema["token"].dataType else None
+    if known is not None:
+        return _encode_nested_rows(df, key, col, vocab, known, lengths, name or col)
     leaves = explode_levels(df, [key], col, depth, outer=True)
     last = f"i{depth}"
     joined = leaves.join(_codes(vocab), "token", "left").withColumn("__id", F.when(F.col(last).isNotNull(), F.coalesce("__id", F.lit(UNK))))
@@ -148,6 +152,52 @@ def encode_nested(df: DataFrame, key: str, col: str, vocab: DataFrame, lengths:
     return df.drop(name or col).join(large(level.withColumnRenamed("row", name or col)), key)
 
 
+def _leaf(df: DataFrame, col: str) -> T.DataType:
+    t = df.schema[col].dataType
+    while isinstance(t, T.ArrayType):
+        t = t.elementType
+    return t
+
+
+def _leaves_swapped(column: pa.Array, depth: int, change: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """Nested lists with other leaves; a missing list is empty."""
+    levels = []
+    for _ in range(depth):
+        levels.append(_ends(_sizes(column)))
+        column = column.flatten()
+    out = change(column)
+    for ends in reversed(levels):
+        out = pa.ListArray.from_arrays(ends, out)
+    return out
+
+
+def _swap_nested(known: list, token: T.DataType, depth: int):
+    """Column function: each token of a nested array replaced by its id, an unknown or missing one by the unknown id; a missing list is empty."""
+    known = [r for r in known if r["token"] is not None]
+    places, found = pa.array([r["token"] for r in known], type=to_arrow_type(token)), pa.array([r["id"] for r in known], type=pa.int64())
+
+    def swap(column: pa.Array) -> pa.Array:
+        return _leaves_swapped(column, depth, lambda flat: found.take(pc.index_in(flat, value_set=places)).fill_null(UNK))
+
+    swap.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(swap, "array<" * depth + "bigint" + ">" * depth).asNondeterministic()  # one evaluation per row
+
+
+def _encode_nested_rows(df: DataFrame, key: str, col: str, vocab: DataFrame, known: list, lengths: Sequence[int], name: str) -> DataFrame:
+    """`encode_nested` inside the row: tokens are looked up as they are, and Spark pads one row after the other; nothing is shuffled."""
+    depth = _depth(df, col)
+    rest = [c for c in df.columns if c not in (key, name)]
+    ids = df.where(F.col(key).isNotNull()).withColumn("__ids", _swap_nested(known, vocab.schema["token"].dataType, depth)(F.col(col)))
+    empty = F.array_repeat(F.lit(PAD).cast("bigint"), lengths[-1])
+    rows = lambda c: F.transform(c, lambda x: pad(x, lengths[-1], F.lit(PAD).cast("bigint")))
+    if depth == 3:
+        middle, empty = empty, F.array_repeat(empty, lengths[0])
+        padded = F.transform("__ids", lambda x: pad(rows(x), lengths[0], middle))
+    else:
+        padded = rows("__ids")
+    return ids.select(key, *rest, F.when(F.size("__ids") > 0, padded).otherwise(F.array(empty)).alias(name))
+
+
 def keep_tokens(vocab: DataFrame, tokens: DataFrame, remove: bool = False) -> DataFrame:
     """Vocabulary limited to (or without) the tokens; order kept, ids renumbered, specials untouched."""
     kept = vocab.join(tokens.select("token").distinct(), "token", "left_anti" if remove else "left_semi")
@@ -366,6 +416,28 @@ def _look_up(keys: Sequence, values: Sequence, kind: pa.DataType, other, type_na
     return F.arrow_udf(swap, type_name).asNondeterministic()  # one evaluation per row
 
 
+def numbered(df: DataFrame, col: str) -> tuple[DataFrame, Callable[[Column, int], Column]]:
+    """`df` with the strings of `col` as numbers, and a function that gives the strings back in arrays of so many levels.
+
+    Numbers are narrow to move.  Where there are too many different strings to send, `df` stays as it is and nothing is given back.
+    """
+    values = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(SENT_TOKENS + 1).collect()]
+    if len(values) > SENT_TOKENS:
+        return df, lambda c, depth: c
+    codes = df.sparkSession.createDataFrame(list(enumerate(values)), "__n int, __v string")
+    out = df.join(F.broadcast(codes), F.col(col) == F.col("__v"), "left").withColumn(col, F.col("__n")).select(*df.columns)
+    names = pa.array(values, type=pa.string())
+
+    def back(c: Column, depth: int) -> Column:
+        def swap(column: pa.Array) -> pa.Array:
+            return _leaves_swapped(column, depth, names.take)
+
+        swap.__annotations__ = {"column": pa.Array, "return": pa.Array}
+        return F.arrow_udf(swap, "array<" * depth + "string" + ">" * depth).asNondeterministic()(c)  # one evaluation per row
+
+    return out, back
+
+
 def _sent(table: DataFrame) -> list | None:
     """The rows (token, id), or None when there are too many to send."""
     rows = table.select("token", "id").limit(SENT_TOKENS + 1).collect()
