@@ -476,6 +476,14 @@ def test_wide_vocabulary_is_joined(spark, monkeypatch):
     assert told() == sent == {1: [[2, 1], [0, 0]], 2: [[0, 0]], 3: [[0, 0], [1, 3, 2]]}
 
 
+def test_timed_codes_move_no_rows(spark):
+    df = spark.createDataFrame([(1, ([0, 1], [["a"], ["b", "a"]])), (2, ([0], [[]]))], "id int, codes struct<time: array<int>, value: array<array<string>>>")
+    fitted = en.EncoderPipeline({"codes": "stagenet"}, "id", ["id"], padding=1).fit(df)
+    out = fitted.transform(df)
+    assert {r["id"]: (r["codes"]["time"], r["codes"]["value"]) for r in out.collect()} == {1: ([0, 1], [[2, 0, 0], [3, 2, 0]]), 2: ([0], [[0, 0, 0]])}
+    assert exchanges(out) == 0
+
+
 @pytest.mark.parametrize("most", [1, 10])
 def test_names_come_back_from_numbers(spark, monkeypatch, most):
     monkeypatch.setattr(en, "SENT_TOKENS", most)
