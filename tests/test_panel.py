@@ -1,8 +1,12 @@
 """Panel functions against pandas on a panel with missing values."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from wardpanel.operators import panel as p
 
@@ -154,3 +158,28 @@ def test_statistics_of_statistics_keep_what_is_shown(spark, frame, data):
     q = roll(data.assign(z=roll(data, lambda s: s.rolling(5, min_periods=1).median(), "y")), lambda s: s.rolling(3, min_periods=1).mean(), "z")
     for name, want in (("m", m), ("mm", mm), ("q", q)):
         np.testing.assert_allclose(got[name].to_numpy(), want.to_numpy(), rtol=1e-12)
+
+
+def test_bars_and_windows_share_one_shuffle(spark, tmp_path):
+    from wardpanel.queries.panel import bars
+
+    days = [dt.datetime(2020, 1, 1) + dt.timedelta(days=3 * i) for i in range(12)]
+    lines = [(i % 3, d, float(1 + i % 5 + s), 10.0 * i + s, 100 + i, s, 7 * i) for i, d in enumerate(days) for s in range(3)]
+    lines += [lines[4], (None, days[0], 2.0, 4.0, 1, 1, 1), (1, None, 2.0, 4.0, 1, 1, 1), (1, days[0], None, 4.0, 1, 1, 1)]
+    names = "l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_orderkey long, l_linenumber int, l_partkey long"
+    spark.createDataFrame(lines, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    def told():
+        panel = bars(spark, str(tmp_path))
+        out = panel.withColumn("before", F.lag("close").over(Window.partitionBy("instrument").orderBy("datetime")))
+        moved = out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")
+        return sorted(map(str, out.collect())), moved
+
+    rows, moved = told()
+    spark.conf.set("wardpanel.group.rows", "3")
+    try:
+        hot, _ = told()
+    finally:
+        spark.conf.unset("wardpanel.group.rows")
+    assert rows == hot and len(rows) > 12
+    assert moved == 1
