@@ -1,6 +1,7 @@
 """Small literal frames with known answers."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -491,3 +492,27 @@ def test_names_come_back_from_numbers(spark, monkeypatch, most):
     moved, back = en.numbered(df, "name")
     lists = moved.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda r: r["name"]).alias("l"))
     assert lists.select(back(F.array("l", F.array().cast(lists.schema["l"].dataType)), 2)).first()[0] == [["x", None, "y", "x"], []]
+
+
+def linkage_rows(spark):
+    at = lambda n: dt.datetime(2020, 1, n)
+    seen = [("p", "1", at(1)), ("p", "2", at(2)), ("p", "3", at(3)), ("q", "4", at(1)), ("q", "5", at(2))]
+    v = spark.createDataFrame([(*r, dt.date(1980, 1, 1), "x") for r in seen], "patient_id string, visit_id string, start timestamp, birth date, identifiers string")
+    c = [("p", "1", "conditions", "a", 1), ("p", "2", "drugs", "b", 1), ("p", "2", "conditions", "c", 2), ("p", "3", "conditions", "d", 1), ("q", "4", "drugs", "e", 1), ("q", "5", "conditions", "f", 1)]
+    codes = spark.createDataFrame(c, "patient_id string, visit_id string, kind string, code string, seq int").localCheckpoint()
+    return jobs.linkage_pairs(v, codes)
+
+
+def test_linkage_moves_conditions_only(spark):
+    out = linkage_rows(spark)
+    assert [(r["visit_id"], r["conditions"], r["d_visit_id"], r["d_conditions"]) for r in out.collect()] == [("3", ["", "d"], "2", ["", "a", "[SEP]", "c"])]
+    assert re.search(r"Filter .*kind#\d+ = conditions", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_linkage_metadata_leaves_code_lists_behind(spark):
+    made = rt.retrieval_tables(linkage_rows(spark).localCheckpoint())
+    gathered = lambda name: made[name]._jdf.queryExecution().sparkPlan().toString()
+    assert made["corpus_meta"].collect() == [("2", 40, "x")] and made["queries_meta"].collect() == [("3", 40, "x")]
+    assert made["corpus"].collect() == [("2", ["a", "c"])] and made["qrels"].collect() == [("3", "2", 1)]
+    for name in ("corpus_meta", "queries_meta", "qrels"):
+        assert not re.search(r"max_by\([^)]*conditions", gathered(name))
