@@ -516,3 +516,13 @@ def test_linkage_metadata_leaves_code_lists_behind(spark):
     assert made["corpus"].collect() == [("2", ["a", "c"])] and made["qrels"].collect() == [("3", "2", 1)]
     for name in ("corpus_meta", "queries_meta", "qrels"):
         assert not re.search(r"max_by\([^)]*conditions", gathered(name))
+
+
+def test_visits_without_ends_read_no_lines(spark, tmp_path):
+    from wardpanel.queries.jobs import visits as order_visits
+
+    spark.createDataFrame([(1, 7, "F", 100.0, DAY0, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 5.0)], "l_orderkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    whole, short = order_visits(spark, str(tmp_path)), order_visits(spark, str(tmp_path), ends=False)
+    assert whole.schema == short.schema and whole.drop("end").collect() == short.drop("end").collect()
+    assert "lineitem" not in " ".join(short.inputFiles())
