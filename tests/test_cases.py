@@ -526,3 +526,10 @@ def test_visits_without_ends_read_no_lines(spark, tmp_path):
     whole, short = order_visits(spark, str(tmp_path)), order_visits(spark, str(tmp_path), ends=False)
     assert whole.schema == short.schema and whole.drop("end").collect() == short.drop("end").collect()
     assert "lineitem" not in " ".join(short.inputFiles())
+
+
+def test_nested_encoding_of_repeated_keys(spark):
+    df = spark.createDataFrame([(1, [["a"]]), (1, [["b", "a"]]), (2, [["b"]]), (None, [["a"]])], "id int, x array<array<string>>")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "token string, id long")
+    out = en.encode_nested(df, "id", "x", vocab, [2])
+    assert sorted(map(tuple, out.collect())) == [(1, [[2, 3, 2]]), (1, [[2, 3, 2]]), (2, [[3, 0]])]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wardpanel.operators.order import large, positions, running_last
+from wardpanel.operators.order import large, largest_group, positions, running_last
 from wardpanel.session import cut_lineage
 
 PAD, UNK = 0, 1
@@ -128,9 +128,11 @@ def encode_nested(df: DataFrame, key: str, col: str, vocab: DataFrame, lengths:
     """Arrays of token arrays (2 or 3 levels) to padded id arrays.
 
     Every inner (and middle) array is padded to the fitted length; an empty list is all padding; an empty input is one padded row.
+    Rows without a key are left out; rows that share one each hold the tokens of all of them, place by place.
     """
     depth = _depth(df, col)
-    known = _sent(vocab) if _leaf(df, col) == vocab.schema["token"].dataType else None
+    once = _leaf(df, col) == vocab.schema["token"].dataType and largest_group(df.where(F.col(key).isNotNull()), [key]) <= 1
+    known = _sent(vocab) if once else None
     if known is not None:
         return _encode_nested_rows(df, key, col, vocab, known, lengths, name or col)
     leaves = explode_levels(df, [key], col, depth, outer=True)
